@@ -53,3 +53,63 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     return li.withColumn("season", F.year("l_shipdate"))
+
+
+# ---------------------------------------------------------------------------
+# A synthetic box score derived from lineitem by a fixed rule, so the ratio,
+# rating, season and training-set operators have game-log-shaped input that
+# grows with the table.  Entity = supplier ("team"), opponent = "N<k>".
+BOX = LINEITEM.with_(outcome="WL")
+
+BOX_SQL = """
+select *, l_quantity as PTS,
+  cast(l_linenumber - 1 as double) as FGA,
+  least(cast(l_linenumber - 1 as double), cast(floor(l_quantity / 10) as double)) as FGM,
+  cast(floor((l_linenumber - 1) / 2) as double) as FG3A,
+  cast(floor(least(cast(l_linenumber - 1 as double), cast(floor(l_quantity / 10) as double)) / 2) as double) as FG3M,
+  round(l_tax * 100) as FTA,
+  greatest(round(l_tax * 100) - (l_linenumber % 2), 0) as FTM,
+  cast(cast(l_quantity as int) % 4 as double) as OREB,
+  cast(cast(l_quantity as int) % 7 as double) as DREB,
+  cast(cast(l_quantity as int) % 4 + cast(l_quantity as int) % 7 as double) as REB,
+  cast(cast(l_quantity as int) % 5 as double) as AST,
+  cast(l_linenumber % 3 as double) as TOV,
+  cast(l_orderkey % 3 as double) as STL,
+  cast(l_partkey % 2 as double) as BLK,
+  cast(20 + cast(l_quantity as int) % 20 as double) as MIN,
+  l_quantity - 25.5 as PLUS_MINUS,
+  case when l_linestatus = 'F' then 'W' else 'L' end as WL,
+  case when l_linestatus = 'O' and l_returnflag = 'N' then null
+       else concat('S', cast(l_suppkey as varchar),
+                   case l_returnflag when 'R' then ' @ ' when 'A' then ' vs. ' else ' at ' end,
+                   'N', cast(l_partkey % 30 as varchar)) end as MATCHUP
+from lineitem
+"""
+
+
+def box_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rule as ``BOX_SQL`` in DataFrame form."""
+    li = lineitem_log(spark, sf_dir)
+    q = F.col("l_quantity")
+    ln = F.col("l_linenumber")
+    qi = q.cast("int")
+    fga = (ln - 1).cast("double")
+    fgm = F.least(fga, F.floor(q / 10).cast("double"))
+    fta = F.round(F.col("l_tax") * 100)
+    sep = (F.when(F.col("l_returnflag") == "R", " @ ").when(F.col("l_returnflag") == "A", " vs. ")
+            .otherwise(" at "))
+    matchup = F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"),
+                     F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), sep, F.lit("N"),
+                 (F.col("l_partkey") % 30).cast("string")))
+    return li.withColumns({
+        "PTS": q, "FGA": fga, "FGM": fgm,
+        "FG3A": F.floor((ln - 1) / 2).cast("double"), "FG3M": F.floor(fgm / 2).cast("double"),
+        "FTA": fta, "FTM": F.greatest(fta - (ln % 2), F.lit(0.0)),
+        "OREB": (qi % 4).cast("double"), "DREB": (qi % 7).cast("double"),
+        "REB": (qi % 4 + qi % 7).cast("double"), "AST": (qi % 5).cast("double"),
+        "TOV": (ln % 3).cast("double"), "STL": (F.col("l_orderkey") % 3).cast("double"),
+        "BLK": (F.col("l_partkey") % 2).cast("double"), "MIN": F.lit(20.0) + qi % 20,
+        "PLUS_MINUS": q - 25.5, "WL": F.when(F.col("l_linestatus") == "F", "W").otherwise("L"),
+        "MATCHUP": matchup,
+    })
