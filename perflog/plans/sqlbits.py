@@ -1,6 +1,6 @@
 """Shared output normalisation for queries and their oracle SQL.
 
-Every float leaving a query goes through ``decimal(38,10)`` and is rounded
+Every float leaving a query goes through ``decimal(38,8)`` and is rounded
 half-up to 4 places, in Spark and in the oracle alike: the decimal step absorbs
 summation-order noise, and both engines round decimals the same way.
 """
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 def r4(c: Column | str, places: int = 4) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("decimal(38,10)"), places).cast("double")
+    return F.round(c.cast("decimal(38,8)"), places).cast("double")
 
 
 def R4(expr: str, places: int = 4) -> str:
-    return f"cast(round(cast({expr} as decimal(38,10)), {places}) as double)"
+    return f"cast(round(cast({expr} as decimal(38,8)), {places}) as double)"
 
 
 # SQL window clauses of the three log bindings
