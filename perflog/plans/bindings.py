@@ -8,7 +8,7 @@ The driver tables hold no game logs; the same operators run on them through
 * events log   -- entity ``user_id``, time ``ts``, tie ``event_id``;
   win = purchase or signup.
 * lineitem log -- entity ``l_suppkey``, time ``l_shipdate``,
-  tie ``(l_orderkey, l_linenumber)``.
+  tie ``(l_orderkey, l_linenumber, l_partkey)`` (the first two alone repeat).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ ORDERS = LogSpec(entity="o_custkey", time="o_orderdate", tie=("o_orderkey",),
                  season="season", outcome="WL", measures=("o_totalprice",))
 EVENTS = LogSpec(entity="user_id", time="ts", tie=("event_id",), season="season",
                  measures=("value",))
-LINEITEM = LogSpec(entity="l_suppkey", time="l_shipdate", tie=("l_orderkey", "l_linenumber"),
+LINEITEM = LogSpec(entity="l_suppkey", time="l_shipdate", tie=("l_orderkey", "l_linenumber", "l_partkey"),
                    season="season", measures=("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 
 

@@ -142,7 +142,7 @@ def _team_win_sql() -> str:
     out = ", ".join(f if f in _INT_FEATS else f"{R4(f)} as {f}" for f in feats)
     return f"""
 with b as ({BOX_SQL}), c as (select *, cast(WL = 'W' as int) as WIN from b),
-d as (select l_suppkey, l_orderkey, l_linenumber, WIN,
+d as (select l_suppkey, l_orderkey, l_linenumber, l_partkey, WIN,
         cast(row_number() over ({W_LI}) as int) as GAME_NUMBER,
         count(*) over (partition by l_suppkey) as N,
         {', '.join(roll)},
@@ -159,7 +159,7 @@ d as (select l_suppkey, l_orderkey, l_linenumber, WIN,
 e as (select *, cast(DAYS_REST < 2 as int) as BACK_TO_BACK from d
       where GAME_NUMBER > greatest(10, floor(N * 0.1))),
 f as (select *, count(*) over (partition by l_suppkey) as N2 from e where {notnull} and WIN is not null)
-select l_suppkey, l_orderkey, l_linenumber, {out}, WIN from f where N2 >= 10
+select l_suppkey, l_orderkey, l_linenumber, l_partkey, {out}, WIN from f where N2 >= 10
 """
 
 
@@ -167,7 +167,7 @@ select l_suppkey, l_orderkey, l_linenumber, {out}, WIN from f where N2 >= 10
 def team_win_set(spark, sf_dir):
     df = TR.team_win_set(box_scores(spark, sf_dir), BOX)
     feats = TR.team_win_features()
-    return df.select("l_suppkey", "l_orderkey", "l_linenumber",
+    return df.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey",
                      *[F.col(f) if f in _INT_FEATS else
                        F.round(F.col(f).cast("decimal(38,8)"), 4).cast("double").alias(f) for f in feats],
                      "WIN")
@@ -179,11 +179,11 @@ def _career_sql(target="PTS") -> str:
     run = f"({W_LI} rows between unbounded preceding and current row)"
     return f"""
 with b as ({BOX_SQL}),
-c as (select l_suppkey, l_orderkey, l_linenumber, {target},
+c as (select l_suppkey, l_orderkey, l_linenumber, l_partkey, {target},
         cast(row_number() over ({W_LI}) as int) as GAME_NUMBER,
         {', '.join(f"{R4(f'avg({s}) over {run}')} as CAREER_{s}_AVG" for s in stats)},
         count(*) over (partition by l_suppkey) as N from b)
-select l_suppkey, l_orderkey, l_linenumber, GAME_NUMBER as CAREER_GAMES,
+select l_suppkey, l_orderkey, l_linenumber, l_partkey, GAME_NUMBER as CAREER_GAMES,
   {', '.join(f"CAREER_{s}_AVG" for s in stats)}, GAME_NUMBER, {R4(target)} as TARGET
 from c where N >= 10
 """
@@ -193,7 +193,7 @@ from c where N >= 10
 def career_set(spark, sf_dir):
     df = TR.career_set(box_scores(spark, sf_dir), BOX, "PTS")
     feats = [c for c in df.columns if c.startswith("CAREER_") and c.endswith("_AVG")]
-    return df.select("l_suppkey", "l_orderkey", "l_linenumber", "CAREER_GAMES",
+    return df.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "CAREER_GAMES",
                      *[F.round(F.col(c).cast("decimal(38,8)"), 4).cast("double").alias(c) for c in feats],
                      "GAME_NUMBER", F.round(F.col("TARGET").cast("decimal(38,8)"), 4).cast("double")
                      .alias("TARGET"))

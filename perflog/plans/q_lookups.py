@@ -29,10 +29,10 @@ def team_dimension(spark, sf_dir):
 
 # ----------------------------------------------------------------- lookup_default
 @register("lookup_default", "F1 F4", f"""
-with b as ({BOX_SQL}), c as (select l_orderkey, l_linenumber, {_OPP_SQL} as opponent from b),
+with b as ({BOX_SQL}), c as (select l_orderkey, l_linenumber, l_partkey, {_OPP_SQL} as opponent from b),
 t as (select 'N' || cast(n_nationkey as varchar) as abbreviation, n_name as full_name,
              cast(n_regionkey + 1 as int) as strength from nation)
-select l_orderkey, l_linenumber, opponent, cast(coalesce(t.strength, 3) as int) as opp_strength,
+select l_orderkey, l_linenumber, l_partkey, opponent, cast(coalesce(t.strength, 3) as int) as opp_strength,
        coalesce(t.full_name, 'UNKNOWN') as opp_name
 from c left join t on c.opponent = t.abbreviation
 """)
@@ -41,7 +41,7 @@ def lookup_default(spark, sf_dir):
     dim = team_dimension(spark, sf_dir)
     b = L.lookup_default(b, dim, "opponent", "abbreviation", "strength", 3, out="opp_strength")
     b = L.lookup_default(b, dim, "opponent", "abbreviation", "full_name", "UNKNOWN", out="opp_name")
-    return b.select("l_orderkey", "l_linenumber", "opponent", F.col("opp_strength").cast("int"), "opp_name")
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", "opponent", F.col("opp_strength").cast("int"), "opp_name")
 
 
 # ----------------------------------------------------------------- opponent_strength_prior
@@ -57,7 +57,7 @@ prior as (select OPP, d,
 j as (select c.*, coalesce(case when p.pg > 0 then p.pw / p.pg end, 0.5) as OPP_STRENGTH,
              cast(coalesce(date_sub('day', lag(l_shipdate) over ({W_LI}), l_shipdate), 3) as int) as DAYS_REST
       from c left join prior p on c.OPP = p.OPP and c.d = p.d)
-select l_orderkey, l_linenumber, {R4('OPP_STRENGTH')} as opp_strength,
+select l_orderkey, l_linenumber, l_partkey, {R4('OPP_STRENGTH')} as opp_strength,
   {R4(f"coalesce({roll_avg('OPP_STRENGTH', 5, W_LI)}, 0.5)")} as sos_5,
   {R4(f"coalesce({roll_avg('OPP_STRENGTH', 10, W_LI)}, 0.5)")} as sos_10,
   DAYS_REST as days_rest, DAYS_REST - 2 as rest_advantage, cast(DAYS_REST <= 1 as int) as back_to_back,
@@ -70,7 +70,7 @@ def opponent_strength_prior(spark, sf_dir):
     b = L.opponent_prior_win_rate(b, s, "OPP", F.col("WL") == "L")
     b = b.withColumn("DAYS_REST", Wn.days_rest(s))
     b = L.schedule_strength(b, s)
-    return b.select("l_orderkey", "l_linenumber", F.round(F.col("OPP_STRENGTH").cast("decimal(38,8)"), 4)
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("OPP_STRENGTH").cast("decimal(38,8)"), 4)
                     .cast("double").alias("opp_strength"),
                     *[F.round(F.col(f"SOS_{n}").cast("decimal(38,8)"), 4).cast("double").alias(f"sos_{n}")
                       for n in (5, 10)],

@@ -16,13 +16,13 @@ from perflog.plans.bindings import BOX, BOX_SQL, EVENTS, ORDERS, box_scores, eve
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, W_EV, W_LI, r4, roll_avg
 
-KEYS = ("l_orderkey", "l_linenumber")
+KEYS = ("l_orderkey", "l_linenumber", "l_partkey")
 
 
 # ----------------------------------------------------------------- matchup_parse
 @register("matchup_parse", "C1 C2 C3", f"""
 with b as ({BOX_SQL})
-select l_orderkey, l_linenumber,
+select l_orderkey, l_linenumber, l_partkey,
   coalesce(cast(contains(MATCHUP, 'vs.') as int), 0) as home,
   coalesce(cast(contains(MATCHUP, '@') as int), 0) as away,
   case when MATCHUP is null then null
@@ -73,8 +73,8 @@ _DIGITS = f"try_cast(nullif(regexp_extract({_T}, '(\\d+)', 1), '') as double)"
 
 
 @register("minutes_parse", "C4 C5", f"""
-with b as (select l_orderkey, l_linenumber, {_RAW_MIN_SQL} as raw from lineitem)
-select l_orderkey, l_linenumber, raw,
+with b as (select l_orderkey, l_linenumber, l_partkey, {_RAW_MIN_SQL} as raw from lineitem)
+select l_orderkey, l_linenumber, l_partkey, raw,
   {R4(f'''case when raw is null or {_T} = '' then null
        when {_COLON_OK} then {_COLON_VAL}
        when try_cast({_T} as double) is not null then try_cast({_T} as double)
@@ -94,7 +94,7 @@ def minutes_parse(spark, sf_dir):
 @register("efficiency_ratios", "C6-C11", f"""
 with b as ({BOX_SQL}),
 c as (select *, case when FTA > 0 then FTM / FTA else 0.0 end as FT_PCT from b)
-select l_orderkey, l_linenumber,
+select l_orderkey, l_linenumber, l_partkey,
   {R4('case when FGA + 0.44 * FTA > 0 then PTS / (2 * (FGA + 0.44 * FTA)) end')} as ts_pct,
   {R4('case when 2 * (FGA + 0.44 * FTA) > 0 then PTS / (2 * (FGA + 0.44 * FTA)) else 0.0 end')} as ts_pct_or_zero,
   {R4('case when FGA > 0 then (FGM + 0.5 * FG3M) / FGA end')} as efg_pct,
@@ -129,7 +129,7 @@ def efficiency_ratios(spark, sf_dir):
 @register("team_ratings", "C12 C13 C14 C21", f"""
 with b as ({BOX_SQL}),
 c as (select *, FGA + 0.44 * FTA - OREB + TOV as POSS, max(MIN) over (partition by l_suppkey) as mx from b)
-select l_orderkey, l_linenumber,
+select l_orderkey, l_linenumber, l_partkey,
   {R4('(FGM + 0.5 * FG3M) / case when FGA > 0 then FGA else 1 end')} as efg_pct,
   {R4('TOV / case when FGA + 0.44 * FTA + TOV > 0 then FGA + 0.44 * FTA + TOV else 1 end')} as tov_pct,
   {R4('OREB / case when OREB + DREB > 0 then OREB + DREB else 1 end')} as oreb_pct,
@@ -218,7 +218,7 @@ c as (select *, case when FTA > 0 then FTM / FTA end as FT_PCT, nullif(FGA, 0) a
 m as (select l_suppkey, OPP as mode_opp from (
         select l_suppkey, OPP, row_number() over (partition by l_suppkey order by count(*) desc, OPP) as r
         from c where OPP is not null group by l_suppkey, OPP) where r = 1)
-select l_orderkey, l_linenumber,
+select l_orderkey, l_linenumber, l_partkey,
   {R4('coalesce(FT_PCT, avg(FT_PCT) over (partition by c.l_suppkey))')} as ft_pct_filled,
   coalesce(FGA_N, 0) as fga_filled,
   coalesce(MATCHUP, 'UNK') as matchup_filled,
@@ -275,8 +275,8 @@ def null_profile(spark, sf_dir):
 
 # ----------------------------------------------------------------- gates
 @register("warmup_trim", "B13", f"""
-select l_orderkey, l_linenumber from (
-  select l_orderkey, l_linenumber, row_number() over ({W_LI}) as rn,
+select l_orderkey, l_linenumber, l_partkey from (
+  select l_orderkey, l_linenumber, l_partkey, row_number() over ({W_LI}) as rn,
          count(*) over (partition by l_suppkey) as n from lineitem)
 where rn > greatest(10, floor(n * 0.1))
 """)
@@ -331,9 +331,9 @@ def _adj_sql() -> str:
     raw = "raw"
     return f"""
 with b as ({BOX_SQL}),
-c as (select l_orderkey, l_linenumber, MIN,
+c as (select l_orderkey, l_linenumber, l_partkey, MIN,
              {roll_avg('l_extendedprice / 1000', 5, W_LI)} as raw from b)
-select l_orderkey, l_linenumber,
+select l_orderkey, l_linenumber, l_partkey,
   {R4(f"coalesce(greatest(0.0, round_even({raw} * (1 + case when MIN < 20 then -0.15 when MIN > 35 then 0.1 else 0 end + 0.05), 1)), 0.0)")} as value,
   {R4(f"greatest(0.0, {raw} - {raw} * 0.15)")} as low,
   {R4(f"{raw} + {raw} * 0.15")} as high,

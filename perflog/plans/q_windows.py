@@ -57,7 +57,7 @@ _TAX = "nullif(l_tax, 0)"   # a zero tax rate is recorded as missing: rolling nu
 
 
 @register("rolling_mean_std", "D1 D2", f"""
-select l_orderkey, l_linenumber,
+select l_orderkey, l_linenumber, l_partkey,
   {', '.join(f"{R4(roll_avg('l_quantity', n, W_LI))} as qty_avg_{n}, "
              f"{R4(roll_std('l_quantity', n, W_LI))} as qty_std_{n}, "
              f"{R4(roll_avg(_TAX, n, W_LI))} as tax_avg_{n}" for n in (3, 5, 10))}
@@ -71,7 +71,7 @@ def rolling_mean_std(spark, sf_dir):
         cols[f"qty_avg_{n}"] = r4(Wn.rolling_mean("l_quantity", n, s))
         cols[f"qty_std_{n}"] = r4(Wn.rolling_std("l_quantity", n, s))
         cols[f"tax_avg_{n}"] = r4(Wn.rolling_mean("tax", n, s))
-    return li.withColumns(cols).select("l_orderkey", "l_linenumber", *cols)
+    return li.withColumns(cols).select("l_orderkey", "l_linenumber", "l_partkey", *cols)
 
 
 # ----------------------------------------------------------------- rolling_filled (D3)
@@ -142,7 +142,7 @@ def cumulative_mean(spark, sf_dir):
 # ----------------------------------------------------------------- diff_trend
 @register("diff_trend", "D6 D7", f"""
 with d as (select *, l_quantity - lag(l_quantity) over ({W_LI}) as qd from lineitem)
-select l_orderkey, l_linenumber, {R4('qd')} as qty_diff,
+select l_orderkey, l_linenumber, l_partkey, {R4('qd')} as qty_diff,
        {R4(roll_avg('qd', 5, W_LI))} as qty_trend
 from d
 """)
@@ -150,7 +150,7 @@ def diff_trend(spark, sf_dir):
     s = LINEITEM
     li = lineitem_log(spark, sf_dir).withColumn("qty_diff", Wn.diff("l_quantity", s))
     li = Wn.trend(li, "l_quantity", s, 5, out="qty_trend")
-    return li.select("l_orderkey", "l_linenumber", r4("qty_diff").alias("qty_diff"),
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", r4("qty_diff").alias("qty_diff"),
                      r4("qty_trend").alias("qty_trend"))
 
 
@@ -226,7 +226,7 @@ _PM = "(l_quantity - 25.5)"   # a centred, signed per-row margin
 with b as (select *, {_PM} as pm from lineitem),
 c as (select *, {prior_avg('pm', 3, W_LI)} as p3 from b),
 d as (select *, coalesce(p3 - lag(p3) over ({W_LI}), 0) as pm_trend from c)
-select l_orderkey, l_linenumber,
+select l_orderkey, l_linenumber, l_partkey,
   {', '.join(f"{R4(f'coalesce({prior_avg('pm', n, W_LI)}, 0)')} as pm_avg_{n}" for n in (3, 5, 10))},
   {R4('pm_trend')} as pm_trend,
   cast(pm_trend > 5 as int) as positive_momentum, cast(pm_trend < -5 as int) as negative_momentum
@@ -237,7 +237,7 @@ def momentum(spark, sf_dir):
     li = lineitem_log(spark, sf_dir).withColumn("pm", F.expr(_PM))
     li = li.withColumns({f"pm_avg_{n}": r4(Wn.prior_mean("pm", n, s, 0.0)) for n in (3, 5, 10)})
     li = Wn.momentum(li, "pm", s, 3, out="pm_trend")
-    return li.select("l_orderkey", "l_linenumber", "pm_avg_3", "pm_avg_5", "pm_avg_10",
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "pm_avg_3", "pm_avg_5", "pm_avg_10",
                      r4("pm_trend").alias("pm_trend"),
                      F.col("POSITIVE_MOMENTUM").alias("positive_momentum"),
                      F.col("NEGATIVE_MOMENTUM").alias("negative_momentum"))
@@ -289,14 +289,14 @@ def _z_sql(x: str) -> str:
 
 
 @register("zscore", "D19", f"""
-select l_orderkey, l_linenumber, {R4(_z_sql('l_quantity'))} as qty_zscore,
+select l_orderkey, l_linenumber, l_partkey, {R4(_z_sql('l_quantity'))} as qty_zscore,
        {R4(_z_sql('l_extendedprice'))} as price_zscore
 from lineitem
 """)
 def zscore(spark, sf_dir):
     s = LINEITEM
     li = lineitem_log(spark, sf_dir)
-    return li.select("l_orderkey", "l_linenumber", r4(Wn.zscore("l_quantity", s)).alias("qty_zscore"),
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", r4(Wn.zscore("l_quantity", s)).alias("qty_zscore"),
                      r4(Wn.zscore("l_extendedprice", s)).alias("price_zscore"))
 
 

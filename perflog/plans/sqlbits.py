@@ -23,7 +23,7 @@ def R4(expr: str, places: int = 4) -> str:
 # SQL window clauses of the three log bindings
 W_ORD = "partition by o_custkey order by o_orderdate, o_orderkey"
 W_EV = "partition by user_id order by ts, event_id"
-W_LI = "partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber"
+W_LI = "partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey"
 
 WL_SQL = "case o_orderstatus when 'F' then 'W' when 'O' then 'L' end"
 
