@@ -1,0 +1,135 @@
+"""Ordered windows that survive a hot entity (one key holding a large share of rows).
+
+A plain ``Window.partitionBy(entity)`` sends all rows of an entity to one task.
+For entities above ``hot_rows`` rows we instead:
+
+1. cut the entity into time chunks at approximate quantiles of its time
+   column (bounds: one small broadcast table -- at most ``max_chunks`` values
+   for each of at most ``rows / hot_rows`` hot entities);
+2. number rows inside each (entity, chunk) and add the chunk's exact offset
+   (a prefix sum over the small per-chunk count table), giving the exact
+   global row number ``__rn``;
+3. re-cut into buckets of ``rows_per_bucket`` consecutive rows, and copy the
+   last ``lookback`` rows of each bucket into the next one as a *halo*, so any
+   frame that looks back at most ``lookback`` rows is exact inside a bucket;
+4. run the caller's feature builder per (entity, bucket) and drop the halo.
+
+Running state that looks back without bound (the start of the current run for
+streaks) is carried across buckets through a prefix over the small
+per-bucket table.  Entities below the threshold take the ordinary one-shuffle
+path; the two results are unioned.  Results are identical to the plain path
+(tests force every entity to be hot and compare).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from perflog.operators.lookups import sized_broadcast
+from perflog.spec import LogSpec
+
+Builder = Callable[[DataFrame, LogSpec, bool], DataFrame]
+
+
+def hot_entities(df: DataFrame, spec: LogSpec, hot_rows: int) -> DataFrame:
+    """(entity, n) for entities with more than ``hot_rows`` rows.  Partially
+    aggregated; at most ``rows / hot_rows`` rows by construction."""
+    return (df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("__n"))
+              .filter(F.col("__n") > hot_rows))
+
+
+def _time_key(spec: LogSpec):
+    return F.unix_micros(F.col(spec.time).cast("timestamp"))
+
+
+def split_hot(df: DataFrame, spec: LogSpec, hot_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    hot = sized_broadcast(hot_entities(df, spec, hot_rows).select(spec.entity, "__n"))
+    normal = df.join(hot, spec.entity, "left_anti")
+    hot_rows_df = df.join(hot, spec.entity, "left_semi")
+    return normal, hot_rows_df, hot
+
+
+def global_row_numbers(df: DataFrame, spec: LogSpec, hot: DataFrame, rows_per_chunk: int,
+                       max_chunks: int = 4096) -> DataFrame:
+    """Exact per-entity row number ``__rn`` (1-based, in time/tie order) without
+    ever ordering a whole hot entity in one task."""
+    mx = hot.agg(F.max("__n")).first()[0] or 0
+    k = max(2, min(max_chunks, -(-mx // rows_per_chunk)))
+    probs = [i / k for i in range(1, k)]
+    bounds = (df.groupBy(spec.entity)
+                .agg(F.percentile_approx(_time_key(spec), probs, max(10000, 4 * k)).alias("__b")))
+    d = df.join(F.broadcast(bounds), spec.entity)
+    d = d.withColumn("__chunk", F.size(F.filter(F.array_distinct("__b"), lambda b: b < _time_key(spec))))
+    d = d.drop("__b")
+    wc = Window.partitionBy(spec.entity, "__chunk").orderBy(*spec.order())
+    d = d.withColumn("__lrn", F.row_number().over(wc))
+    sizes = d.groupBy(spec.entity, "__chunk").agg(F.count(F.lit(1)).alias("__sz"))
+    wo = Window.partitionBy(spec.entity).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select(spec.entity, "__chunk", F.coalesce(F.sum("__sz").over(wo), F.lit(0)).alias("__off"))
+    return (d.join(offs, [spec.entity, "__chunk"])
+              .withColumn("__rn", F.col("__lrn") + F.col("__off"))
+              .drop("__lrn", "__off", "__chunk"))
+
+
+def with_halo(df: DataFrame, rows_per_bucket: int, lookback: int) -> DataFrame:
+    """Bucket ``__bucket`` by global row number; rows in the last ``lookback``
+    positions of a bucket are copied into the next bucket with ``__halo``."""
+    pos = F.col("__rn") - 1
+    b = F.floor(pos / rows_per_bucket).cast("long")
+    near_end = (pos % rows_per_bucket) >= (rows_per_bucket - lookback)
+    tags = F.when(near_end & F.lit(lookback > 0),
+                  F.array(F.struct(b.alias("bk"), F.lit(False).alias("h")),
+                          F.struct((b + 1).alias("bk"), F.lit(True).alias("h")))) \
+            .otherwise(F.array(F.struct(b.alias("bk"), F.lit(False).alias("h"))))
+    return (df.withColumn("__t", F.explode(tags))
+              .withColumns({"__bucket": F.col("__t.bk"), "__halo": F.col("__t.h")}).drop("__t"))
+
+
+def skew_safe(df: DataFrame, spec: LogSpec, build: Builder, lookback: int,
+              hot_rows: int = 5_000_000, rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Apply ``build(df, spec, per_entity_bucket)`` with hot entities split.
+
+    ``build`` must only use frames that look back at most ``lookback`` rows,
+    plus ``__rn`` for the row number, when called with the bucketed spec.
+    """
+    if rows_per_bucket <= lookback:
+        raise ValueError("rows_per_bucket must exceed lookback")
+    normal, hot_df, hot = split_hot(df, spec, hot_rows)
+    plain = build(normal.withColumn("__rn", F.row_number().over(spec.w())), spec, False)
+    rn = global_row_numbers(hot_df, spec, hot, rows_per_bucket)
+    bucketed = with_halo(rn, rows_per_bucket, lookback)
+    bspec = spec.with_(season="__bucket", tie=spec.tie + ("__rn",))
+    split = build(bucketed, bspec, True).filter(~F.col("__halo")).drop("__bucket", "__halo")
+    return plain.unionByName(split)
+
+
+# ------------------------------------------------------------------ streak carry
+def streaks_skew_safe(df: DataFrame, result: str, spec: LogSpec, win_value="W", loss_value="L",
+                      win_out: str = "WIN_STREAK", loss_out: str = "LOSS_STREAK",
+                      hot_rows: int = 5_000_000, rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Current streaks (D8) with hot entities split.  The run start is a
+    running max; across buckets it is carried by a prefix max over the
+    per-bucket table (one row per bucket)."""
+    from perflog.operators.windows import current_streaks
+    normal, hot_df, hot = split_hot(df, spec, hot_rows)
+    plain = current_streaks(normal, result, spec, win_value, loss_value, win_out, loss_out)
+    rn = global_row_numbers(hot_df, spec, hot, rows_per_bucket)
+    b = with_halo(rn, rows_per_bucket, 1)
+    w = Window.partitionBy(spec.entity, "__bucket").orderBy("__rn")
+    r = F.col(result)
+    b = b.withColumn("__start", F.when((F.col("__rn") == 1) | ~F.lag(r).over(w).eqNullSafe(r), F.col("__rn")))
+    b = b.filter(~F.col("__halo"))
+    run = F.max("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    b = b.withColumn("__ls", run)
+    last = b.groupBy(spec.entity, "__bucket").agg(F.max("__start").alias("__bmax"))
+    wp = Window.partitionBy(spec.entity).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(spec.entity, "__bucket", F.max("__bmax").over(wp).alias("__carry"))
+    b = b.join(carry, [spec.entity, "__bucket"], "left")
+    streak = F.col("__rn") - F.greatest(F.col("__ls"), F.col("__carry")) + 1
+    b = b.withColumns({
+        win_out: F.when(r == F.lit(win_value), streak).otherwise(0).cast("int"),
+        loss_out: F.when(r == F.lit(loss_value), streak).otherwise(0).cast("int")})
+    return plain.unionByName(b.drop("__rn", "__bucket", "__halo", "__start", "__ls", "__carry"))

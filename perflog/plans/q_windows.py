@@ -52,6 +52,33 @@ def recent_form(spark, sf_dir):
     return recent_form_df(orders_log(spark, sf_dir))
 
 
+def recent_form_split_df(o, hot_rows: int, rows_per_bucket: int):
+    """The flagship with hot entities split into row buckets (operators.skew)."""
+    from perflog.operators.skew import skew_safe, streaks_skew_safe
+    s = ORDERS
+    base = o.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "WL")
+
+    def build(d, sp, per):
+        return d.withColumns({"avg_3": r4(Wn.rolling_mean("o_totalprice", 3, sp, per)),
+                              "days_rest": Wn.days_rest(sp, 3, per)})
+
+    df = skew_safe(base, s, build, lookback=2, hot_rows=hot_rows, rows_per_bucket=rows_per_bucket)
+    df = df.withColumn("game_number", F.col("__rn").cast("int")).drop("__rn")
+    df = streaks_skew_safe(df, "WL", s, win_out="win_streak", loss_out="loss_streak",
+                           hot_rows=hot_rows, rows_per_bucket=rows_per_bucket)
+    return df.select("o_orderkey", "o_custkey", "avg_3", "days_rest", "game_number",
+                     "win_streak", "loss_streak")
+
+
+@register("recent_form_split", "D1 D8 D16 D17 skew", RECENT_FORM_SQL, bench=False)
+def recent_form_split(spark, sf_dir):
+    """Same result as ``recent_form``, computed through the hot-entity path:
+    every customer with more than 3 orders is treated as hot and cut into
+    buckets of 4 rows (halo 2), so the split, offsets, halo and streak carry
+    are all exercised against the same oracle."""
+    return recent_form_split_df(orders_log(spark, sf_dir), hot_rows=3, rows_per_bucket=4)
+
+
 # ----------------------------------------------------------------- rolling_mean_std
 _TAX = "nullif(l_tax, 0)"   # a zero tax rate is recorded as missing: rolling nulls poison
 

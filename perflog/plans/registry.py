@@ -17,16 +17,17 @@ class Query:
     build: QueryFn
     sql: str | None          # None: not SQL-expressible; checked by rows + fixture tests
     area: str                # SURVEY section letter(s)
+    bench: bool = True       # part of the throughput benchmark
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, area: str, sql: str | None = None):
+def register(name: str, area: str, sql: str | None = None, bench: bool = True):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, area)
+        REGISTRY[name] = Query(name, fn, sql, area, bench)
         return fn
     return deco
 
