@@ -256,7 +256,8 @@ def ffill_bfill(spark, sf_dir):
     ev = events_log(spark, sf_dir).withColumn(
         "t", F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("ts")))
     ev = C.ffill_bfill(ev, ["t"], by=["user_id"], order=["event_id"], as_of=_AS_OF)
-    return ev.select("event_id", F.unix_micros(F.col("t").cast("timestamp")).alias("t_filled_us"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")     # zone-free epoch micros
+    return ev.select("event_id", F.timestamp_diff("MICROSECOND", epoch, F.col("t")).alias("t_filled_us"))
 
 
 # ----------------------------------------------------------------- null_profile (B1)

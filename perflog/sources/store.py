@@ -19,8 +19,14 @@ from perflog.session import checkpoint_dir
 
 
 # ------------------------------------------------------------------ A8
+def _ts_lit(t: _dt.datetime, typ="timestamp_ntz"):
+    """A time literal built from text, so it does not depend on the Python
+    process or session time zone."""
+    return F.lit(t.isoformat(sep=" ")).cast(typ)
+
+
 def stamp(df: DataFrame, as_of: _dt.datetime, col: str = "updated_at") -> DataFrame:
-    return df.withColumn(col, F.lit(as_of).cast("timestamp"))
+    return df.withColumn(col, _ts_lit(as_of))
 
 
 # ------------------------------------------------------------------ A9
@@ -144,7 +150,7 @@ def recent_window(df: DataFrame, time_col: str, days: int, as_of: _dt.datetime)
     parquet scan as pushed filters."""
     lo = as_of - _dt.timedelta(days=days)
     t, typ = F.col(time_col), df.schema[time_col].dataType
-    return df.filter((t >= F.lit(lo).cast(typ)) & (t <= F.lit(as_of).cast(typ)))
+    return df.filter((t >= _ts_lit(lo, typ)) & (t <= _ts_lit(as_of, typ)))
 
 
 def is_fresh(df: DataFrame, time_col: str, days: int, as_of: _dt.datetime) -> bool:
