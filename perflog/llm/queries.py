@@ -28,6 +28,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_host_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perflog.llm.host_rules import apply_host_rules
+    return apply_host_rules(table(spark, sf_dir, "documents"))
+
+
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.packing import pack
@@ -38,3 +44,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.token_counts import count_tokens
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perflog.llm.toxicity import score_toxicity
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_window_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perflog.llm.window_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import sys
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ def bitmap(df: DataFrame, col: str, bits: int, fold: int = 8) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % fold], pa.int32()),
                                               "bits": pa.array([acc.tobytes()], pa.binary())})
 
-    def merge(key, batches):
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(size, np.uint8)
         for b in batches:
             for x in b.column(b.schema.get_field_index("bits")):
