@@ -13,8 +13,10 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[65:91] += 32
 
-_BYTE, _NEXT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-_POWERS = np.ones(1, U)
+#: Odd multipliers of the polynomial hashes, and the inverse of the first modulo 2^64.
+_BYTE, _NEXT = 0x9E3779B97F4A7C15, U(0xC2B2AE3D27D4EB4F)
+_BACK = pow(_BYTE, -1, 1 << 64)
+_TABLES = [np.ones(1, U), np.ones(1, U)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,53 +26,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of the byte multiplier, at least ``n`` of them."""
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.multiply.accumulate(np.concatenate([[U(1)], np.full(max(n, 1 << 12), _BYTE)]))
-    return _POWERS
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the byte multiplier and of its inverse, at least ``n`` of each."""
+    if len(_TABLES[0]) < n:
+        for i, base in enumerate((_BYTE, _BACK)):
+            _TABLES[i] = np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, U(base))]))
+    return _TABLES
 
 
 class Words:
-    """Words of a chunk of texts. ``start``/``end``: byte places, ``row``: text, ``hash``: of the bytes."""
+    """Words of a chunk of texts. ``start``/``end``: byte places, ``row``: text, ``count``: by text,
+    ``hash``: of a word's bytes as ``fold`` maps them."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, fold: np.ndarray = SAME):
         n = len(data)
         inside = ~space[data]
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
         edge = offs[(offs > 0) & (offs < n)]
-        before[edge] = False
-        after[edge - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
-        self.row = np.searchsorted(offs, self.start, "right") - 1
-        self.count = np.bincount(self.row, minlength=len(offs) - 1) if len(self.row) else np.zeros(len(offs) - 1, np.int64)
-        size = self.end - self.start
-        first = np.cumsum(size) - size
-        if len(size):
-            place = np.arange(int(size.sum())) - np.repeat(first, size)
-            part = (fold[data[inside]].astype(U) + U(1)) * powers(int(size.max()) + 1)[place]
-            self.hash = mix(np.add.reduceat(part, first) ^ (size.astype(U) << U(40)))
-        else:
-            self.hash = np.zeros(0, U)
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        first[edge] = inside[edge]
+        last[edge - 1] = inside[edge - 1]
+        self.start = np.flatnonzero(first)
+        self.end = np.flatnonzero(last) + 1
+        self.count = np.diff(np.searchsorted(self.start, offs))
+        self.row = np.repeat(np.arange(len(offs) - 1), self.count)
+        forth, back = powers(max(n + 1, 1 << 20))
+        total = np.zeros(n + 1, U)
+        np.cumsum((fold + U(1))[data] * forth[:n], out=total[1:])
+        size = (self.end - self.start).astype(U)
+        self.hash = mix((total[self.end] - total[self.start]) * back[self.start] ^ (size << U(40)))
 
-    def windows(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word and hash of every run of ``k`` words of one text."""
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U)
-        h = np.full(n, U(seed * 2 + 1))
+        h = np.full(n, U(1))
         for j in range(k):
-            h = h * _NEXT + (self.hash[j:j + n] if not seed else mix(self.hash[j:j + n] + U(seed)))
+            h = h * _NEXT + self.hash[j:j + n]
         at = np.flatnonzero(self.row[:n] == self.row[k - 1:])
         return at, mix(h[at])
 
 
 def covered(at: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Which of ``n`` items lie in a run of ``k`` that starts at one of ``at``."""
+    """Which of ``n`` items lie in a run of ``k`` that starts at one of the different places ``at``."""
     d = np.zeros(n + 1, np.int64)
-    np.add.at(d, at, 1)
-    np.add.at(d, np.minimum(at + k, n), -1)
+    d[at] += 1
+    np.subtract.at(d, np.minimum(at + k, n), 1)
     return np.cumsum(d[:-1]) > 0
