@@ -52,6 +52,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perflog.llm.ngram_join import link
+    return link(table(spark, sf_dir, "documents"))
+
+
 @query("op9_window_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.window_dedup import remove_repeats

@@ -68,6 +68,14 @@ class Words:
         at = np.flatnonzero(self.row[:n] == self.row[k - 1:])
         return at, mix(h[at])
 
+    def whole(self, rows: np.ndarray) -> np.ndarray:
+        """Hash of the whole word sequence of some (short) texts."""
+        h, at = np.full(len(rows), U(1)), np.cumsum(self.count)[rows] - self.count[rows]
+        for j in range(int(self.count[rows].max())):
+            more = self.count[rows] > j
+            h[more] = h[more] * _NEXT + self.hash[at[more] + j]
+        return mix(h)
+
 
 def covered(at: np.ndarray, k: int, n: int) -> np.ndarray:
     """Which of ``n`` items lie in a run of ``k`` that starts at one of the different places ``at``."""
