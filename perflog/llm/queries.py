@@ -68,3 +68,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.window_dedup import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op10_tool_calls")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perflog.llm.tool_calls import SCHEMAS, as_tool_messages, link_calls
+    return link_calls(as_tool_messages(table(spark, sf_dir, "conversations")), SCHEMAS)
