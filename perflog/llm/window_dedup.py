@@ -4,10 +4,10 @@ First pass: every task counts the documents of each window hash in count-min ske
 part, written as short gap lists, one for each range of counters. One group per range adds up
 the parts. Counts can only be too high, so a window whose counters stay below two in any
 row of the sketch occurs in one document only and is dropped for good; none that repeats is
-lost. Second pass: the windows estimated repeated are grouped exactly (by 84 bits of two
+lost. Second pass: the windows estimated repeated are grouped exactly (by 90 bits of two
 independent hashes) to find the smallest document of each. Windows that the sketch holds possible in ``heavy``
-or more documents are summed before they move and joined back, where hot keys are split; all
-others have fewer than ``heavy`` documents in a group. At last, a document's marked window
+or more documents are split by salt, and each part gets the least document of all parts, which is summed
+before it moves; all others have fewer than ``heavy`` documents in a group. At last, a document's marked window
 starts meet its text, and covered words go.
 
 The sketch's size follows the corpus up to ``most_counters`` per row (two rows; 64 MB of
@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perflog.llm.runtime import bitmap, chunks, has_bit, pow2, ready, stage, text_hash, utf8
-from perflog.llm.words import Words, covered
+from perflog.llm.words import U, Words, covered, mix
 
-U = np.uint64
 RANGES = 64
 #: Window hashes that a task gathers before it writes a part of its sketch.
 GATHER = 4 << 20
 HEAVY_BITS = 1 << 24
+#: Parts into which a heavy window's documents are split.
+SALTS = 64
 NO_ID = (1 << 63) - 1
 
 
@@ -134,8 +135,10 @@ def bit(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
 
 
-def repeated_rows(docs: DataFrame, k: int, counters: int, shared, want: str) -> DataFrame:
-    """h, doc and aux (check bits, text tag, place) of every window estimated repeated; ``want``: heavy ones or the others."""
+def repeated_rows(docs: DataFrame, k: int, counters: int, shared, heavy_only: bool = False) -> DataFrame:
+    """h, part, doc and aux (text tag, place) of every different window of a document that is estimated repeated, at its first place.
+
+    ``part`` holds check bits from a second hash and, for windows estimated heavy, one of SALTS numbers by document."""
 
     def run(batches):
         found, hot = shared.value
@@ -149,21 +152,29 @@ def repeated_rows(docs: DataFrame, k: int, counters: int, shared, want: str) ->
                 s = slots(h, 0, counters)
                 may = bit(found[0], s)
                 may[may] = bit(found[1], slots(h[may], 1, counters))
-                may &= bit(hot, s % HEAVY_BITS) == (want == "heavy")
+                often = bit(hot, s % HEAVY_BITS)
+                if heavy_only:
+                    may &= often
                 if not may.any():
                     continue
-                other = np.zeros(int(may.sum()), U)
-                first = at[may]
+                at, h, often = at[may], h[may], often[may]
+                row = w.row[at]
+                order = np.lexsort((at, h, row))
+                first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])])
+                order = np.sort(order[first])
+                at, h, often, row = at[order], h[order], often[order], row[order]
+                other = np.zeros(len(at), U)
                 for j in range(k):
-                    other = other * U(0xA24BAED4963EE407) + (w.hash[first + j] ^ U(0x9FB21C651E98DF25))
-                row = w.row[first]
+                    other = other * U(0xA24BAED4963EE407) + (w.hash[at + j] ^ U(0x9FB21C651E98DF25))
                 start = np.cumsum(w.count) - w.count
-                aux = ((other >> U(44)) << U(44)) | ((tag[lo:hi][row].astype(U) & U(0xFFF)) << U(32)) | (first - start[row]).astype(U)
-                yield pa.RecordBatch.from_arrays([pa.array(h[may].view(np.int64)), pa.array(doc[lo:hi][row]), pa.array(aux.view(np.int64))],
-                                                 ["h", "doc", "aux"])
+                mine = doc[lo:hi][row]
+                salt = np.where(often, (mix(mine.view(U)) % U(SALTS)).astype(np.int64), 0)
+                part = ((other >> U(38)).astype(np.int64) * SALTS + salt - (1 << 31)).astype(np.int32)
+                aux = (tag[lo:hi][row].astype(np.int64) << 32) | (at - start[row])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part), pa.array(mine), pa.array(aux)],
+                                                 ["h", "part", "doc", "aux"])
 
-    return docs.select("__doc", "__tag", "__text").mapInArrow(run, "h long, doc long, aux long").withColumn(
-        "check", F.shiftrightunsigned("aux", 44))
+    return docs.select("__doc", "__tag", "__text").mapInArrow(run, "h long, part int, doc long, aux long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, heavy: int = 100,
@@ -178,15 +189,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counters = pow2(size / 3, 1 << 20, most_counters)
     found, hot = sketch(docs, k, counters, heavy)
     shared = spark.sparkContext.broadcast((found, hot))
-    light = repeated_rows(docs, k, counters, shared, "light")
-    group = Window.partitionBy("h", "check")
-    marks = light.withColumn("least", F.min("doc").over(group)).where("doc > least").select("doc", "aux")
+    rows = repeated_rows(docs, k, counters, shared)
     if hot.any():
-        rows = repeated_rows(docs, k, counters, shared, "heavy")
-        least = (rows.groupBy("h", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-                 .select(F.col("h").alias("h2"), F.col("check").alias("check2"), "least"))
-        marks = marks.unionByName(rows.join(least, (F.col("h") == F.col("h2")) & (F.col("check") == F.col("check2")) & (F.col("doc") > F.col("least")))
-                                  .select("doc", "aux"))
+        # a heavy window's groups are split by salt; each gets the least document of all, summed before it moves
+        base = F.col("part") - F.pmod(F.col("part"), F.lit(SALTS))
+        least = repeated_rows(docs, k, counters, shared, heavy_only=True).groupBy("h", base.alias("part")).agg(F.min("doc").alias("doc"))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        rows = rows.unionByName(least.select("h", "part", "doc", salts.alias("salt")).select(
+            "h", (F.col("part") + F.col("salt")).alias("part"), "doc", F.lit(-1).cast("long").alias("aux")))
+    group = Window.partitionBy("h", "part")
+    marks = rows.withColumn("least", F.min("doc").over(group)).where("doc > least and aux >= 0").select("doc", "aux")
     marks = stage(marks.groupBy("doc").agg(F.collect_list("aux").alias("starts")), "marks")
     touched = spark.sparkContext.broadcast(bitmap(marks, "doc", pow2(16 * marks.count(), 1 << 16, 1 << 28)))
 
@@ -211,23 +223,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches):
         for b in batches:
             ids, tags, n, sha, texts, starts = (b.column(i) for i in range(6))
-            removed, out, kept_texts = [], sha.to_pylist(), []
-            for i, n_words in enumerate(n.to_pylist()):
-                gone = 0
-                kept = texts[i].as_py().encode().split() if texts[i].is_valid else []
-                if starts[i].is_valid:
-                    aux = starts[i].values.to_numpy(zero_copy_only=False).view(U)
-                    aux = aux[((aux >> U(32)) & U(0xFFF)) == U(tags[i].as_py())]
-                    at = np.unique((aux & U(0xFFFFFFFF)).astype(np.int64))
-                    if len(at):
-                        drop = covered(at, k, n_words)
-                        kept = [w for w, d in zip(kept, drop.tolist()) if not d]
-                        gone = n_words - len(kept)
-                        out[i] = hashlib.sha256(b" ".join(kept)).hexdigest()
-                removed.append(gone)
-                if with_text:
-                    kept_texts.append(b" ".join(kept).decode())
-            yield pa.RecordBatch.from_arrays([ids, n, pa.array(removed, pa.int64()), pa.array(out, pa.string())] + [pa.array(kept_texts, pa.string())] * with_text, names)
+            out, removed, kept_texts = sha.to_pylist(), np.zeros(len(ids), np.int64), texts.to_pylist()
+            data, offs = utf8(texts)
+            for lo, hi in chunks(offs):
+                if starts.slice(lo, hi - lo).null_count == hi - lo and not with_text:
+                    continue
+                part = data[offs[lo]:offs[hi]]
+                w, at, h = doc_windows(part, offs[lo:hi + 1] - offs[lo], k)
+                edge, window = np.concatenate([[0], np.cumsum(w.count)]), np.searchsorted(w.row[at], np.arange(hi - lo + 1))
+                for i in range(hi - lo):
+                    drop = np.zeros(w.count[i], bool)
+                    if starts[lo + i].is_valid:
+                        aux = starts[lo + i].values.to_numpy(zero_copy_only=False)
+                        first = aux[(aux >> 32) == tags[lo + i].as_py()] & 0xFFFFFFFF
+                        mine = h[window[i]:window[i + 1]]
+                        # a text whose tag is another's by chance can be shorter; its own windows are all within
+                        again = np.isin(mine, mine[first[first < len(mine)]])
+                        drop = covered(np.flatnonzero(again), k, len(drop))
+                    if drop.any() or with_text:
+                        raw = [part[x:y].tobytes() for x, y in zip(w.start[edge[i]:edge[i + 1]][~drop], w.end[edge[i]:edge[i + 1]][~drop])]
+                        removed[lo + i] = drop.sum()
+                        out[lo + i] = hashlib.sha256(b" ".join(raw)).hexdigest()
+                        kept_texts[lo + i] = b" ".join(raw).decode()
+            yield pa.RecordBatch.from_arrays([ids, n, pa.array(removed), pa.array(out, pa.string())] + [pa.array(kept_texts, pa.string())] * with_text, names)
 
     joined = all_docs.join(marks, F.col("__doc") == F.col("doc"), "left").select("__id", "__tag", "n_words", "sha", "__text", "starts")
     return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
