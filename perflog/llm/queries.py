@@ -64,6 +64,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perflog.llm.personal_data import find_personal_data
+    return find_personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
 @query("op9_window_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.window_dedup import remove_repeats
