@@ -36,9 +36,10 @@ def powers(n: int) -> list[np.ndarray]:
 
 class Words:
     """Words of a chunk of texts. ``start``/``end``: byte places, ``row``: text, ``count``: by text,
-    ``hash``: of a word's bytes as ``fold`` maps them."""
+    ``hash``: of a word's bytes as ``fold`` maps them. Words end at ``space`` and before ``breaks`` (places inside words)."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, fold: np.ndarray = SAME):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, fold: np.ndarray = SAME,
+                 breaks: np.ndarray | None = None):
         n = len(data)
         inside = ~space[data]
         edge = offs[(offs > 0) & (offs < n)]
@@ -47,6 +48,8 @@ class Words:
         last[:-1] &= ~inside[1:]
         first[edge] = inside[edge]
         last[edge - 1] = inside[edge - 1]
+        if breaks is not None and len(breaks):
+            first[breaks] = last[breaks - 1] = True
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.count = np.diff(np.searchsorted(self.start, offs))
