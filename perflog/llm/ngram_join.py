@@ -244,7 +244,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
          extra: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, n_shingles, component_id of every row (and columns named in ``extra``): sets of ``k``-word shingles, ASCII letters
+    """``id_col``, n_shingles, component_id, component (its number, 0 for empty sets) of every row (and columns named in ``extra``): sets of ``k``-word shingles, ASCII letters
     in lower case, are linked where 100 * intersection >= ``percent`` * union (``percent`` of at least 80)."""
     if percent < 80:
         raise ValueError("the prefix of a quarter holds for 80 percent and more")
@@ -302,7 +302,26 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
     of = classes.select("c", "least").join(found, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("part"))
     least = of.groupBy("part").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "part").select(F.col("c").alias("__c"), "component_id")
+    of = of.join(least, "part").select(F.col("c").alias("__c"), "component_id", F.col("part").alias("component"))
     out = rows.join(of, F.col("c") == F.col("__c"), "left")
     return out.select(F.col("__id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id"), *extra)
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id"),
+                      F.coalesce("component", F.lit(0)).cast("long").alias("component"), *extra)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id (nulls last), then text hash; of equal rows, one.
+    Texts without words are kept."""
+    docs = docs.withColumn("__h", text_hash(F.col(text_col)))
+    verdict = stage(link(docs, id_col, text_col, k, percent, ("__h",)).where("n_shingles > 0").select(F.col(id_col).alias("__i"), "__h", "component"), "verdict")
+    # null ids go last
+    rank = F.struct(F.col("__i").isNull().alias("none"), F.coalesce(F.col("__i"), F.lit(0)).alias("i"), F.col("__h").alias("h"))
+    groups = verdict.groupBy("component").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    found = verdict.join(groups, "component").select("__i", F.col("__h").alias("__g"), (rank == F.col("best")).alias("stays"))
+    found = stage(found.groupBy("__i", "__g", "stays").agg(F.count(F.lit(1)).alias("rows")), "copies")
+    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g"))
+    kept = docs.join(stage(found.where("not stays").select("__i", "__g"), "gone"), same, "left_anti")
+    again = stage(found.where("stays and rows > 1").select("__i", "__g"), "again")
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, "__h"]))
+    return kept.drop("__h")

@@ -67,7 +67,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.ngram_join import link
-    return link(table(spark, sf_dir, "documents"))
+    return link(table(spark, sf_dir, "documents")).drop("component")
 
 
 @query("op8_personal_data")

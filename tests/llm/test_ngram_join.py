@@ -64,3 +64,16 @@ def test_components_of_long_chains(spark):
 def test_empty(spark):
     from perflog.llm.ngram_join import link
     assert link(spark.createDataFrame([], brute.SCHEMA)).collect() == []
+
+
+def test_drop_copies(spark):
+    from perflog.llm.ngram_join import drop_copies
+    df = spark.createDataFrame(brute.odd_documents(), brute.SCHEMA)
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    sets = brute.components(docs)
+    kept = [(r.doc_id, r.text) for r in drop_copies(df).collect()]
+    assert sorted(map(repr, (d for d, s in zip(docs, sets) if s[1] == 0))) == sorted(map(repr, (d for d in kept if not brute.words(d[1]))))
+    rest = [d for d in kept if brute.words(d[1])]
+    assert all(d in docs for d in rest) and len(set(rest)) == len(rest)
+    assert all(n == 0 or i == c for i, n, c in brute.components(kept))
+    assert len(rest) == len({s[2] for s in sets if s[1]})
