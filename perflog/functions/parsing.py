@@ -43,11 +43,11 @@ def opponent_last_token(matchup) -> Column:
 
 # ------------------------------------------------------------------ C4 / C5
 def _colon_minutes(s: Column) -> Column:
-    parts = F.split(s, ":", -1)
-    mins = F.element_at(parts, 1).try_cast("double")
-    secs = F.element_at(parts, 2).try_cast("double")
-    ok = (F.size(parts) == 2) & mins.isNotNull() & secs.isNotNull()
-    return F.when(ok, mins + secs / 60.0)
+    # one pass: with exactly one colon, the text before and after it; null operands give null
+    one = F.length(s) - F.length(F.replace(s, F.lit(":"), F.lit(""))) == 1
+    mins = F.substring_index(s, ":", 1).try_cast("double")
+    secs = F.substring_index(s, ":", -1).try_cast("double")
+    return F.when(one, mins + secs / 60.0)
 
 
 def _first_digits(s: Column) -> Column:
@@ -57,42 +57,39 @@ def _first_digits(s: Column) -> Column:
 def minutes(raw) -> Column:
     """Null-preserving minutes parse: ``mm:ss`` -> m + s/60; a plain number; else
     the first digit run; else null.  Blank and null give null."""
-    r = _c(raw)
-    s = F.trim(r.cast("string"))
-    colon = _colon_minutes(s)
-    num = s.try_cast("double")
-    return (F.when(r.isNull() | (s == ""), F.lit(None).cast("double"))
-             .when(s.contains(":") & colon.isNotNull(), colon)
-             .when(num.isNotNull(), num)
-             .otherwise(_first_digits(s)))
+    s = F.trim(_c(raw).cast("string"))
+    # coalesce evaluates a later branch only where the earlier ones are null
+    return F.coalesce(F.when(s.contains(":"), _colon_minutes(s)).otherwise(s.try_cast("double")), _first_digits(s))
 
 
 def minutes_or_zero(raw) -> Column:
     """Zero-defaulting minutes parse: null, blank or unparsable -> 0; a malformed
     ``mm:ss`` falls back to its first digit run (else 0); no digit-run fallback
     without a colon."""
-    r = _c(raw)
-    s = F.trim(r.cast("string"))
-    colon = _colon_minutes(s)
-    return (F.when(r.isNull() | (s == ""), F.lit(0.0))
-             .when(s.contains(":"), F.coalesce(colon, _first_digits(s), F.lit(0.0)))
-             .otherwise(F.coalesce(s.try_cast("double"), F.lit(0.0))))
+    s = F.trim(_c(raw).cast("string"))
+    return F.coalesce(F.when(s.contains(":"), F.coalesce(_colon_minutes(s), _first_digits(s)))
+                      .otherwise(s.try_cast("double")), F.lit(0.0))
 
 
 # ------------------------------------------------------------------ B7-B10
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMM dd, yyyy",
                 "MMM d, yyyy", "MM/dd/yyyy")
+OFFSET_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
 
 def parse_date(raw, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """First format that parses wins; unparsable -> null (never raises).
 
-    Month names are matched case-insensitively by upper-casing only the first
-    letter pattern (``APR 14, 2024`` parses).
+    Case does not matter (``APR 14, 2024`` parses).  The text is read as UTC and its
+    distance from 1970 is added to a zone-free epoch, so no session time zone or
+    clock change touches the value; a text with an offset gives its UTC time.
     """
-    r = _c(raw).cast("string")
-    norm = F.initcap(F.lower(F.trim(r)))
-    return F.coalesce(*[F.try_to_timestamp(norm, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    norm = F.initcap(F.lower(F.trim(_c(raw).cast("string"))))
+    utc = F.concat(norm, F.lit(" +0000"))
+    read = [F.try_to_timestamp(utc, F.lit(f"{f} Z")) for f in formats]
+    read.append(F.try_to_timestamp(F.upper(norm), F.lit(OFFSET_FORMAT)))
+    micros = F.unix_micros(F.coalesce(*read))
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def to_double(raw) -> Column:

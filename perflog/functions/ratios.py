@@ -101,9 +101,10 @@ def win_flag(wl) -> Column:
 
 
 def blowout_win(plus_minus, win) -> Column:
-    """Won by more than 15."""
-    return ((_c(plus_minus) > 15) & (_c(win) == 1)).cast("int")
+    """Won by more than 15; an unknown margin is 0."""
+    return F.coalesce(((_c(plus_minus) > 15) & (_c(win) == 1)).cast("int"), F.lit(0))
 
 
 def close_game(plus_minus) -> Column:
-    return (F.abs(_c(plus_minus)) < 5).cast("int")
+    """Decided by fewer than 5; an unknown margin is 0."""
+    return F.coalesce((F.abs(_c(plus_minus)) < 5).cast("int"), F.lit(0))

@@ -8,11 +8,14 @@ partially aggregated pass.  Nothing here collects data to the driver.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perflog.operators.split import numbered
+from perflog.operators.stats import with_entity_stats
 from perflog.spec import LogSpec
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -39,8 +42,8 @@ def fill_mean(df: DataFrame, cols: list[str], spec: LogSpec | None = None) -> Da
     """B2: fill with the column mean of the entity (or the whole frame); an
     all-null column stays null."""
     if spec is not None:
-        w = spec.whole()
-        return df.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(w)) for c in cols})
+        out = with_entity_stats(df, spec.keys(), **{f"__m_{c}": F.avg(c) for c in cols})
+        return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in cols}).drop(*[f"__m_{c}" for c in cols])
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(means[c]).cast("double")) for c in cols})
 
@@ -60,31 +63,33 @@ def fill_mode(df: DataFrame, cols: list[str], by: list[str] | None = None,
     """Fill strings with the most frequent value of the group (ties -> the
     smallest value); all-null groups get ``default``.
 
-    The mode is a partially aggregated ``groupBy`` (a hot group sends one
-    small map of counts per map task), joined back on the group key.
+    Values are counted by (group, value) and the best is taken from the counts, so
+    no buffer holds the distinct values of a group.
     """
-    modes = [F.mode(c, deterministic=True).alias(f"__mode_{c}") for c in cols]
-    if not by:
-        row = df.agg(*modes).first()
-        return df.withColumns({c: F.coalesce(F.col(c), F.lit(row[f"__mode_{c}"]), F.lit(default))
-                               for c in cols})
-    m = df.groupBy(*by).agg(*modes)
-    out = df.join(m, by, "left")
-    return (out.withColumns({c: F.coalesce(F.col(c), F.col(f"__mode_{c}"), F.lit(default)) for c in cols})
-               .drop(*[f"__mode_{c}" for c in cols]))
+    for c in cols:
+        counts = df.where(F.col(c).isNotNull()).groupBy(*(by or []), F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        top = F.min_by("__v", F.struct((-F.col("__n")).alias("n"), F.col("__v").alias("v"))).alias("__mode")
+        if by:
+            m = counts.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]).agg(top)
+            on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)]
+            df = df.join(m, reduce(lambda a, b: a & b, on), "left").drop(*[f"__k{i}" for i in range(len(by))])
+        else:
+            df = df.withColumn("__mode", F.lit(counts.agg(top).first()[0]).cast(df.schema[c].dataType))
+        df = df.withColumn(c, F.coalesce(F.col(c), F.col("__mode"), F.lit(default))).drop("__mode")
+    return df
 
 
 # ------------------------------------------------------------------ B6
 def ffill_bfill(df: DataFrame, cols: list[str], by: list[str], order: list[str],
                 as_of: _dt.date | None = None) -> DataFrame:
     """Forward then backward fill in ingest order; a group with no value at all
-    takes ``as_of`` (explicit, not the wall clock)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    fwd = w.rowsBetween(Window.unboundedPreceding, 0)
-    bwd = w.rowsBetween(0, Window.unboundedFollowing)
+    takes ``as_of`` (explicit, not the wall clock).  Both directions are running
+    frames: linear in the rows, the second behind one more sort."""
+    fwd = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    bwd = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     out = {}
     for c in cols:
-        filled = F.coalesce(F.col(c), F.last(c, True).over(fwd), F.first(c, True).over(bwd))
+        filled = F.coalesce(F.col(c), F.last(c, True).over(fwd), F.last(c, True).over(bwd))
         if as_of is not None:
             filled = F.coalesce(filled, F.lit(as_of).cast(df.schema[c].dataType))
         out[c] = filled
@@ -98,19 +103,18 @@ def drop_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def min_rows_gate(df: DataFrame, spec: LogSpec, n: int, per_season: bool = False) -> DataFrame:
-    """Keep only entities with at least n rows (shares the entity exchange)."""
-    return (df.withColumn("__n", F.count(F.lit(1)).over(spec.whole(per_season)))
-              .filter(F.col("__n") >= n).drop("__n"))
+    """Keep only entities with at least n rows."""
+    return with_entity_stats(df, spec.keys(per_season), __n=F.count(F.lit(1))).filter(F.col("__n") >= n).drop("__n")
 
 
 def warmup_trim(df: DataFrame, spec: LogSpec, min_rows: int = 10, frac: float = 0.1,
                 per_season: bool = False) -> DataFrame:
-    """Drop each entity's first ``max(min_rows, floor(frac * n))`` rows."""
-    rn = F.row_number().over(spec.w(per_season))
-    n = F.count(F.lit(1)).over(spec.whole(per_season))
-    return (df.withColumns({"__rn": rn, "__n": n})
-              .filter(F.col("__rn") > F.greatest(F.lit(min_rows), F.floor(F.col("__n") * frac)))
-              .drop("__rn", "__n"))
+    """Drop each entity's first ``max(min_rows, floor(frac * n))`` rows.  A
+    column ``__rn`` (operators.split) is used as the row number where there is one."""
+    known = "__rn" in df.columns
+    rows = df if known else (df.withColumn("__rn", F.row_number().over(spec.w(True))) if per_season else numbered(df, spec).drop("__e"))
+    rows = with_entity_stats(rows, spec.keys(per_season), __n=F.count(F.lit(1)))
+    return rows.filter(F.col("__rn") > F.greatest(F.lit(min_rows), F.floor(F.col("__n") * frac))).drop("__n", *([] if known else ["__rn"]))
 
 
 # ------------------------------------------------------------------ B14-B16

@@ -1,8 +1,7 @@
 """Dimension lookups and opponent strength.
 
-Dimensions are broadcast only behind an explicit, bounded size check
-(:func:`sized_broadcast`); beyond the bound the join falls back to a shuffle
-join, where AQE can still split skewed partitions.
+No lookup runs a job of its own or hints a broadcast for a table of unknown
+size: adaptive execution chooses by the bytes it has seen.
 """
 
 from __future__ import annotations
@@ -12,47 +11,46 @@ from pyspark.sql import functions as F
 
 from perflog.functions.predict import DEFAULT_ROLE, STAT_ROLES
 from perflog.operators import windows as Wn
+from perflog.operators.split import in_pieces
 from perflog.spec import LogSpec
 
-MAX_BROADCAST_ROWS = 2_000_000
 
-
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if ``df`` has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan
-    early), so it is cheap exactly when broadcasting is right.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def lookup_defaults(df: DataFrame, dim: DataFrame, left_on: str, right_on: str, values: dict[str, tuple[str, object]]) -> DataFrame:
+    """Left join dimension values, a default on a miss or a null.
+    ``values``: output column -> (dimension column, default).  Of several rows of one
+    key the smallest (by the values in the order given) counts, so the join never
+    multiplies rows and never depends on their order.  Catalyst broadcasts the
+    dimension where run-time statistics show it small, and splits a skewed join
+    where not."""
+    cols = list(dict.fromkeys(c for c, _ in values.values()))
+    d = (dim.where(F.col(right_on).isNotNull()).groupBy(F.col(right_on).alias("__k"))
+            .agg(F.min(F.struct(*[F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)])).alias("__v")))
+    j = df.join(d, F.col(left_on) == F.col("__k"), "left")
+    return j.withColumns({out: F.coalesce(F.col(f"__v.__v{cols.index(c)}"), F.lit(default))
+                          for out, (c, default) in values.items()}).drop("__k", "__v")
 
 
 def lookup_default(df: DataFrame, dim: DataFrame, left_on: str, right_on: str, value: str,
-                   default, out: str | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Left join a dimension value, ``default`` on a miss.  The
-    dimension is de-duplicated on its key first so the join never multiplies rows."""
-    out = out or value
-    d = dim.select(F.col(right_on).alias("__k"), F.col(value).alias("__v")).dropDuplicates(["__k"])
-    j = df.join(sized_broadcast(d, max_rows), F.col(left_on) == F.col("__k"), "left")
-    return j.withColumn(out, F.coalesce(F.col("__v"), F.lit(default))).drop("__k", "__v")
+                   default, out: str | None = None) -> DataFrame:
+    """F1 / F4 for a single value."""
+    return lookup_defaults(df, dim, left_on, right_on, {out or value: (value, default)})
 
 
 def resolve_ids(df: DataFrame, dim: DataFrame, name_col: str, dim_name: str, dim_id: str,
                 out: str = "id") -> DataFrame:
-    """name -> id (inner join; unknown names drop out)."""
-    d = dim.select(F.col(dim_name).alias("__n"), F.col(dim_id).alias(out)).dropDuplicates(["__n"])
-    return df.join(sized_broadcast(d), F.col(name_col) == F.col("__n"), "inner").drop("__n")
+    """name -> id (inner join; unknown names drop out, the smallest id of a name that several bear counts)."""
+    d = dim.groupBy(F.col(dim_name).alias("__n")).agg(F.min(dim_id).alias(out))
+    return df.join(d, F.col(name_col) == F.col("__n"), "inner").drop("__n")
 
 
 def role_table(spark: SparkSession) -> DataFrame:
     """F6 as a tiny fixed table (6 rows)."""
-    return spark.createDataFrame(STAT_ROLES, "stat string, role string, emphasis string")
+    return spark.createDataFrame(STAT_ROLES, "__stat string, role string, emphasis string")
 
 
 def with_role_context(df: DataFrame, stat_col: str) -> DataFrame:
     """(role, emphasis) per stat, default all_around / balanced."""
-    roles = role_table(df.sparkSession)
-    j = df.join(F.broadcast(roles), F.col(stat_col) == roles["stat"], "left").drop(roles["stat"])
+    j = df.join(F.broadcast(role_table(df.sparkSession)), F.col(stat_col) == F.col("__stat"), "left").drop("__stat")
     return j.withColumns({"role": F.coalesce(F.col("role"), F.lit(DEFAULT_ROLE[0])),
                           "emphasis": F.coalesce(F.col("emphasis"), F.lit(DEFAULT_ROLE[1]))})
 
@@ -83,10 +81,15 @@ def opponent_prior_win_rate(df: DataFrame, spec: LogSpec, opponent: str, opp_won
 def schedule_strength(df: DataFrame, spec: LogSpec, strength: str = "OPP_STRENGTH",
                       rest: str = "DAYS_REST", windows=(5, 10), default: float = 0.5) -> DataFrame:
     """Rolling mean of opponent strength (current row included), 0.5 until
-    the window is full; rest advantage = rest - 2; extra rest = rest >= 3."""
-    cols = {f"SOS_{n}": F.coalesce(Wn.rolling_mean(strength, n, spec), F.lit(default)) for n in windows}
-    if rest in df.columns:
+    the window is full; rest advantage = rest - 2; extra rest = rest >= 3.  ``rest`` is made
+    where the log lacks it.  One pass over the entity's pieces serves all."""
+    def build(p):
+        cols = {f"SOS_{n}": F.coalesce(Wn.rolling_mean(strength, n, p, True), F.lit(default)) for n in windows}
+        return cols if rest in df.columns else cols | {rest: Wn.days_rest(p, 3, True, spec.time)}
+
+    cols, out = {}, in_pieces(df, spec, max(windows), build)
+    if rest in out.columns:
         cols.update({"REST_ADVANTAGE": F.col(rest) - 2,
                      "BACK_TO_BACK": (F.col(rest) <= 1).cast("int"),
                      "EXTRA_REST": (F.col(rest) >= 3).cast("int")})
-    return df.withColumns(cols)
+    return out.withColumns(cols)

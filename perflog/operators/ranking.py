@@ -53,7 +53,8 @@ def union_seasons(frames: list[DataFrame]) -> DataFrame:
 
 
 def dedup_latest(df: DataFrame, keys: list[str], version_col: str = "updated_at") -> DataFrame:
-    """H2: keep the newest version of each key (latest wins).  Unlike
-    ``dropDuplicates`` the survivor is chosen deterministically."""
-    w = Window.partitionBy(*keys).orderBy(F.col(version_col).desc_nulls_last())
-    return df.withColumn("__v", F.row_number().over(w)).filter(F.col("__v") == 1).drop("__v")
+    """H2: keep the newest version of each key (latest wins, then the greatest row;
+    rows without a key all stay).  Unlike ``dropDuplicates`` the survivor is
+    chosen deterministically."""
+    from perflog.sources.store import newest
+    return newest(df, keys, [version_col])

@@ -2,9 +2,11 @@
 
 Most functions return a ``Column`` so callers can add many features in one
 ``withColumns``: Catalyst then groups window expressions that share a
-partition/order spec into one ``WindowExec`` behind one hash exchange on the
-entity and one sort.  Operators that need two window passes (streaks, EWM
-carry) are ``DataFrame -> DataFrame`` transforms.
+partition/order spec into one ``WindowExec`` behind one exchange and one sort.
+With ``per_season`` and the spec of :mod:`perflog.operators.split` they run in
+pieces of bounded size, whatever an entity's share of the rows.  Operators that
+need several passes (streaks, EWM, entity statistics) are ``DataFrame ->
+DataFrame`` transforms.
 
 Null semantics follow pandas ``rolling(n)`` (``min_periods = n``): any null in
 the frame, or a frame shorter than ``n``, gives null.  Expanding means skip
@@ -15,9 +17,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perflog.operators.split import CHUNK_SECONDS, bucketed, numbered
+from perflog.operators.stats import with_entity_stats
 from perflog.spec import LogSpec
 
 
@@ -43,21 +47,16 @@ def rolling_sum(x, n: int, spec: LogSpec, per_season: bool = False) -> Column:
 
 
 # ---------------------------------------------------------------- D3
-def entity_mean(x, spec: LogSpec, per_season: bool = False) -> Column:
-    return F.avg(_c(x)).over(spec.whole(per_season))
-
-
-def entity_std(x, spec: LogSpec, per_season: bool = False) -> Column:
-    return F.stddev_samp(_c(x)).over(spec.whole(per_season))
-
-
-def rolling_mean_filled(x, n: int, spec: LogSpec, per_season: bool = False) -> Column:
-    """Rolling mean whose warm-up rows take the entity mean (reference fill)."""
-    return F.coalesce(rolling_mean(x, n, spec, per_season), entity_mean(x, spec, per_season))
-
-
-def rolling_std_filled(x, n: int, spec: LogSpec, per_season: bool = False) -> Column:
-    return F.coalesce(rolling_std(x, n, spec, per_season), entity_std(x, spec, per_season))
+def fill_from_entity(df: DataFrame, spec: LogSpec, means: dict[str, str] | None = None, stds: dict[str, str] | None = None,
+                     per_season: bool = False) -> DataFrame:
+    """Fill nulls (warm-up rows) of each named column with the entity's mean or sample
+    standard deviation of another: ``{column: source}``."""
+    means, stds = means or {}, stds or {}
+    aggs = {f"__m_{x}": F.avg(x) for x in set(means.values())} | {f"__s_{x}": F.stddev_samp(x) for x in set(stds.values())}
+    out = with_entity_stats(df, spec.keys(per_season), **aggs)
+    filled = {c: F.coalesce(F.col(c), F.col(f"__m_{x}")) for c, x in means.items()} | {
+        c: F.coalesce(F.col(c), F.col(f"__s_{x}")) for c, x in stds.items()}
+    return out.withColumns(filled).drop(*aggs)
 
 
 # ---------------------------------------------------------------- D4 EWM
@@ -67,24 +66,42 @@ def ewm_horizon(span: float, tol: float = 1e-17) -> int:
     return int(math.ceil(math.log(tol) / math.log(q)))
 
 
-def ewm_mean(x, span: float, spec: LogSpec, per_season: bool = False) -> Column:
-    """Exponentially weighted mean, ``adjust=True``, alpha = 2/(span+1).
+def ewm(df: DataFrame, x: str, spans: dict[str, float], spec: LogSpec, chunk_seconds: int | None = None) -> DataFrame:
+    """Exponentially weighted means, ``adjust=True``, alpha = 2/(span+1): ``{column: span}``.
 
-    A null adds to neither sum but older weights keep decaying.  Evaluated as a
-    fold over the last K rows, K = :func:`ewm_horizon`; weights beyond K are
-    below double precision.  A frame of K nulls gives null here -- use
-    :func:`carry_forward` to hold the last value like pandas does.
+    Linear in the rows: inside a bucket (and a halo as long as weights count in
+    double precision) both sums are running sums of ``q**-position``; buckets are
+    short enough for those powers.  A null adds to neither sum while older weights
+    keep decaying, so it takes the value of the last non-null row, however far back.
     """
+    spans = {c: max(1.0 + 1e-9, s) for c, s in spans.items()}
+    back = max(ewm_horizon(s) for s in spans.values())
+    size = min(int(600 / math.log((s + 1) / (s - 1))) for s in spans.values()) - back
+    rows = numbered(df.withColumn("__none", F.col(x).isNull()), spec, "__none", chunk_seconds or CHUNK_SECONDS)
+    # a null row belongs to the non-null row that its run of nulls follows
+    rows = rows.withColumn("__head", F.when(F.col("__none"), F.col("__rn") - F.col("__run")).otherwise(F.col("__rn")))
+    rows, inner = bucketed(rows, spec, back, max(size, back))
+    upto, place = inner.running(True), F.row_number().over(inner.w(True))
+    cols = {}
+    for c, s in spans.items():
+        weight = F.pow(F.lit((s + 1) / (s - 1)), place)
+        rows = rows.withColumn(f"__w_{c}", F.when(~F.col("__none"), weight))
+        cols[c] = F.when(~F.col("__none"), F.sum(F.col(x) * F.col(f"__w_{c}")).over(upto) / F.sum(f"__w_{c}").over(upto))
+    rows = rows.withColumns(cols).where(~F.col("__halo"))
+    run = Window.partitionBy("__e", "__head")
+    rows = rows.withColumns({c: F.max(c).over(run) for c in spans})
+    return rows.drop("__none", "__head", "__e", "__rn", "__run", "__bucket", "__halo", *[f"__w_{c}" for c in spans])
+
+
+def ewm_fold(x, span: float, spec: LogSpec, per_season: bool = False) -> Column:
+    """The same mean as a column: a fold over the last :func:`ewm_horizon` rows, null
+    after as many nulls (:func:`carry_forward` holds the last value)."""
     q = 1.0 - 2.0 / (span + 1.0)
-    k = ewm_horizon(span)
-    frame = F.collect_list(F.struct(_c(x).cast("double").alias("v"))).over(
-        spec.rows(-(k - 1), 0, per_season))
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+    frame = F.collect_list(F.struct(_c(x).cast("double").alias("v"))).over(spec.rows(-(ewm_horizon(span) - 1), 0, per_season))
     return F.aggregate(
-        frame, zero,
-        lambda acc, e: F.struct(
-            (acc["n"] * q + F.coalesce(e["v"], F.lit(0.0))).alias("n"),
-            (acc["d"] * q + F.when(e["v"].isNotNull(), 1.0).otherwise(0.0)).alias("d")),
+        frame, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")),
+        lambda acc, e: F.struct((acc["n"] * q + F.coalesce(e["v"], F.lit(0.0))).alias("n"),
+                                (acc["d"] * q + F.when(e["v"].isNotNull(), 1.0).otherwise(0.0)).alias("d")),
         lambda acc: F.when(acc["d"] > 0, acc["n"] / acc["d"]))
 
 
@@ -114,6 +131,13 @@ def trend(df: DataFrame, x: str, spec: LogSpec, n: int = 5, out: str | None = No
 
 
 # ---------------------------------------------------------------- D8 / D9 streaks
+def streaks_of_run(result: str, run: str = "__run", win_value="W", loss_value="L") -> tuple[Column, Column]:
+    """Win and loss streak from the length of the run of equal results (operators.split)."""
+    r = F.col(result)
+    return (F.when(r == F.lit(win_value), F.col(run)).otherwise(0).cast("int"),
+            F.when(r == F.lit(loss_value), F.col(run)).otherwise(0).cast("int"))
+
+
 def current_streaks(df: DataFrame, result: str, spec: LogSpec, win_value="W", loss_value="L",
                     win_out: str = "WIN_STREAK", loss_out: str = "LOSS_STREAK",
                     per_season: bool = False) -> DataFrame:
@@ -169,10 +193,18 @@ def momentum(df: DataFrame, x: str, spec: LogSpec, n: int = 3, out: str = "PM_TR
     plus positive / negative momentum flags beyond +-threshold."""
     tmp = "__prior_mean"
     df = df.withColumn(tmp, prior_mean(x, n, spec, None, per_season))
-    df = df.withColumn(out, F.coalesce(F.col(tmp) - F.lag(tmp).over(spec.w(per_season)), F.lit(0.0)))
-    return (df.withColumns({"POSITIVE_MOMENTUM": (F.col(out) > threshold).cast("int"),
-                            "NEGATIVE_MOMENTUM": (F.col(out) < -threshold).cast("int")})
-              .drop(tmp))
+    df = df.withColumn(out, momentum_of(tmp, spec, per_season))
+    up, down = momentum_flags(out, threshold)
+    return df.withColumns({"POSITIVE_MOMENTUM": up, "NEGATIVE_MOMENTUM": down}).drop(tmp)
+
+
+def momentum_of(before: str, spec: LogSpec, per_season: bool = False) -> Column:
+    """Change of a column of prior means from one row to the next, 0 when unknown."""
+    return F.coalesce(F.col(before) - F.lag(before).over(spec.w(per_season)), F.lit(0.0))
+
+
+def momentum_flags(trend_col: str, threshold: float = 5.0) -> tuple[Column, Column]:
+    return (F.col(trend_col) > threshold).cast("int"), (F.col(trend_col) < -threshold).cast("int")
 
 
 def lagged(x, k: int, spec: LogSpec, default=0, per_season: bool = False) -> Column:
@@ -180,9 +212,10 @@ def lagged(x, k: int, spec: LogSpec, default=0, per_season: bool = False) -> Col
 
 
 # ---------------------------------------------------------------- D16 / D17
-def days_rest(spec: LogSpec, first: int = 3, per_season: bool = False) -> Column:
-    """Whole days since the entity's previous row; ``first`` for its first row."""
-    t = F.col(spec.time)
+def days_rest(spec: LogSpec, first: int = 3, per_season: bool = False, time: str | None = None) -> Column:
+    """Whole days since the entity's previous row; ``first`` for its first row.
+    ``time`` names the time where ``spec`` orders by row number."""
+    t = F.col(time or spec.time)
     prev = F.lag(t).over(spec.w(per_season))
     return F.coalesce(F.timestamp_diff("DAY", prev, t), F.lit(first)).cast("int")
 
@@ -192,12 +225,13 @@ def game_number(spec: LogSpec, per_season: bool = False) -> Column:
 
 
 # ---------------------------------------------------------------- D19
-def zscore(x, spec: LogSpec, per_season: bool = False) -> Column:
+def zscore(df: DataFrame, cols: list[str], spec: LogSpec, suffix: str = "_ZSCORE", per_season: bool = False) -> DataFrame:
     """(x - entity mean) / entity sample std; null when the std is zero or
     undefined, instead of dropping the column (fixed schema)."""
-    w = spec.whole(per_season)
-    sd = F.stddev_samp(_c(x)).over(w)
-    return F.when(sd > 0, (_c(x) - F.avg(_c(x)).over(w)) / sd)
+    aggs = {f"__m_{c}": F.avg(c) for c in cols} | {f"__s_{c}": F.stddev_samp(c) for c in cols}
+    out = with_entity_stats(df, spec.keys(per_season), **aggs)
+    return out.withColumns({c + suffix: F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}"))
+                            for c in cols}).drop(*aggs)
 
 
 def zscore_global(df: DataFrame, cols: list[str], suffix: str = "_ZSCORE") -> DataFrame:

@@ -199,4 +199,3 @@ def career_set(spark, sf_dir):
                      .alias("TARGET"))
 
 
-_ = ORDERS  # binding kept importable for callers

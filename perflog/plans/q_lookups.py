@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from perflog.functions import parsing as P
 from perflog.operators import lookups as L
-from perflog.operators import windows as Wn
 from perflog.plans.bindings import BOX, BOX_SQL, box_scores, orders_log
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, W_LI, roll_avg
@@ -39,8 +38,7 @@ from c left join t on c.opponent = t.abbreviation
 def lookup_default(spark, sf_dir):
     b = box_scores(spark, sf_dir).withColumn("opponent", P.opponent("MATCHUP"))
     dim = team_dimension(spark, sf_dir)
-    b = L.lookup_default(b, dim, "opponent", "abbreviation", "strength", 3, out="opp_strength")
-    b = L.lookup_default(b, dim, "opponent", "abbreviation", "full_name", "UNKNOWN", out="opp_name")
+    b = L.lookup_defaults(b, dim, "opponent", "abbreviation", {"opp_strength": ("strength", 3), "opp_name": ("full_name", "UNKNOWN")})
     return b.select("l_orderkey", "l_linenumber", "l_partkey", "opponent", F.col("opp_strength").cast("int"), "opp_name")
 
 
@@ -67,8 +65,8 @@ from j
 def opponent_strength_prior(spark, sf_dir):
     s = BOX
     b = box_scores(spark, sf_dir).withColumn("OPP", P.opponent("MATCHUP"))
+    b = b.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "OPP", "WL")
     b = L.opponent_prior_win_rate(b, s, "OPP", F.col("WL") == "L")
-    b = b.withColumn("DAYS_REST", Wn.days_rest(s))
     b = L.schedule_strength(b, s)
     return b.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("OPP_STRENGTH").cast("decimal(38,8)"), 4)
                     .cast("double").alias("opp_strength"),

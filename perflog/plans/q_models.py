@@ -10,6 +10,7 @@ from perflog.operators import metrics as M
 from perflog.operators import windows as Wn
 from perflog.operators.aggregates import metric_pivot as pivot_op
 from perflog.operators.aggregates import unpivot_metrics
+from perflog.operators.split import in_pieces
 from perflog.plans.bindings import BOX, BOX_SQL, box_scores
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, W_LI, prior_avg, r4
@@ -25,13 +26,15 @@ long as ({' union all '.join(f"select l_suppkey, l_orderkey, l_linenumber, l_par
                              for m in MODELS)})"""
 
 
+def _wide_predictions(spark, sf_dir):
+    b = box_scores(spark, sf_dir).select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", F.col("PTS").alias("y"))
+    return in_pieces(b, BOX, 10, lambda p: {"lag1": Wn.lagged("y", 1, p, None, True), "mean3": Wn.prior_mean("y", 3, p, None, True),
+                                            "mean10": Wn.prior_mean("y", 10, p, None, True)}).drop("l_shipdate")
+
+
 def _long_predictions(spark, sf_dir):
-    s = BOX
-    b = box_scores(spark, sf_dir).withColumns({
-        "y": F.col("PTS"), "lag1": Wn.lagged("PTS", 1, s, None),
-        "mean3": Wn.prior_mean("PTS", 3, s), "mean10": Wn.prior_mean("PTS", 10, s)})
     # Wide predictor columns -> long (model, p)
-    return b.unpivot(["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "y"], list(MODELS), "model", "p")
+    return _wide_predictions(spark, sf_dir).unpivot(["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "y"], list(MODELS), "model", "p")
 
 
 def _reg_sql_cols() -> str:
@@ -75,8 +78,8 @@ from pc group by l_suppkey
 @register("classification_metrics", "J3 J4", _CLS_SQL)
 def classification_metrics(spark, sf_dir):
     s = BOX
-    b = box_scores(spark, sf_dir).withColumn("y", (F.col("WL") == "W").cast("int"))
-    b = b.withColumn("p", (Wn.prior_mean("y", 5, s, 0.5) >= 0.5).cast("int"))
+    b = box_scores(spark, sf_dir).select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", (F.col("WL") == "W").cast("int").alias("y"))
+    b = in_pieces(b, s, 5, lambda q: {"p": (Wn.prior_mean("y", 5, q, 0.5, True) >= 0.5).cast("int")})
     m = M.classification_metrics(b, "y", "p", ["l_suppkey"])
     return m.select("l_suppkey", *[r4(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
                     F.col("n").cast("bigint").alias("n"))
@@ -112,15 +115,22 @@ def best_model(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- ensemble_blend
-@register("ensemble_blend", "I11", f"""{_PRED_SQL},
-m as (select model, greatest(0.01, coalesce(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 1.0)) as weight
-      from long where p is not null group by model)
-select l_orderkey, l_linenumber, l_partkey, {R4('sum(p * weight) / sum(weight)')} as blend, count(*) as n_models
-from long join m using (model) where p is not null group by l_orderkey, l_linenumber, l_partkey
-""")
+def _blend_sql() -> str:
+    def weight(m):
+        e = f"(y - {m}) * (y - {m})"
+        return (f"greatest(0.01, coalesce(1 - sum({e}) / (count({m}) * var_pop(case when {m} is not null then y end)), 1.0)) as w_{m}")
+    top = " + ".join(f"coalesce({m} * w_{m}, 0)" for m in MODELS)
+    total = " + ".join(f"case when {m} is not null then w_{m} else 0 end" for m in MODELS)
+    count = " + ".join(f"cast({m} is not null as bigint)" for m in MODELS)
+    return f"""{_PRED_SQL},
+w as (select {', '.join(map(weight, MODELS))} from p)
+select l_orderkey, l_linenumber, l_partkey, {R4(f'({top}) / ({total})')} as blend, {count} as n_models
+from p, w where {count} > 0
+"""
+
+
+@register("ensemble_blend", "I11", _blend_sql())
 def ensemble_blend(spark, sf_dir):
-    long = _long_predictions(spark, sf_dir)
-    scores = M.regression_metrics(long, "y", "p", ["model"]).select("model", F.col("r2").alias("score"))
-    w = M.blend_weights(scores)
-    out = M.ensemble_blend(long.withColumnRenamed("p", "prediction"), w, ["l_orderkey", "l_linenumber", "l_partkey"])
+    wide = _wide_predictions(spark, sf_dir)
+    out = M.ensemble_blend(wide, list(MODELS), M.r2_weights(wide, "y", list(MODELS))).where("n_models > 0")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", r4("blend").alias("blend"), "n_models")

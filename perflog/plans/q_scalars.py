@@ -13,6 +13,8 @@ from perflog.functions import ratios as R
 from perflog.operators import clean as C
 from perflog.operators import windows as Wn
 from perflog.plans.bindings import BOX, BOX_SQL, EVENTS, ORDERS, box_scores, events_log, orders_log
+from perflog.operators.lookups import with_role_context
+from perflog.operators.stats import with_entity_stats
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, W_EV, W_LI, r4, roll_avg
 
@@ -147,7 +149,7 @@ from c
 def team_ratings(spark, sf_dir):
     b = box_scores(spark, sf_dir)
     b = b.withColumns(R.team_ratios()).withColumn("POSS", R.possessions())
-    b = b.withColumn("PACE", 48 * F.col("POSS") / F.max("MIN").over(BOX.whole()))
+    b = with_entity_stats(b, ["l_suppkey"], __most=F.max("MIN")).withColumn("PACE", 48 * F.col("POSS") / F.col("__most"))
     b = b.withColumns(R.team_ratings()).withColumn("WIN", R.win_flag("WL"))
     names = {"EFG_PCT": "efg_pct", "TOV_PCT": "tov_pct", "OREB_PCT": "oreb_pct", "FTR": "ftr",
              "POSS": "poss", "PACE": "pace", "OFF_RTG": "off_rtg", "OPP_PTS": "opp_pts",
@@ -327,37 +329,43 @@ def coerce_types(spark, sf_dir):
         F.date_format(P.parse_date("date_text"), "yyyy-MM-dd").alias("day"))
 
 
-# ----------------------------------------------------------------- prediction_adjust
+# ----------------------------------------------------------------- prediction_adjust
+FACTORS = ("low_minutes", "high_minutes", "scorer_bonus", "playmaker_bonus", "rebounder_bonus")
+
+
 def _adj_sql() -> str:
-    raw = "raw"
+    bonus = "case when stat in ('PTS', 'AST', 'REB') then 0.05 else 0 end"
     return f"""
 with b as ({BOX_SQL}),
 c as (select l_orderkey, l_linenumber, l_partkey, MIN,
+             case l_partkey % 5 when 0 then 'PTS' when 1 then 'AST' when 2 then 'REB' when 3 then 'STL' else 'TOV' end as stat,
              {roll_avg('l_extendedprice / 1000', 5, W_LI)} as raw from b)
-select l_orderkey, l_linenumber, l_partkey,
-  {R4(f"coalesce(greatest(0.0, round_even({raw} * (1 + case when MIN < 20 then -0.15 when MIN > 35 then 0.1 else 0 end + 0.05), 1)), 0.0)")} as value,
-  {R4(f"greatest(0.0, {raw} - {raw} * 0.15)")} as low,
-  {R4(f"{raw} + {raw} * 0.15")} as high,
+select l_orderkey, l_linenumber, l_partkey, stat as model,
+  case stat when 'PTS' then 'scorer' when 'AST' then 'playmaker' when 'REB' then 'rebounder' when 'STL' then 'defender' else 'all_around' end as role,
+  case stat when 'PTS' then 'mid_range' when 'AST' then 'passing' when 'REB' then 'inside' when 'STL' then 'perimeter_defense' else 'balanced' end as emphasis,
+  {R4(f"coalesce(greatest(0.0, round_even(raw * (1 + case when MIN < 20 then -0.15 when MIN > 35 then 0.1 else 0 end + {bonus}), 1)), 0.0)")} as value,
+  {R4("case when raw is not null then greatest(0.0, raw - raw * 0.15) end")} as low,
+  {R4("raw + raw * 0.15")} as high,
   case when MIN < 20 then -0.15 end as low_minutes,
   case when MIN >= 20 and MIN > 35 then 0.1 end as high_minutes,
-  0.05 as scorer_bonus,
-  case when {raw} > 0 then 'high' else 'low' end as confidence
+  case when stat = 'PTS' then 0.05 end as scorer_bonus,
+  case when stat = 'AST' then 0.05 end as playmaker_bonus,
+  case when stat = 'REB' then 0.05 end as rebounder_bonus,
+  case when raw > 0 then 'high' else 'low' end as confidence
 from c
 """
 
 
 @register("prediction_adjust", "C23 C24 C25 C26 C28 F6", _adj_sql())
 def prediction_adjust(spark, sf_dir):
-    s = BOX
+    """Each row predicts the stat that its part number names, so every role and the default occur."""
+    stat = F.element_at(F.array(*map(F.lit, ("PTS", "AST", "REB", "STL", "TOV"))), (F.col("l_partkey") % 5 + 1).cast("int"))
     b = box_scores(spark, sf_dir).withColumns({
-        "raw": Wn.rolling_mean(F.col("l_extendedprice") / 1000, 5, s),
-        "stat": F.lit("PTS")})
-    role, _ = PR.role_context(F.col("stat"))
-    b = b.withColumn("factors", PR.adjustment_factors("MIN", role, "stat"))
-    b = b.withColumns({"value": PR.adjusted_value("raw", F.col("factors"), F.lit(True)),
-                       "ci": PR.prediction_interval("raw")})
-    return b.select(*KEYS, r4("value").alias("value"), r4("ci.low").alias("low"),
-                    r4("ci.high").alias("high"),
-                    *[F.element_at("factors", F.lit(k)).alias(k)
-                      for k in ("low_minutes", "high_minutes", "scorer_bonus")],
-                    PR.confidence_label("raw").alias("confidence"))
+        "raw": Wn.rolling_mean(F.col("l_extendedprice") / 1000, 5, BOX), "stat": stat})
+    b = with_role_context(b, "stat")
+    b = b.withColumn("adjustment_factors", PR.adjustment_factors("MIN", F.col("role"), "stat"))
+    b = b.withColumns({"value": PR.adjusted_value("raw", F.col("adjustment_factors"), F.lit(True)),
+                       "confidence_interval": PR.prediction_interval("raw"), "confidence": PR.confidence_label("raw")})
+    flat = PR.flatten_predictions(b, list(FACTORS), "stat", keep=[*KEYS, "role", "emphasis", "confidence"])
+    return flat.select(*KEYS, F.col("stat").alias("model"), "role", "emphasis", r4("value").alias("value"), r4("low").alias("low"),
+                       r4("high").alias("high"), *FACTORS, "confidence")

@@ -2,7 +2,7 @@
 
 The incoming batches are derived from the given tables by fixed rules (open
 orders get closed with a new price; urgent orders are re-issued under a new
-key), so the work grows with the tables."""
+(negative) key), so the work grows with the tables."""
 
 from __future__ import annotations
 
@@ -15,12 +15,11 @@ from perflog.plans.sqlbits import R4, r4
 from perflog.sources import store as S
 from perflog.sources.tables import read_table
 
-REISSUE = 1_000_000_000
 _INC_SQL = f"""
   select o_orderkey, 'F' as o_orderstatus, o_totalprice + 100.0 as o_totalprice, 'closed' as note
   from orders where o_orderstatus = 'O'
   union all
-  select o_orderkey + {REISSUE}, o_orderstatus, o_totalprice, 'reissued' from orders
+  select -o_orderkey - 1, o_orderstatus, o_totalprice, 'reissued' from orders
   where o_orderpriority = '1-URGENT'"""
 
 
@@ -29,7 +28,7 @@ def _incoming(o):
         "o_orderkey", F.lit("F").alias("o_orderstatus"), (F.col("o_totalprice") + 100.0).alias("o_totalprice"),
         F.lit("closed").alias("note"))
     reissued = o.filter(F.col("o_orderpriority") == "1-URGENT").select(
-        (F.col("o_orderkey") + REISSUE).alias("o_orderkey"), "o_orderstatus", "o_totalprice",
+        (-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_orderstatus", "o_totalprice",
         F.lit("reissued").alias("note"))
     return closed.unionByName(reissued)
 
@@ -48,7 +47,7 @@ from e full outer join inc i on e.o_orderkey = i.o_orderkey
 """)
 def upsert_partial(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select(*_BASE)
-    out = S.upsert_partial(o, _incoming(o), ["o_orderkey"])
+    out = S.upsert_partial(o, _incoming(o), ["o_orderkey"], ["note"])
     # inserted rows have no customer: a nullable id surfaces as double
     return out.withColumns({"o_totalprice": r4("o_totalprice"), "o_custkey": F.col("o_custkey").cast("double")})
 

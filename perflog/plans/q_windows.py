@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perflog.operators import windows as Wn
 from perflog.operators.ranking import last_n
+from perflog.operators.split import DAY, in_pieces, numbered, running_means
 from perflog.plans.bindings import EVENTS, LINEITEM, ORDERS, events_log, lineitem_log, orders_log
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import (R4, W_EV, W_LI, W_ORD, WL_SQL, prior_avg, r4, roll_avg, roll_std,
@@ -33,17 +34,14 @@ from d
 """
 
 
-def recent_form_df(o):
-    s = ORDERS
-    df = o.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "WL")
-    df = df.withColumns({
-        "avg_3": r4(Wn.rolling_mean("o_totalprice", 3, s)),
-        "days_rest": Wn.days_rest(s),
-        "game_number": Wn.game_number(s).cast("int"),
-    })
-    df = Wn.current_streaks(df, "WL", s, win_out="win_streak", loss_out="loss_streak")
-    return df.select("o_orderkey", "o_custkey", "avg_3", "days_rest", "game_number",
-                     "win_streak", "loss_streak")
+def recent_form_df(o, **cut):
+    o = o.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "WL")
+    df = in_pieces(o, ORDERS, 2, lambda p: {"avg_3": r4(Wn.rolling_mean("o_totalprice", 3, p, True)),
+                                            "days_rest": Wn.days_rest(p, 3, True, "o_orderdate")},
+                   result="WL", keep=("__rn", "__run"), **cut)
+    win, loss = Wn.streaks_of_run("WL")
+    return df.select("o_orderkey", "o_custkey", "avg_3", "days_rest", F.col("__rn").cast("int").alias("game_number"),
+                     win.alias("win_streak"), loss.alias("loss_streak"))
 
 
 @register("recent_form", "D1 D8 D16 D17", RECENT_FORM_SQL)
@@ -52,31 +50,11 @@ def recent_form(spark, sf_dir):
     return recent_form_df(orders_log(spark, sf_dir))
 
 
-def recent_form_split_df(o, hot_rows: int, rows_per_bucket: int):
-    """The flagship with hot entities split into row buckets (operators.skew)."""
-    from perflog.operators.skew import skew_safe, streaks_skew_safe
-    s = ORDERS
-    base = o.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "WL")
-
-    def build(d, sp, per):
-        return d.withColumns({"avg_3": r4(Wn.rolling_mean("o_totalprice", 3, sp, per)),
-                              "days_rest": Wn.days_rest(sp, 3, per)})
-
-    df = skew_safe(base, s, build, lookback=2, hot_rows=hot_rows, rows_per_bucket=rows_per_bucket)
-    df = df.withColumn("game_number", F.col("__rn").cast("int")).drop("__rn")
-    df = streaks_skew_safe(df, "WL", s, win_out="win_streak", loss_out="loss_streak",
-                           hot_rows=hot_rows, rows_per_bucket=rows_per_bucket)
-    return df.select("o_orderkey", "o_custkey", "avg_3", "days_rest", "game_number",
-                     "win_streak", "loss_streak")
-
-
-@register("recent_form_split", "D1 D8 D16 D17 skew", RECENT_FORM_SQL, bench=False)
+@register("recent_form_split", "D1 D8 D16 D17", RECENT_FORM_SQL)
 def recent_form_split(spark, sf_dir):
-    """Same result as ``recent_form``, computed through the hot-entity path:
-    every customer with more than 3 orders is treated as hot and cut into
-    buckets of 4 rows (halo 2), so the split, offsets, halo and streak carry
-    are all exercised against the same oracle."""
-    return recent_form_split_df(orders_log(spark, sf_dir), hot_rows=3, rows_per_bucket=4)
+    """The same in small pieces (chunks of 90 days, buckets of 4 rows), so that borders, halos and
+    carried runs meet the oracle at every size."""
+    return recent_form_df(orders_log(spark, sf_dir), chunk_seconds=90 * DAY, rows_per_bucket=4)
 
 
 # ----------------------------------------------------------------- rolling_mean_std
@@ -93,12 +71,17 @@ from lineitem
 def rolling_mean_std(spark, sf_dir):
     s = LINEITEM
     li = lineitem_log(spark, sf_dir).withColumn("tax", F.expr(_TAX))
-    cols = {}
-    for n in (3, 5, 10):
-        cols[f"qty_avg_{n}"] = r4(Wn.rolling_mean("l_quantity", n, s))
-        cols[f"qty_std_{n}"] = r4(Wn.rolling_std("l_quantity", n, s))
-        cols[f"tax_avg_{n}"] = r4(Wn.rolling_mean("tax", n, s))
-    return li.withColumns(cols).select("l_orderkey", "l_linenumber", "l_partkey", *cols)
+    li = li.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "tax")
+
+    def build(p):
+        cols = {}
+        for n in (3, 5, 10):
+            cols[f"qty_avg_{n}"] = r4(Wn.rolling_mean("l_quantity", n, p, True))
+            cols[f"qty_std_{n}"] = r4(Wn.rolling_std("l_quantity", n, p, True))
+            cols[f"tax_avg_{n}"] = r4(Wn.rolling_mean("tax", n, p, True))
+        return cols
+
+    return in_pieces(li, s, 9, build).drop("l_suppkey", "l_shipdate", "l_quantity", "tax")
 
 
 # ----------------------------------------------------------------- rolling_filled (D3)
@@ -115,11 +98,12 @@ from orders
 def rolling_filled(spark, sf_dir):
     s = ORDERS
     o = orders_log(spark, sf_dir)
-    cols = {}
-    for n in (3, 5, 10):
-        cols[f"price_avg_{n}"] = r4(Wn.rolling_mean_filled("o_totalprice", n, s))
-        cols[f"price_std_{n}"] = r4(Wn.rolling_std_filled("o_totalprice", n, s))
-    return o.withColumns(cols).select("o_orderkey", *cols)
+    o = o.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    means, stds = [f"price_avg_{n}" for n in (3, 5, 10)], [f"price_std_{n}" for n in (3, 5, 10)]
+    o = in_pieces(o, s, 9, lambda p: {f"price_avg_{n}": Wn.rolling_mean("o_totalprice", n, p, True) for n in (3, 5, 10)}
+                  | {f"price_std_{n}": Wn.rolling_std("o_totalprice", n, p, True) for n in (3, 5, 10)})
+    o = Wn.fill_from_entity(o, s, dict.fromkeys(means, "o_totalprice"), dict.fromkeys(stds, "o_totalprice"))
+    return o.select("o_orderkey", *[r4(c).alias(c) for c in means + stds])
 
 
 # ----------------------------------------------------------------- ema
@@ -146,8 +130,7 @@ def ema(spark, sf_dir):
     s = EVENTS
     ev = events_log(spark, sf_dir).withColumn("v", F.expr(_EV_VALUE))
     names = [f"ema_{sp}" for sp in (3, 5, 10)]
-    ev = ev.withColumns({f"ema_{sp}": Wn.ewm_mean("v", sp, s) for sp in (3, 5, 10)})
-    ev = Wn.carry_forward(ev, names, s)
+    ev = Wn.ewm(ev.select("event_id", "user_id", "ts", "v"), "v", {f"ema_{sp}": sp for sp in (3, 5, 10)}, s, 7 * DAY)
     return ev.select("event_id", *[r4(c).alias(c) for c in names])
 
 
@@ -161,9 +144,8 @@ from events
 def cumulative_mean(spark, sf_dir):
     s = EVENTS
     ev = events_log(spark, sf_dir).withColumn("v", F.expr(_EV_VALUE))
-    return ev.select("event_id",
-                     r4(Wn.expanding_mean("v", s)).alias("value_cum_avg"),
-                     r4(Wn.expanding_mean("value", s)).alias("value_cum_avg_all"))
+    ev = running_means(ev.select("event_id", "user_id", "ts", "v", "value"), s, {"a": "v", "b": "value"}, 7 * DAY)
+    return ev.select("event_id", r4("a").alias("value_cum_avg"), r4("b").alias("value_cum_avg_all"))
 
 
 # ----------------------------------------------------------------- diff_trend
@@ -175,8 +157,9 @@ from d
 """)
 def diff_trend(spark, sf_dir):
     s = LINEITEM
-    li = lineitem_log(spark, sf_dir).withColumn("qty_diff", Wn.diff("l_quantity", s))
-    li = Wn.trend(li, "l_quantity", s, 5, out="qty_trend")
+    li = lineitem_log(spark, sf_dir).select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    li = in_pieces(li, s, 5, lambda p: {"qty_diff": Wn.diff("l_quantity", p, 1, True)},
+                   lambda p: {"qty_trend": Wn.rolling_mean("qty_diff", 5, p, True)})
     return li.select("l_orderkey", "l_linenumber", "l_partkey", r4("qty_diff").alias("qty_diff"),
                      r4("qty_trend").alias("qty_trend"))
 
@@ -198,8 +181,9 @@ from d
 """)
 def streak_current(spark, sf_dir):
     ev = events_log(spark, sf_dir).withColumn("wl", F.expr(_EV_WL))
-    ev = Wn.current_streaks(ev, "wl", EVENTS, win_out="win_streak", loss_out="loss_streak")
-    return ev.select("event_id", "win_streak", "loss_streak")
+    ev = numbered(ev.select("event_id", "user_id", "ts", "wl"), EVENTS, "wl", 7 * DAY)
+    win, loss = Wn.streaks_of_run("wl")
+    return ev.select("event_id", win.alias("win_streak"), loss.alias("loss_streak"))
 
 
 # ----------------------------------------------------------------- streak_entering
@@ -216,7 +200,10 @@ from d
 """)
 def streak_entering(spark, sf_dir):
     o = orders_log(spark, sf_dir)
-    o = Wn.entering_streaks(o, "WIN", ORDERS, win_out="cum_win_streak", loss_out="cum_loss_streak")
+    o = o.select("o_custkey", "o_orderdate", "o_orderkey", "WIN")
+    win, loss = Wn.streaks_of_run("WIN", "__run", 1, 0)
+    o = in_pieces(o, ORDERS, 1, lambda p: {"cum_win_streak": Wn.lagged(win, 1, p, 0, True).cast("int"),
+                                           "cum_loss_streak": Wn.lagged(loss, 1, p, 0, True).cast("int")}, result="WIN")
     return o.select("o_orderkey", "cum_win_streak", "cum_loss_streak")
 
 
@@ -235,14 +222,19 @@ from b
 def win_pct(spark, sf_dir):
     s = ORDERS
     o = orders_log(spark, sf_dir)
-    cols = {}
-    for n in (5, 10, 20):
-        cols[f"win_pct_{n}"] = r4(Wn.rolling_mean("WIN", n, s))
-    for n in (3, 5, 10):
-        cols[f"win_count_{n}"] = Wn.rolling_sum("WIN", n, s).cast("double")
-    for n in (5, 10, 20):
-        cols[f"prior_win_pct_{n}"] = r4(Wn.prior_mean("WIN", n, s, 0.5))
-    return o.withColumns(cols).select("o_orderkey", *cols)
+    o = o.select("o_custkey", "o_orderdate", "o_orderkey", "WIN")
+
+    def build(p):
+        cols = {}
+        for n in (5, 10, 20):
+            cols[f"win_pct_{n}"] = r4(Wn.rolling_mean("WIN", n, p, True))
+        for n in (3, 5, 10):
+            cols[f"win_count_{n}"] = Wn.rolling_sum("WIN", n, p, True).cast("double")
+        for n in (5, 10, 20):
+            cols[f"prior_win_pct_{n}"] = r4(Wn.prior_mean("WIN", n, p, 0.5, True))
+        return cols
+
+    return in_pieces(o, s, 20, build).drop("o_custkey", "o_orderdate", "WIN")
 
 
 # ----------------------------------------------------------------- momentum
@@ -262,12 +254,13 @@ from d
 def momentum(spark, sf_dir):
     s = LINEITEM
     li = lineitem_log(spark, sf_dir).withColumn("pm", F.expr(_PM))
-    li = li.withColumns({f"pm_avg_{n}": r4(Wn.prior_mean("pm", n, s, 0.0)) for n in (3, 5, 10)})
-    li = Wn.momentum(li, "pm", s, 3, out="pm_trend")
+    li = li.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "pm")
+    li = in_pieces(li, s, 10, lambda p: {f"pm_avg_{n}": r4(Wn.prior_mean("pm", n, p, 0.0, True)) for n in (3, 5, 10)}
+                   | {"before": Wn.prior_mean("pm", 3, p, None, True)},
+                   lambda p: {"pm_trend": Wn.momentum_of("before", p, True)})
+    up, down = Wn.momentum_flags("pm_trend")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "pm_avg_3", "pm_avg_5", "pm_avg_10",
-                     r4("pm_trend").alias("pm_trend"),
-                     F.col("POSITIVE_MOMENTUM").alias("positive_momentum"),
-                     F.col("NEGATIVE_MOMENTUM").alias("negative_momentum"))
+                     r4("pm_trend").alias("pm_trend"), up.alias("positive_momentum"), down.alias("negative_momentum"))
 
 
 # ----------------------------------------------------------------- lagged_outcomes
@@ -280,9 +273,9 @@ from b
 def lagged_outcomes(spark, sf_dir):
     s = ORDERS
     o = orders_log(spark, sf_dir)
-    cols = {"prev_game_win": Wn.lagged("WIN", 1, s).cast("int")}
-    cols.update({f"won_{k}_ago": Wn.lagged("WIN", k, s).cast("int") for k in range(1, 6)})
-    return o.withColumns(cols).select("o_orderkey", *cols)
+    o = in_pieces(o.select("o_custkey", "o_orderdate", "o_orderkey", "WIN"), s, 5,
+                  lambda p: {f"won_{k}_ago": Wn.lagged("WIN", k, p, 0, True).cast("int") for k in range(1, 6)})
+    return o.select("o_orderkey", F.col("won_1_ago").alias("prev_game_win"), *[f"won_{k}_ago" for k in range(1, 6)])
 
 
 # ----------------------------------------------------------------- days_rest
@@ -299,8 +292,8 @@ from b
 def days_rest(spark, sf_dir):
     from perflog.functions.calendar import rest_flags
     s = EVENTS
-    ev = events_log(spark, sf_dir).withColumns({
-        "days_rest": Wn.days_rest(s), "game_number": Wn.game_number(s).cast("int")})
+    ev = in_pieces(events_log(spark, sf_dir).select("event_id", "user_id", "ts"), s, 1,
+                   lambda p: {"days_rest": Wn.days_rest(p, 3, True, "ts"), "game_number": F.col("__rn").cast("int")}, chunk_seconds=7 * DAY)
     ev = ev.withColumns(rest_flags(F.col("days_rest")))
     return ev.select("event_id", "days_rest", "game_number", "back_to_back", "no_rest", "short_rest",
                      "normal_rest", "extended_rest", "rest_bucket")
@@ -323,8 +316,9 @@ from lineitem
 def zscore(spark, sf_dir):
     s = LINEITEM
     li = lineitem_log(spark, sf_dir)
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", r4(Wn.zscore("l_quantity", s)).alias("qty_zscore"),
-                     r4(Wn.zscore("l_extendedprice", s)).alias("price_zscore"))
+    li = Wn.zscore(li, ["l_quantity", "l_extendedprice"], s)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", r4("l_quantity_ZSCORE").alias("qty_zscore"),
+                     r4("l_extendedprice_ZSCORE").alias("price_zscore"))
 
 
 # ----------------------------------------------------------------- last_n

@@ -1,5 +1,7 @@
 """Leakage-aware training sets (SURVEY Appendix A), as compositions of the
-window, aggregate and lookup operators.
+window, aggregate and lookup operators.  They run plain entity windows: over logs
+with dozens of derived columns, Catalyst's constraint inference takes minutes
+on the joins that windows in pieces (operators.split) need.
 
 Each builder takes a box-score shaped log plus its ``LogSpec`` and returns one
 lazy DataFrame: entity key, time keys, features (fixed schema) and target.
@@ -90,37 +92,82 @@ def career_set(log: DataFrame, spec: LogSpec, target: str = "PTS", min_rows: int
     return df.select(s.entity, s.time, *s.tie, *feats, F.col(target).alias("TARGET"))
 
 
-def player_game_features(log: DataFrame, spec: LogSpec, strength: DataFrame | None = None,
-                         target: str = "PTS") -> DataFrame:
-    """Player-game set before selection and scaling: target rolling mean / std
-    / EWM (entity-mean filled), TS% and usage averages, rest, home, phase,
-    opponent strength (default 3), other key stats' averages."""
+def player_game_stats(log: DataFrame, target: str) -> list[str]:
+    return [st for st in KEY_STATS if st != target and st != "MIN" and st in log.columns]
+
+
+def player_game_names(stats: list[str], target: str, opponents: list[str]) -> list[str]:
+    """Feature names of the player-game set, in order."""
+    names = [f"{target}_{k}_{n}" for n in WINDOWS for k in ("AVG", "STD", "EMA")]
+    names += [f"{x}_AVG_{n}" for x in ("TS_PCT", "USAGE_RATE") for n in (5, 10)]
+    names += ["HOME", "DAYS_REST", "NO_REST", "SHORT_REST", "NORMAL_REST", "EXTENDED_REST", "BACK_TO_BACK",
+              "EARLY_SEASON", "MID_SEASON", "LATE_SEASON", "OPP_STRENGTH"]
+    return names + [f"OPP_{o}" for o in opponents] + ["MIN"] + [f"{st}_AVG_{n}" for st in stats for n in (5, 10)]
+
+
+def player_game_set(log: DataFrame, spec: LogSpec, opponents: list[str], strength: DataFrame | None = None,
+                    target: str = "PTS", min_rows: int = 3) -> DataFrame:
+    """Player-game set before selection and scaling: target rolling mean / std / EWM
+    (entity-mean filled), TS% and usage averages, rest, home, phase, opponent strength
+    (default 3) and one-hots (I1: a fixed list, others all zero), the game's minutes,
+    other key stats' averages.  Entities of fewer than ``min_rows`` rows go (B12)."""
     from perflog.operators.lookups import lookup_default
     s = spec
+    stats = player_game_stats(log, target)
     df = log.withColumns({
         "TS_PCT": R.true_shooting("PTS", "FGA", "FTA", "zero"),
         "USAGE_RATE": R.usage("FGA", "FTA", "TOV", negative_to_zero=True),
         "HOME": P.is_home("MATCHUP"),
         "OPPONENT": P.opponent_last_token("MATCHUP"),
     })
-    cols = {}
-    for n in WINDOWS:
-        cols[f"{target}_AVG_{n}"] = Wn.rolling_mean_filled(target, n, s)
-        cols[f"{target}_STD_{n}"] = Wn.rolling_std_filled(target, n, s)
-        cols[f"{target}_EMA_{n}"] = F.coalesce(Wn.ewm_mean(target, n, s), Wn.entity_mean(target, s))
-    for n in (5, 10):
-        cols[f"TS_PCT_AVG_{n}"] = Wn.rolling_mean_filled("TS_PCT", n, s)
-        cols[f"USAGE_RATE_AVG_{n}"] = Wn.rolling_mean_filled("USAGE_RATE", n, s)
-        for st in KEY_STATS:
-            if st != target and st in log.columns:
-                cols[f"{st}_AVG_{n}"] = Wn.rolling_mean_filled(st, n, s)
-    cols["DAYS_REST"] = Wn.days_rest(s)
-    df = df.withColumns(cols)
-    df = df.withColumns({k.upper(): v for k, v in cal.rest_flags(F.col("DAYS_REST")).items()
-                         if k != "rest_bucket"})
-    df = df.withColumns({k.upper(): v for k, v in cal.season_phase(spec.time).items() if k != "month"})
     if strength is not None:
         df = lookup_default(df, strength, "OPPONENT", "abbreviation", "strength", 3, out="OPP_STRENGTH")
     else:
         df = df.withColumn("OPP_STRENGTH", F.lit(3))
-    return df
+    df = df.select(s.entity, s.time, *s.tie, target, "MIN", "TS_PCT", "USAGE_RATE", "HOME", "OPPONENT", "OPP_STRENGTH", *stats)
+    cols = {f"{target}_EMA_{n}": Wn.ewm_fold(target, n, s) for n in WINDOWS}
+    cols |= {f"{target}_AVG_{n}": Wn.rolling_mean(target, n, s) for n in WINDOWS}
+    cols |= {f"{target}_STD_{n}": Wn.rolling_std(target, n, s) for n in WINDOWS}
+    cols |= {f"{x}_AVG_{n}": Wn.rolling_mean(x, n, s) for x in ("TS_PCT", "USAGE_RATE", *stats) for n in (5, 10)}
+    df = df.withColumns(cols | {"DAYS_REST": Wn.days_rest(s)})
+    # a run of nulls longer than the fold's horizon keeps the last value; before any value, the entity's mean
+    df = Wn.carry_forward(df, [f"{target}_EMA_{n}" for n in WINDOWS], s)
+    mean, std = F.avg(target).over(s.whole()), F.stddev_samp(target).over(s.whole())
+    fill = {f"{target}_{k}_{n}": (std if k == "STD" else mean) for k in ("AVG", "STD", "EMA") for n in WINDOWS}
+    fill |= {f"{x}_AVG_{n}": F.avg(x).over(s.whole()) for x in ("TS_PCT", "USAGE_RATE", *stats) for n in (5, 10)}
+    df = df.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()} | {"__n": F.count(F.lit(1)).over(s.whole())})
+    df = df.where(F.col("__n") >= min_rows).drop("__n")
+    df = df.withColumns({k.upper(): v for k, v in cal.rest_flags(F.col("DAYS_REST")).items() if k != "rest_bucket"})
+    df = df.withColumns({k.upper(): v for k, v in cal.season_phase(s.time).items() if k != "month"})
+    df = df.withColumns({f"OPP_{o}": F.coalesce((F.col("OPPONENT") == o).cast("int"), F.lit(0)) for o in opponents})
+    return df.select(s.entity, s.time, *s.tie, *player_game_names(stats, target, opponents), F.col(target).alias("TARGET"))
+
+
+def next_game_row(log: DataFrame, spec: LogSpec, requests: DataFrame, opponents: list[str], strength: DataFrame | None = None,
+                  target: str = "PTS") -> DataFrame:
+    """One scoring row per request (entity, GAME_DATE, OPPONENT, IS_HOME) from the entity's
+    averages so far: every ``_AVG_`` and ``_EMA_`` is the average, every ``_STD_`` a tenth of it; rest since the
+    last game (3 without one), home, phase, opponent strength and one-hots; TS% and usage of the
+    averages.  Entities without games give no row."""
+    from perflog.operators.lookups import lookup_default
+    s = spec
+    stats = player_game_stats(log, target)
+    used = list(dict.fromkeys([target, "MIN", "PTS", "FGA", "FTA", "TOV", *stats]))
+    avg = log.groupBy(F.col(s.entity).alias("__k")).agg(*[F.avg(c).alias(f"__{c}") for c in used], F.max(s.time).alias("__last"))
+    df = requests.join(avg, F.col(s.entity) == F.col("__k")).drop("__k")
+    if strength is not None:
+        df = lookup_default(df, strength, "OPPONENT", "abbreviation", "strength", 3, out="OPP_STRENGTH")
+    else:
+        df = df.withColumn("OPP_STRENGTH", F.lit(3))
+    df = df.withColumns({"TS_PCT": R.true_shooting("__PTS", "__FGA", "__FTA", "zero"),
+                         "USAGE_RATE": R.usage("__FGA", "__FTA", "__TOV", negative_to_zero=True),
+                         "HOME": F.coalesce(F.col("IS_HOME").cast("int"), F.lit(0)), "MIN": F.col("__MIN"),
+                         "DAYS_REST": F.coalesce(F.timestamp_diff("DAY", F.col("__last"), F.col("GAME_DATE")), F.lit(3)).cast("int")})
+    cols = {f"{target}_{k}_{n}": F.col(f"__{target}") * (0.1 if k == "STD" else 1.0) for k in ("AVG", "STD", "EMA") for n in WINDOWS}
+    cols |= {f"{x}_AVG_{n}": F.col(x) for x in ("TS_PCT", "USAGE_RATE") for n in (5, 10)}
+    cols |= {f"{st}_AVG_{n}": F.col(f"__{st}") for st in stats for n in (5, 10)}
+    cols |= {k.upper(): v for k, v in cal.rest_flags(F.col("DAYS_REST")).items() if k != "rest_bucket"}
+    cols |= {k.upper(): v for k, v in cal.season_phase("GAME_DATE").items() if k != "month"}
+    cols |= {f"OPP_{o}": F.coalesce((F.col("OPPONENT") == o).cast("int"), F.lit(0)) for o in opponents}
+    df = df.withColumns(cols)
+    return df.select(s.entity, "GAME_DATE", "OPPONENT", *player_game_names(stats, target, opponents))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -40,18 +39,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a folder every
-    executor can reach).  Only when the setting is absent -- local tests -- do we
-    create one under the system temp folder and register it with the session.
+    This is what ``spark.checkpoint.dir`` names, or the folder set on the context.
+    There is no other: a machine-local folder would be lost with its machine.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="perflog-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    elif spark.sparkContext.getCheckpointDir() is None:
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 

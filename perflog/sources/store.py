@@ -2,21 +2,18 @@
 
 The reference keeps one document collection per entity and season; here a
 dataset is ONE parquet table (season as partition column, entity an ordinary
-column).  Updates never rewrite a table in place while reading it: the merge
-is a lazy DataFrame, and :func:`write_snapshot` writes it as a new version
-folder under the shared checkpoint/stage root, so a lost executor or a failed
-job leaves the previous version intact.
+column).  Merges are lazy DataFrames; the caller writes them, partition by
+partition where the table is partitioned.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perflog.session import checkpoint_dir
-
 
 # ------------------------------------------------------------------ A8
 def _ts_lit(t: _dt.datetime, typ="timestamp_ntz"):
@@ -30,49 +27,57 @@ def stamp(df: DataFrame, as_of: _dt.datetime, col: str = "updated_at") -> DataFr
 
 
 # ------------------------------------------------------------------ A9
-def upsert_partial(existing: DataFrame, incoming: DataFrame, keys: list[str],
-                   order_col: str | None = None) -> DataFrame:
+def _keyless(keys: list[str]) -> Column:
+    out = F.lit(False)
+    for k in keys:
+        out = out | F.col(k).isNull()
+    return out
+
+
+def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the greatest by ``order`` (nulls lowest), then by all other
+    columns, so the survivor never depends on row order.  Rows with a null key are
+    all kept.  A map-side combined aggregate: a hot key ships one row per task."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    best = df.where(~_keyless(keys)).groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("__best"))
+    out = best.select(*[F.col(c) if c in keys else F.col(f"__best.{c}").alias(c) for c in df.columns])
+    return out.unionByName(df.where(_keyless(keys)))
+
+
+def upsert_partial(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Keyed partial upsert.
 
     * incoming rows whose key matches replace the columns the incoming batch
       *has* (nulls included); columns it lacks keep their stored values;
     * unmatched incoming rows are inserted (absent columns null);
-    * incoming rows with a null key are always inserted;
-    * several incoming rows per key: the last by ``order_col`` wins.
+    * rows with a null key, stored or incoming, are all kept as they are;
+    * several incoming rows per key: the greatest by ``order`` wins (see :func:`newest`).
 
-    One full outer join on the key (sort-merge; AQE splits skewed keys).
+    One full outer join on the key; keyless rows go around it.
     """
     present = [c for c in incoming.columns if c not in keys]
-    if order_col:
-        w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc_nulls_last())
-        null_key = F.lit(False)
-        for k in keys:
-            null_key = null_key | F.col(k).isNull()
-        ranked = incoming.withColumn("__r", F.when(null_key, F.lit(1)).otherwise(F.row_number().over(w)))
-        incoming = ranked.filter(F.col("__r") == 1).drop("__r")
-    inc = incoming.select(*keys, *[F.col(c).alias(f"__in_{c}") for c in present],
-                          F.lit(True).alias("__in"))
-    ex = existing.withColumn("__ex", F.lit(True))
-    j = ex.join(inc, keys, "full_outer")
+    loose = [existing.where(_keyless(keys)), incoming.where(_keyless(keys))]
+    inc = newest(incoming.where(~_keyless(keys)), keys, order)
+    inc = inc.select(*keys, *[F.col(c).alias(f"__in_{c}") for c in present], F.lit(True).alias("__in"))
+    j = existing.where(~_keyless(keys)).join(inc, keys, "full_outer")
     out = []
     for c in existing.columns:
-        if c in keys:
-            out.append(F.col(c))
-        elif c in present:
+        if c in present:
             out.append(F.when(F.col("__in").isNotNull(), F.col(f"__in_{c}")).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     out += [F.col(f"__in_{c}").alias(c) for c in present if c not in existing.columns]
-    return j.select(*out)
+    done = j.select(*out)
+    for extra in loose:
+        done = done.unionByName(extra, allowMissingColumns=True)
+    return done
 
 
 def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str],
                   version_col: str = "updated_at") -> DataFrame:
     """Whole-record upsert: union, then the newest version of each key wins
-    (the fix for append-only refreshes that duplicate rows)."""
-    both = existing.unionByName(incoming, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(version_col).desc_nulls_last())
-    return both.withColumn("__v", F.row_number().over(w)).filter("__v = 1").drop("__v")
+    (the fix for append-only refreshes that duplicate rows); keyless rows stay."""
+    return newest(existing.unionByName(incoming, allowMissingColumns=True), keys, [version_col])
 
 
 # ------------------------------------------------------------------ A12
@@ -86,62 +91,26 @@ def count_where(df: DataFrame, predicate: Column) -> int:
     return df.filter(F.coalesce(predicate, F.lit(False))).count()
 
 
-# ------------------------------------------------------------------ snapshots, A13
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
+# ------------------------------------------------------------------ A8, A13
+def append(df: DataFrame, path: str, as_of: _dt.datetime, partition_by: list[str] | None = None) -> None:
+    """Stamp the rows and append them to the stored table."""
+    w = stamp(df, as_of).write.mode("append")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
-def stage_root(spark: SparkSession) -> str:
-    return checkpoint_dir(spark) + "/tables"
 
-
-def versions(spark: SparkSession, name: str, root: str | None = None) -> list[int]:
-    base = f"{root or stage_root(spark)}/{name}"
-    fs, p = _fs(spark, base)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        n = st.getPath().getName()
-        if n.startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-                st.getPath(), "_SUCCESS")):
-            out.append(int(n[2:]))
-    return sorted(out)
-
-
-def write_snapshot(df: DataFrame, name: str, partition_by: list[str] | None = None,
-                   root: str | None = None) -> str:
-    """Write ``df`` as the next version of dataset ``name``; only complete
-    versions (with ``_SUCCESS``) are ever read."""
-    spark = df.sparkSession
-    vs = versions(spark, name, root)
-    path = f"{root or stage_root(spark)}/{name}/v={(vs[-1] + 1) if vs else 0}"
-    w = df.write.mode("error")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
-
-
-def read_current(spark: SparkSession, name: str, root: str | None = None) -> DataFrame | None:
-    vs = versions(spark, name, root)
-    if not vs:
-        return None
-    return spark.read.parquet(f"{root or stage_root(spark)}/{name}/v={vs[-1]}")
-
-
-def read_through(spark: SparkSession, name: str, build, refresh: bool = False,
-                 partition_by: list[str] | None = None, root: str | None = None) -> DataFrame:
-    """Use the stored table unless ``refresh``; otherwise build it (a
-    DataFrame-returning callable), store it as a new version and read it back."""
+def read_through(spark: SparkSession, path: str, build, refresh: bool = False,
+                 partition_by: list[str] | None = None) -> DataFrame:
+    """The stored table at ``path``; built (by a DataFrame-returning callable) and
+    written first if ``refresh`` is set or there is none."""
     if not refresh:
-        cur = read_current(spark, name, root)
-        if cur is not None:
-            return cur
-    write_snapshot(build(), name, partition_by, root)
-    return read_current(spark, name, root)
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    w = build().write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return spark.read.parquet(path)
 
 
 # ------------------------------------------------------------------ A6

@@ -1,11 +1,12 @@
 """Incremental ingest of raw logs with Structured Streaming (re-aim of the
 reference's refresh pattern: fetch new rows, stamp them, upsert, read through).
 
-A file stream over a landing folder feeds ``foreachBatch``: each micro-batch
-is cleaned, stamped with its epoch, merged latest-wins into the stored table
-and written as a new snapshot version.  The stream checkpoint lives in the
-shared checkpoint folder, so a restarted query resumes where it stopped; a
-replayed epoch merges to the same content (latest-wins is idempotent).
+A file stream over a landing folder feeds ``foreachBatch``: each micro-batch is
+cleaned, stamped with its epoch and appended to a partition of its own
+(``_epoch=<n>``), which a replayed epoch overwrites -- so a batch costs its own
+rows and never rewrites stored ones.  Reading takes the newest version of each
+key.  The stream checkpoint lives in the shared checkpoint folder, so a
+restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -18,37 +19,39 @@ from pyspark.sql.streaming import StreamingQuery
 
 from perflog.operators.ranking import dedup_latest
 from perflog.session import checkpoint_dir
-from perflog.sources import store as S
 
 
-def ingest_stream(spark: SparkSession, landing: str, schema: str, name: str, keys: list[str],
+def ingest_stream(spark: SparkSession, landing: str, schema: str, path: str, keys: list[str],
                   clean: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet",
-                  root: str | None = None, available_now: bool = True,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+                  available_now: bool = True, max_files_per_trigger: int | None = None,
+                  checkpoint: str | None = None) -> StreamingQuery:
+    """Stream ``landing`` into the table at ``path``; one version per key and epoch."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(landing)
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        b = clean(batch) if clean else batch
-        b = b.withColumn("_epoch", F.lit(epoch).cast("long"))
-        cur = S.read_current(spark, name, root)
-        merged = (S.upsert_latest(cur, b, keys, "_epoch") if cur is not None
-                  else dedup_latest(b, keys, "_epoch"))
-        S.write_snapshot(merged, name, root=root)
+    def store(batch: DataFrame, epoch: int) -> None:
+        b = (clean(batch) if clean else batch).withColumn("_epoch", F.lit(epoch).cast("long"))
+        dedup_latest(b, keys, "_epoch").drop("_epoch").write.mode("overwrite").parquet(f"{path}/_epoch={epoch}")
 
-    ckpt = f"{checkpoint_dir(spark)}/streams/{name}"
-    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
+    where = checkpoint or f"{checkpoint_dir(spark)}/streams/{path.strip('/').replace('/', '_')}"
+    w = stream.writeStream.foreachBatch(store).option("checkpointLocation", where)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The stored table with the newest version of each key."""
+    return dedup_latest(spark.read.parquet(path), keys, "_epoch")
+
+
 def recent_window_stream(spark: SparkSession, landing: str, schema: str, time_col: str, entity: str,
                          window: str = "7 days", watermark: str = "1 day") -> DataFrame:
     """Rolling activity per entity over event-time windows, late rows bounded
-    by a watermark (streaming form of the recent-window read)."""
-    s = spark.readStream.schema(schema).parquet(landing)
+    by a watermark (streaming form of the recent-window read).  Event times without
+    a zone are read in the session's, as watermarks need instants."""
+    s = spark.readStream.schema(schema).parquet(landing).withColumn(time_col, F.col(time_col).cast("timestamp"))
     return (s.withWatermark(time_col, watermark)
              .groupBy(entity, F.window(time_col, window, "1 day"))
              .agg(F.count(F.lit(1)).alias("rows")))

@@ -31,21 +31,35 @@ def approx(a, b):
                for x, y in zip(a, b)) and len(a) == len(b)
 
 
+def ewm3(spark, values):
+    df = series(spark, values)
+    both = Wn.ewm(df, "x", {"y": 3}, S).withColumn("z", Wn.ewm_fold("x", 3, S))
+    both = Wn.carry_forward(both, ["z"], S)
+    assert approx(col(both, "y"), col(both, "z"))
+    return col(both, "y")
+
+
 def test_ewm_null_inside(spark):
-    df = series(spark, [1.0, None, 4.0, 2.0]).withColumn("y", Wn.ewm_mean("x", 3, S))
-    assert approx(col(df, "y"), [1, 1, 3.4, 2.5384615384615383])
+    assert approx(ewm3(spark, [1.0, None, 4.0, 2.0]), [1, 1, 3.4, 2.5384615384615383])
 
 
 def test_ewm_leading_null(spark):
-    df = series(spark, [None, 1.0]).withColumn("y", Wn.ewm_mean("x", 3, S))
-    assert approx(col(df, "y"), [None, 1.0])
+    assert approx(ewm3(spark, [None, 1.0]), [None, 1.0])
 
 
 def test_ewm_long_null_run_carries(spark):
-    vals = [5.0] + [None] * 80
-    df = series(spark, vals).withColumn("y", Wn.ewm_mean("x", 3, S))
-    df = Wn.carry_forward(df, ["y"], S)
-    assert approx(col(df, "y"), [5.0] * 81)
+    assert approx(ewm3(spark, [5.0] + [None] * 80), [5.0] * 81)
+
+
+def test_ewm_over_many_buckets(spark):
+    """Linear in the rows of one entity, whose buckets carry on from each other."""
+    import random
+    import pandas as pd
+    rng = random.Random(1)
+    values = [None if rng.random() < 0.1 else rng.random() for _ in range(3000)]
+    want = pd.Series(values, dtype=float).ewm(span=10).mean()
+    got = col(Wn.ewm(series(spark, values), "x", {"y": 10, "w": 3}, S, 86400 * 500), "y")
+    assert approx(got, [None if pd.isna(x) else x for x in want])
 
 
 def test_rolling_mean_null_inside(spark):
@@ -156,32 +170,110 @@ def test_season_labels(spark):
 
 @pytest.mark.parametrize("n", [1, 3])
 def test_short_entity_fixed_schema(spark, n):
-    df = series(spark, [1.0] * n).withColumns({"r": Wn.rolling_mean("x", 3, S), "z": Wn.zscore("x", S)})
-    assert set(df.columns) >= {"r", "z"}
-    assert col(df, "z") == [None] * n          # constant measure: std 0 -> null
+    df = series(spark, [1.0] * n).withColumn("r", Wn.rolling_mean("x", 3, S))
+    df = Wn.zscore(df, ["x"], S)
+    assert set(df.columns) >= {"r", "x_ZSCORE"}
+    assert col(df, "x_ZSCORE") == [None] * n          # constant measure: std 0 -> null
     assert col(df, "r")[-1] == (1.0 if n >= 3 else None)
 
 
-def test_skew_split_equals_plain(spark):
-    """Force every supplier hot (tiny buckets) and compare with the plain path,
-    including EWM whose frame looks back K rows across several buckets."""
-    from perflog.operators.skew import skew_safe
-    from perflog.plans.bindings import LINEITEM, lineitem_log
-    li = lineitem_log(spark, "/root/testdata/sf0.001").select(
-        "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    k = Wn.ewm_horizon(3)
+# ------------------------------------------------------------------ windows in pieces
+def pieces_case(spark):
+    """Entities of many sizes and a null one, null times, ties, and hours around clock changes."""
+    import random
+    rng = random.Random(3)
+    rows, k = [], 0
+    for e in (1, 2, 3, None):
+        for i in range(rng.choice([1, 5, 60])):
+            t = None if rng.random() < 0.2 else dt.datetime(2024, 3, 9, 22) + dt.timedelta(hours=rng.randrange(0, 60) // 2)
+            rows.append((e, t, k, rng.choice([None, 1.0, 2.0, 5.0]), rng.choice(["W", "L", "L", None])))
+            k += 1
+    return spark.createDataFrame(rows, "e int, t timestamp_ntz, k int, x double, r string")
+
+
+def plain_windows(df):
+    df = df.withColumns({"n": Wn.game_number(S), "m": Wn.rolling_mean("x", 3, S), "p": Wn.prior_mean("x", 2, S),
+                         "d": Wn.days_rest(S), "g": Wn.lagged("x", 2, S, None)})
+    df = Wn.current_streaks(df, "r", S, win_out="w", loss_out="l").withColumn("c", Wn.expanding_mean("x", S))
+    return df
+
+
+def in_small_pieces(df, chunk, size):
+    from perflog.operators.split import in_pieces, running_means
+    win, loss = Wn.streaks_of_run("r")
+    out = in_pieces(df, S, 2, lambda p: {"n": F.col("__rn"), "m": Wn.rolling_mean("x", 3, p, True), "p": Wn.prior_mean("x", 2, p, None, True),
+                                         "d": Wn.days_rest(p, 3, True, "t"), "g": Wn.lagged("x", 2, p, None, True)},
+                    result="r", keep=("__run",), chunk_seconds=chunk, rows_per_bucket=size)
+    out = out.withColumns({"w": win, "l": loss}).drop("__run")
+    return running_means(out, S, {"c": "x"}, chunk).drop("__e", "__rn")
 
-    def build(d, sp, per):
-        return d.withColumns({"m": Wn.rolling_mean("l_quantity", 5, sp, per),
-                              "s": Wn.rolling_std("l_quantity", 3, sp, per),
-                              "e": Wn.ewm_mean("l_quantity", 3, sp, per),
-                              "g": Wn.lagged("l_quantity", 2, sp, None, per)})
 
-    key = ["l_orderkey", "l_linenumber", "l_partkey"]
-    split = skew_safe(li, LINEITEM, build, lookback=k, hot_rows=10, rows_per_bucket=k + 7)
-    plain = build(li.withColumn("__rn", F.row_number().over(LINEITEM.w())), LINEITEM, False)
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_windows_in_pieces_equal_plain_windows(spark, zone):
+    cols = ["k", "n", "m", "p", "d", "g", "w", "l", "c"]
 
     def rows(df):
-        return sorted(tuple(None if v is None else (round(v, 9) if isinstance(v, float) else v) for v in r)
-                      for r in df.select(*key, "__rn", "m", "s", "e", "g").collect())
-    assert rows(split) == rows(plain)
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*cols).collect())
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = pieces_case(spark)
+        want = list(map(repr, rows(plain_windows(df))))
+        for chunk, size in ((3600, 2), (7200, 3), (86400 * 400, 1000)):
+            assert list(map(repr, rows(in_small_pieces(df, chunk, size)))) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_dates_do_not_depend_on_the_zone(spark):
+    texts = ["2024-03-10 02:30:00", "2024-01-05T10:00:00Z", "2024-01-05T10:00:00+02:00", "APR 14, 2024", "2024-11-03 01:30:00", "x", None]
+    want = [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 1, 5, 10), dt.datetime(2024, 1, 5, 8), dt.datetime(2024, 4, 14),
+            dt.datetime(2024, 11, 3, 1, 30), None, None]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "k int, s string")
+            assert [r.d for r in df.orderBy("k").select(P.parse_date("s").alias("d")).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_unknown_margins_and_predictions(spark):
+    df = spark.createDataFrame([(None, 1)], "m double, w int")
+    r = df.select(R.blowout_win("m", "w").alias("b"), R.close_game("m").alias("c"), PR.prediction_interval("m").alias("i")).first()
+    assert (r.b, r.c, r.i) == (0, 0, None)
+
+
+def test_best_model_ties_and_nan(spark):
+    from perflog.operators.metrics import best_model
+    rows = [("aaa", "mae", 1.0), ("bbb", "mae", 1.0), ("b", "r2", 0.5), ("c", "r2", float("nan")), ("d", "r2", None)]
+    got = {r.metric: r.best_model for r in best_model(spark.createDataFrame(rows, "model string, metric string, value double")).collect()}
+    assert got == {"mae": "aaa", "r2": "b"}
+
+
+def test_lookup_takes_the_smallest_of_duplicates(spark):
+    from perflog.operators.lookups import lookup_defaults, resolve_ids
+    df = spark.createDataFrame([("a",), ("z",), (None,)], "k string")
+    dim = spark.createDataFrame([("a", 2, 9), ("a", 1, 8), (None, 5, 5)], "d string, v int, i int")
+    got = {r.k: (r.x, r.y) for r in lookup_defaults(df, dim, "k", "d", {"x": ("v", 0), "y": ("i", -1)}).collect()}
+    assert got == {"a": (1, 8), "z": (0, -1), None: (0, -1)}
+    assert [r.id for r in resolve_ids(df, dim, "k", "d", "i").collect()] == [8]
+
+
+def test_text_stats_are_read_before_means(spark):
+    from perflog.operators.aggregates import season_means
+    df = spark.createDataFrame([(1, "s", "10"), (1, "s", "n/a")], "e int, season string, PTS string")
+    assert season_means(df, ["e"], "season", ["PTS"]).first().PTS == 5.0
+
+
+def test_many_rows_of_one_entity_stay_linear(spark):
+    """80 000 rows of one entity; a quadratic plan would take minutes."""
+    import time
+    df = spark.range(80_000).selectExpr("1 as e", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as t", "cast(id as int) as k",
+                                        "case when id % 7 = 0 then null else cast(id % 13 as double) end as x")
+    began = time.time()
+    C.ffill_bfill(df, ["x"], ["e"], ["k"]).write.format("noop").mode("overwrite").save()
+    Wn.ewm(df, "x", {"y": 3, "z": 10}, S).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 60
