@@ -35,5 +35,5 @@ def register(name: str, area: str, sql: str | None = None, bench: bool = True):
 def all_queries() -> dict[str, Query]:
     # import for side effect: each module registers its queries
     from perflog.plans import (q_windows, q_scalars, q_aggregates, q_lookups,  # noqa: F401
-                               q_store, q_models, q_ml)
+                               q_store, q_models, q_ml, q_pipelines)
     return REGISTRY
