@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from perflog.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, text: str | None = None):
     def add(fn):
         QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
+        if text:
+            SQL[name] = text
         return fn
     return add
 
@@ -28,10 +31,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_host_rules")
+@query("op1_host_rules", sql.HOST_RULES)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.host_rules import apply_host_rules
-    return apply_host_rules(table(spark, sf_dir, "documents"))
+    out = apply_host_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("host_rate_")})
 
 
 @query("op2_best_fit_packing")
@@ -64,7 +68,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op7_ngram_join")
+@query("op7_ngram_join", sql.NGRAM_JOIN)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.ngram_join import link
     return link(table(spark, sf_dir, "documents")).drop("component")
@@ -76,7 +80,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents")).drop("found")
 
 
-@query("op9_window_dedup")
+@query("op9_window_dedup", sql.WINDOW_DEDUP)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.window_dedup import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"))
