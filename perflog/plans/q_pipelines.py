@@ -15,7 +15,7 @@ from perflog.plans.bindings import BOX, BOX_SQL, box_scores
 from perflog.plans.cleaning import player_log_clean, team_log_clean
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, prior_avg, r4, roll_avg, rows
-from perflog.sources.tables import read_table, read_where
+from perflog.sources.tables import DRIVER_SCHEMAS, read_table, read_where
 from perflog.spec import LogSpec
 
 RAW = LogSpec(entity="l_suppkey", time="GAME_DATE", tie=("l_orderkey", "l_linenumber", "l_partkey"), outcome="WL")
@@ -133,7 +133,8 @@ select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_ord
 """)
 def boxscore_by_game(spark, sf_dir):
     """Rows of some games by predicate and projection, both at the scan; columns that don't exist are left out."""
-    df = read_where(spark, f"{sf_dir}/lineitem.parquet", (F.col("l_orderkey") % 7 == 3) & (F.col("l_returnflag") == "R"))
+    df = read_where(spark, f"{sf_dir}/lineitem.parquet", (F.col("l_orderkey") % 7 == 3) & (F.col("l_returnflag") == "R"),
+                    schema=DRIVER_SCHEMAS["lineitem"])
     return C.select_present(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "NO_SUCH_COLUMN"])
 
 
