@@ -36,7 +36,7 @@ from perflog.llm.words import U, mix, powers
 
 CORE = 128
 #: Windows of a text that one numpy pass works on, bytes of a stretch, and bytes of a shard (on average).
-PASS, STRETCH, SHARD = 1 << 19, 1 << 14, 1 << 20
+PASS, STRETCH, SHARD = 1 << 19, 1 << 14, 1 << 18
 
 
 def anchor_runs(text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -289,7 +289,7 @@ def marks(all_spans: DataFrame, length: int, most_variants: int) -> DataFrame:
     return found if below is None else found.unionByName(below)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_variants: int = 800,
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_variants: int = 300,
                    with_text: bool = False) -> DataFrame:
     """Id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) of every row: bytes covered by a string of ``length``
     bytes that also starts elsewhere are removed."""
