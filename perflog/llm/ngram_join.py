@@ -8,8 +8,9 @@ shared shingles to reach the threshold with any partner is dropped as well, sinc
 of similarity t have at least t * larger - (rest of the set whose prefix ends first)
 prefix shingles in common. Neighbours and the first of each remaining posting list are
 candidate group pairs, expanded to their members and verified on the full sets; links give
-components. Then every pair of different components that still shares prefix shingles,
-counted per pair of members and filtered by that bound, is verified too, so no link between
+components. Then classes of different components that shared shingles connect, directly or not,
+are a family. Families are cut into blocks by size; each two blocks near in size meet, pairs of different
+components are filtered by the number of shingles their prefixes share, and verified, so no link between
 components is lost, while copies within a component need not meet in pairs.
 
 Frequent shingles go by an aggregate and a split join, all others have bounded lists. Links
@@ -35,6 +36,8 @@ from perflog.llm.words import LOWER, SPACE, U, Words, mix
 COUNTERS = 1 << 22
 #: Share of a set that is its prefix, in percent (20 would do for similarity 0.8; more shared shingles prune groups).
 PREFIX = 25
+#: Classes in a block of a family, and columns of a 0/1 matrix.
+BLOCK, COLUMNS = 1024, 1 << 12
 #: Groups that a task remembers to emit each but once.
 REMEMBERED = 1 << 20
 
@@ -75,7 +78,7 @@ def levels(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % 8], pa.int32()),
                                               "at": pa.array([at.astype("<u4").tobytes()], pa.binary()), "n": pa.array([acc[at].tobytes()], pa.binary())})
 
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(batches) -> np.ndarray:
         acc = np.zeros(COUNTERS, np.uint64)
         for b in batches:
             for at, n in zip(b.column(b.schema.get_field_index("at")), b.column(b.schema.get_field_index("n"))):
@@ -84,14 +87,21 @@ def levels(docs: DataFrame, k: int) -> np.ndarray:
                     acc[np.frombuffer(at.as_buffer(), "<u4")] += n
                 else:
                     acc += n
-        yield pa.RecordBatch.from_pydict({"n": pa.array([acc.tobytes()], pa.binary())})
+        return acc
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.minimum(total(batches), 2 ** 32 - 1).astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({"at": pa.array([None], pa.binary()), "n": pa.array([acc.tobytes()], pa.binary())})
 
-    total = np.zeros(COUNTERS, np.uint64)
-    # eight arrays of fixed size at most
-    for r in docs.select("__text").mapInArrow(parts, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "n binary").toLocalIterator():
-        total += np.frombuffer(bytes(r.n), np.uint64)
-    often = total >= 16 + 2 * total.mean()
-    return np.where(often, np.log2(np.maximum(total, 1)), 0).astype(np.uint8)
+    def finish(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = total(batches)
+        often = acc >= 16 + 2 * acc.mean()
+        yield pa.RecordBatch.from_pydict({"level": pa.array([np.where(often, np.log2(np.maximum(acc, 1)), 0).astype(np.uint8).tobytes()], pa.binary())})
+
+    # arrays of fixed size: one a task, eight after that, and one byte a counter for the driver
+    sums = docs.select("__text").mapInArrow(parts, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "at binary, n binary")
+    row = sums.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(finish, "level binary").first()
+    return np.frombuffer(bytes(row.level), np.uint8) if row else np.zeros(COUNTERS, np.uint8)
 
 
 def ordered(h: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -166,23 +176,16 @@ def postings(docs: DataFrame, k: int, level) -> DataFrame:
     return docs.select("__text").mapInArrow(run, "tok long, g long, n int")
 
 
-def needed(a: str, b: str, t: int) -> Column:
-    """Prefix shingles that sets of sizes ``a`` and ``b`` must share at least, whichever prefix ends first."""
-    overlap = F.expr(f"({t} * (bigint({a}) + {b}) + {100 + t} - 1) div {100 + t}")
-    rest = [F.expr(f"{x} - least({x}, {x} * {PREFIX} div 100 + 1)") for x in (a, b)]
-    return overlap - F.greatest(*rest)
-
-
 def near_size(a: str, b: str, t: int) -> Column:
     return (100 * F.least(a, b).cast("long") >= t * F.greatest(a, b).cast("long"))
 
 
-def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, t: int, level) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the similarity. Only texts of classes in pairs are made sets again."""
+def full_sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, k: int, level, short: bool = False) -> DataFrame:
+    """c and keys (the full ordered set; its low 32 bits if ``short``) of the classes in ``ends`` (c). Only texts of those classes are
+    made sets again."""
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    texts = rows.join(ends, "c").groupBy("c").agg(F.min("__th").alias("th"))
-    bits = spark.sparkContext.broadcast(bitmap(texts, "th", pow2(32 * max(1, pairs.count()), 1 << 16, 1 << 28)))
+    texts = stage(rows.join(ends, "c").groupBy("c").agg(F.min("__th").alias("th")), "ends")
+    bits = spark.sparkContext.broadcast(bitmap(texts, "th", pow2(32 * max(1, texts.count()), 1 << 16, 1 << 28)))
 
     def sets(batches):
         lev, may, seen = level.value, bits.value, set()
@@ -199,12 +202,18 @@ def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, t: int, l
                             seen.clear()
                         seen.add(this)
                         c.append(this)
-                        blob.append(x.tobytes())
+                        blob.append((x.astype("<u4") if short else x).tobytes())
                 if c:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(blob, pa.binary())], ["c", "keys"])
 
     found = docs.select("__th", "__text").mapInArrow(sets, "c long, keys binary")
-    found = stage(found.join(ends, "c", "left_semi").groupBy("c").agg(F.first("keys").alias("keys")), "sets")
+    return found.join(ends, "c", "left_semi").groupBy("c").agg(F.first("keys").alias("keys"))
+
+
+def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, t: int, level) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the similarity."""
+    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    found = stage(full_sets(docs, rows, ends, k, level), "sets")
 
     def compare(batches):
         for b in batches:
@@ -221,11 +230,104 @@ def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, t: int, l
     return both.mapInArrow(compare, "a long, b long")
 
 
+def common(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``cut`` sets with the others (all with all if ``cut`` is 0), by products of 0/1 matrices."""
+    size = [len(x) for x in sets]
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = count[code] > 1
+    row, number = np.repeat(np.arange(len(sets)), size)[keep], np.cumsum(count > 1) - 1
+    col = number[code[keep]]
+    top, rest = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
+    out = np.zeros((cut or len(sets), len(sets) - cut), np.float32)
+    for lo in range(0, int((count > 1).sum()), COLUMNS):
+        here = (col >= lo) & (col < lo + COLUMNS)
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[row[here], col[here] - lo] = 1
+        out += x[top] @ x[rest].T
+    return out
+
+
+def block_links(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], second: np.ndarray, t: int) -> list[tuple[int, int]]:
+    """Links between classes of different components: of two blocks (``second`` tells which), or within one block.
+
+    Pairs are filtered by size, by the shingles that their prefixes share, and by those that their sets share. Keys of 32 bits can
+    only add to what sets share, but for keys that are equal within a set, which are allowed for: no link is lost."""
+    order = np.argsort(second, kind="stable")
+    ids, parts, sets = ids[order], parts[order], [sets[i] for i in order]
+    cut = int((~second).sum()) if second.any() else 0
+    top, rest = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
+    n = np.array([len(x) for x in sets])
+    same = n - np.array([len(np.unique(x)) for x in sets])
+    same = np.maximum(same[top][:, None], same[rest][None, :])
+    prefix = np.minimum(n, n * PREFIX // 100 + 1)
+    total = n[top][:, None] + n[rest][None, :]
+    may = (parts[top][:, None] != parts[rest][None, :]) & (
+        100 * np.minimum(n[top][:, None], n[rest][None, :]) >= t * np.maximum(n[top][:, None], n[rest][None, :]))
+    if not cut:
+        may = np.triu(may, 1)
+    if not may.any():
+        return []
+    left = np.maximum((n - prefix)[top][:, None], (n - prefix)[rest][None, :])
+    may &= common([x[:p] for x, p in zip(sets, prefix)], cut) + same >= np.maximum(1, -(-t * total // (100 + t)) - left)
+    if not may.any():
+        return []
+    shared = common(sets, cut) + same
+    i, j = np.nonzero(may & (100 * shared >= t * (total - shared)))
+    return list(zip(ids[top][i].tolist(), ids[rest][j].tolist()))
+
+
+def verify_families(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, t: int, level) -> DataFrame:
+    """Links (a, b) between different components of one family, from nodes (family, part, c, n), still to be verified on full keys.
+
+    A family of any size is cut into blocks of about BLOCK classes of like size, large components apart from
+    others; every two blocks near in size meet in a task, but not two of one component, and only links come out."""
+    found = full_sets(docs, rows, nodes.select("c").distinct(), k, level, short=True)
+    # sizes of which one is ``t`` percent of the other at least are in the same or neighbouring classes
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / t + 1e-9))).cast("int")
+    nodes = nodes.withColumn("step", step)
+    size = nodes.groupBy("family", "step", "part").agg(F.count(F.lit(1)).alias("m"))
+    size = size.withColumn("large", F.col("m") >= BLOCK)
+    small = size.where("not large").groupBy("family", "step").agg(F.sum("m").alias("all"))
+    h = F.xxhash64(F.lit(21), F.when(F.col("large"), F.col("c")).otherwise(F.col("part")))
+    ways = F.ceil(F.when(F.col("large"), F.col("m")).otherwise(F.col("all")) / BLOCK)
+    nodes = nodes.join(size, ["family", "step", "part"]).join(small, ["family", "step"], "left").withColumn(
+        "block", F.struct("step", F.when(F.col("large"), F.col("part")).alias("own"), F.pmod(h, ways).alias("way")))
+    nodes = stage(nodes.select("family", "part", "c", "block"), "blocks")
+    blocks = nodes.select("family", "block").distinct()
+    one, two = blocks.select("family", F.col("block").alias("x")), blocks.select("family", F.col("block").alias("y"))
+    meet = one.join(two, "family").where((F.col("x") <= F.col("y")) & (F.col("y.step") - F.col("x.step") <= 1)
+                                         & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
+    meet = meet.withColumn("at", F.xxhash64("family", "x", "y"))
+    roles = meet.select("family", "at", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(False).alias("second"))))
+                                                  .otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(False).alias("second")),
+                                                                     F.struct(F.col("y").alias("block"), F.lit(True).alias("second"))))).alias("r"))
+    sent = nodes.join(roles.select("family", "at", "r.block", "r.second"), ["family", "block"]).select("c", "part", "at", "second").join(found, "c")
+    # many small meetings share a task's group
+    bundles = max(1, -(-nodes.count() // BLOCK))
+
+    def go(key, table):
+        table = table.sort_by("at")
+        at = table.column("at").to_numpy()
+        c, part, second = (table.column(x).to_numpy() for x in ("c", "part", "second"))
+        keys = table.column("keys").combine_chunks()
+        out = []
+        for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]]))):
+            out += block_links(c[lo:hi], part[lo:hi], [np.frombuffer(x.as_buffer(), "<u4") for x in keys[lo:hi]], second[lo:hi].astype(bool), t)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return sent.withColumn("bundle", F.pmod("at", F.lit(bundles))).groupBy("bundle").applyInArrow(go, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of ``edges`` (a, b), by rounds of large-star and small-star."""
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    seal = None
     while True:
+        # done when every node points to one other, which points to none
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+            e.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out + in > 1 and out > 0").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         # large star: greater neighbours of a node go to the least one around it
         around = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -235,11 +337,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = stage(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seal:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seal = now
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
@@ -285,20 +382,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     edges = stage(verify(docs, rows, pairs, k, percent, level), "links")
     found = components(edges)
 
-    # what is left: members of different components that share enough prefix shingles
+    # what is left: members of different components in one family, that is, groups that shared shingles connect
     part = members.join(found, F.col("c") == F.col("node"), "left").select("c", "n", "g", F.coalesce("component", "c").alias("part"))
-    part = stage(part, "parts")
-    full = lists.select("tok", "g").join(part, "g")
-    mixed = full.groupBy("tok").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("tok")
-    full = full.join(mixed, "tok")
-    x, y = full.select("tok", *[F.col(c).alias(c + "1") for c in ("c", "n", "part")]), full.select("tok", *[F.col(c).alias(c + "2") for c in ("c", "n", "part")])
-    across = (x.join(y, "tok").where((F.col("c1") < F.col("c2")) & (F.col("part1") != F.col("part2")) & near_size("n1", "n2", percent))
-              .groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("shared"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-              .where(F.col("shared") >= needed("n1", "n2", percent)).select(F.col("c1").alias("a"), F.col("c2").alias("b")))
-    across = stage(across, "across")
-    more = verify(docs, rows, across, k, percent, level)
-    both = edges.unionByName(more)
-    found = components(both)
+    family = components(lists.join(lists.groupBy("tok").agg(F.min("g").alias("b")), "tok").select(F.col("g").alias("a"), "b").distinct())
+    nodes = part.join(family.select(F.col("node").alias("g"), F.col("component").alias("family")), "g")
+    mixed = nodes.groupBy("family").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("family")
+    nodes = stage(nodes.join(mixed, "family").select("family", "part", "c", "n"), "nodes")
+    more = stage(verify_families(docs, rows, nodes, k, percent, level).distinct(), "across")
+    more = stage(verify(docs, rows, more, k, percent, level), "more")
+    # links join whole components: only their numbers go through another round
+    named = found.select(F.col("node"), F.col("component"))
+    joins = (more.join(named.select(F.col("node").alias("a"), F.col("component").alias("pa")), "a", "left")
+             .join(named.select(F.col("node").alias("b"), F.col("component").alias("pb")), "b", "left")
+             .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
+    last = components(joins)
+    found = (part.select(F.col("c").alias("node"), "part").join(last.select(F.col("node").alias("part"), "component"), "part", "left")
+             .select("node", F.coalesce("component", "part").alias("component")))
+
 
     of = classes.select("c", "least").join(found, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("part"))
     least = of.groupBy("part").agg(F.min("least").alias("component_id"))

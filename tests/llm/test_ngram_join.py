@@ -26,9 +26,12 @@ def test_real_documents(spark, sf):
     check(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
 
 
-def test_families_of_edited_copies(spark):
+@pytest.mark.parametrize("block", [4, 1024])
+def test_families_of_edited_copies(spark, monkeypatch, block):
     """Copies with more and more edits around the threshold, of many sizes, with a passage that all share."""
     import random
+    from perflog.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(9)
     shared = [f"s{i}" for i in range(30)]
     rows, n = [], 0
