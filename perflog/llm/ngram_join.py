@@ -36,8 +36,8 @@ from perflog.llm.words import LOWER, SPACE, U, Words, mix
 COUNTERS = 1 << 22
 #: Share of a set that is its prefix, in percent (20 would do for similarity 0.8; more shared shingles prune groups).
 PREFIX = 25
-#: Classes in a block of a family, and columns of a 0/1 matrix.
-BLOCK, COLUMNS = 1024, 1 << 12
+#: Classes in a block of a family, columns of a 0/1 matrix, and sets of which a key makes no column.
+BLOCK, COLUMNS, FEW = 512, 1 << 11, 12
 #: Groups that a task remembers to emit each but once.
 REMEMBERED = 1 << 20
 
@@ -231,15 +231,28 @@ def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, t: int, l
 
 
 def common(sets: list[np.ndarray], cut: int) -> np.ndarray:
-    """Sizes of the intersections of the first ``cut`` sets with the others (all with all if ``cut`` is 0), by products of 0/1 matrices."""
-    size = [len(x) for x in sets]
+    """Sizes of the intersections of the first ``cut`` sets with the others (if ``cut`` is 0, of all with all later ones).
+
+    Keys of a few sets add to their pairs one by one; only keys of many sets make columns of a 0/1 matrix."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = count[code] > 1
-    row, number = np.repeat(np.arange(len(sets)), size)[keep], np.cumsum(count > 1) - 1
-    col = number[code[keep]]
     top, rest = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
     out = np.zeros((cut or len(sets), len(sets) - cut), np.float32)
-    for lo in range(0, int((count > 1).sum()), COLUMNS):
+    few = (count[code] > 1) & (count[code] <= FEW)
+    order = np.lexsort((row[few], code[few]))
+    key, of = code[few][order], row[few][order]
+    for step in range(1, FEW):
+        i, j = of[:-step], of[step:]
+        ok = (key[:-step] == key[step:]) & (i != j)
+        if cut:
+            ok &= (i < cut) & (j >= cut)
+        if not ok.any():
+            continue
+        out += np.bincount(i[ok] * out.shape[1] + j[ok] - cut, minlength=out.size).reshape(out.shape)
+    number = np.cumsum(count > FEW) - 1
+    many = count[code] > FEW
+    row, col = row[many], number[code[many]]
+    for lo in range(0, int((count > FEW).sum()), COLUMNS):
         here = (col >= lo) & (col < lo + COLUMNS)
         x = np.zeros((len(sets), COLUMNS), np.float32)
         x[row[here], col[here] - lo] = 1

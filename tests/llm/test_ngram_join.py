@@ -26,7 +26,7 @@ def test_real_documents(spark, sf):
     check(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
 
 
-@pytest.mark.parametrize("block", [4, 1024])
+@pytest.mark.parametrize("block", [4, 512])
 def test_families_of_edited_copies(spark, monkeypatch, block):
     """Copies with more and more edits around the threshold, of many sizes, with a passage that all share."""
     import random
