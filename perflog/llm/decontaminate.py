@@ -1,13 +1,15 @@
-"""Benchmark decontamination by rare seeds and local alignment (operator 5).
-
-Items are cut into overlapping segments of bounded length. First pass: word n-grams of the
-items are counted over all documents (a Bloom filter of the items' n-grams, of bounded size,
-tells tasks which to count; each task sums before the shuffle). A segment's seeds are its
-rarest n-grams, half of them and at least ``least_seeds``. Second pass: documents that hold
-seeds give up the passages around them. Seeds join passages to segments, and Smith-Waterman
-alignment of words scores every such pair: a match is worth 1, a change or gap costs
-``penalty``. A document and an item are reported where the score is ``threshold`` of the
-segment's length or more: exact copies score 1, edited and paraphrased ones less.
+"""Benchmark decontamination by shared n-grams and local alignment (operator 5).
+
+Items are cut into overlapping segments of bounded length; all word n-grams of a segment are
+its seeds, frequent ones too, since an edited copy may keep no other. Documents that hold
+seeds (a Bloom filter of bounded size tells) give up the passages around them, with words
+that no item holds blanked. Seeds join passages to segments. Seeds of a pair whose places
+differ by more gaps than a score of ``threshold`` allows are apart; for each run of the others,
+Smith-Waterman alignment of words scores the passage if enough of the segment's words are in
+it: a match is worth 1, a change or gap costs ``penalty``. A document and an item are reported
+where the score is ``threshold`` of the segment's length or more: exact copies score 1, edited
+and paraphrased ones less. So all pairs that score enough around a shared n-gram are found;
+a copy of which no run of ``seed_words`` words is left is not.
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters, ASCII
 letters in lower case. Null and empty texts hold no words; items (or segments) of fewer
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perflog.llm.runtime import bitmap, chunks, has_bit, pow2, ready, stage, text_hash, utf8
@@ -89,31 +91,9 @@ def probed(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ok
 
 
-def gram_counts(docs: DataFrame, n: int, bits) -> DataFrame:
-    """h and the number of documents of n-grams that the filter lets through."""
-
-    def run(batches):
-        held: dict[int, int] = {}
-        for b in batches:
-            data, offs = utf8(b.column(0))
-            for lo, hi in chunks(offs):
-                w = Words(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], NONWORD, LOWER)
-                at, h = w.windows(n)
-                ok = probed(bits.value, h)
-                both = np.unique(np.stack([w.row[at[ok]].astype(U), h[ok]], axis=1), axis=0)[:, 1] if ok.any() else h[:0]
-                for x in both.view(np.int64).tolist():
-                    held[x] = held.get(x, 0) + 1
-                if len(held) > 1 << 20:
-                    yield pa.RecordBatch.from_pydict({"h": pa.array(list(held), pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
-                    held = {}
-        yield pa.RecordBatch.from_pydict({"h": pa.array(list(held), pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
-
-    return docs.select("__text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def passages(docs: DataFrame, n: int, bits, reach: int) -> DataFrame:
+def passages(docs: DataFrame, n: int, bits, vocabulary, reach: int) -> DataFrame:
     """id, text hash, first (word), words and the seeds found (place in the passage, hash) of every passage that holds one:
-    ``reach`` words to both sides of seeds, overlapping ones joined."""
+    ``reach`` words to both sides of seeds, overlapping ones joined. Words outside ``vocabulary`` match nothing and are 0."""
     kind = docs.schema["__id"].dataType.simpleString()
 
     def run(batches):
@@ -136,7 +116,8 @@ def passages(docs: DataFrame, n: int, bits, reach: int) -> DataFrame:
                     start, stop = max(edge[r], at[x] - reach), min(edge[r + 1], at[y - 1] + n + reach)
                     at_row.append(lo + r)
                     first.append(start - edge[r])
-                    words.append(w.hash[start:stop].tobytes())
+                    part = w.hash[start:stop]
+                    words.append(np.where(probed(vocabulary.value, grams(part, 1)), part, U(0)).tobytes())
                     places.append((at[x:y] - start).astype(np.int32))
                     hashes.append(h[x:y].view(np.int64))
             if at_row:
@@ -171,8 +152,13 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float) -> np.ndar
     return best
 
 
+def most_gaps(n: int, penalty: float, threshold: float) -> int:
+    """Most words that an alignment of ``n`` words can leave out and still reach ``threshold``."""
+    return int(min((1 - threshold) * n / penalty, 1 << 30)) + 1 if penalty > 0 else 1 << 30
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", seed_words: int = 3, least_seeds: int = 8, longest: int = 128,
+                  item_text_col: str = "text", seed_words: int = 3, longest: int = 128,
                   penalty: float = 0.5, threshold: float = 0.5, least_words: int = 8) -> DataFrame:
     """id, item, score (share of the segment's words that align, changes and gaps deducted), segment, first_word and n_words
     (the passage in the document), and __th (hash of the text), for every document and item whose score reaches ``threshold``;
@@ -181,26 +167,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     docs = docs.select(F.col(id_col).alias("__id"), text_hash(F.col(text_col)).alias("__th"), F.col(text_col).alias("__text"))
     segments = stage(item_segments(items, item_col, item_text_col, longest), "segments")
     every = stage(item_grams(segments, seed_words), "item-grams")
-    different = every.select("h").distinct()
-    bits = spark.sparkContext.broadcast(bloom(different, every.count()))
-    counts = gram_counts(docs, seed_words, bits)
-    rarity = Window.partitionBy("item", "seg").orderBy("n", "h", "place")
-    ranked = (every.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-              .withColumns({"at": F.row_number().over(rarity), "all": F.count(F.lit(1)).over(Window.partitionBy("item", "seg"))}))
-    # n-grams that no document has are no use as seeds, but count among the rarest
-    seeds = stage(ranked.where((F.col("at") <= F.greatest(F.lit(least_seeds), F.col("all") / 2)) & (F.col("n") > 0))
-                  .select("item", "seg", "place", "size", "h"), "seeds")
-    size = seeds.agg(F.max("size"), F.count(F.lit(1))).first()
-    reach = int((size[0] or 0) * 1.25) + 2
-    bits = spark.sparkContext.broadcast(bloom(seeds.select("h"), size[1]))
-    found = stage(passages(docs, seed_words, bits, reach).withColumn("pid", F.monotonically_increasing_id()), "passages")
+    # of equal n-grams of a segment, the first and last place bound the others
+    seeds = every.groupBy("item", "seg", "h").agg(F.min("place").alias("p0"), F.max("place").alias("p1"))
+    size = every.agg(F.max("size"), F.count(F.lit(1))).first()
+    reach = (size[0] or 0) + most_gaps(size[0] or 0, penalty, threshold)
+    bits = spark.sparkContext.broadcast(bloom(every.select("h"), size[1]))
+    vocabulary = spark.sparkContext.broadcast(bloom(item_grams(segments, 1).select("h"), size[1] * 2))
+    found = stage(passages(docs, seed_words, bits, vocabulary, reach).withColumn("pid", F.monotonically_increasing_id()), "passages")
     hits = found.select("pid", F.explode(F.arrays_zip("places", "hashes")).alias("s")).select(
         "pid", F.col("s.places").alias("p"), F.col("s.hashes").alias("h"))
-    pairs = (hits.join(seeds, "h").groupBy("pid", "item", "seg")
-             .agg(F.min(F.col("p") - F.col("place")).alias("lo"), F.max(F.col("p") - F.col("place")).alias("hi")))
+    pairs = (hits.join(seeds, "h").select("pid", "item", "seg", F.explode(F.array_distinct(F.array(F.col("p") - F.col("p1"), F.col("p") - F.col("p0")))).alias("at"))
+             .groupBy("pid", "item", "seg").agg(F.collect_set("at").alias("at")))
     both = (pairs.join(found.select("pid", "id", "th", "first", "words"), "pid")
             .join(segments.withColumnRenamed("words", "segment_words"), ["item", "seg"])
-            .select("id", "th", "item", "seg", "first", "lo", "hi", "words", "segment_words"))
+            .select("id", "th", "item", "seg", "first", "at", "words", "segment_words"))
     kinds = both.schema
     head = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("id", "th", "item", "seg"))
 
@@ -208,24 +188,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         for b in batches:
             jobs = []
             for i in range(b.num_rows):
-                seg = np.frombuffer(b.column(8)[i].as_buffer(), U)
-                words = np.frombuffer(b.column(7)[i].as_buffer(), U)
-                slack = len(seg) // 4 + 2
-                lo = max(0, b.column(5)[i].as_py() - slack)
-                hi = min(len(words), b.column(6)[i].as_py() + len(seg) + slack)
-                jobs.append((hi - lo, i, seg, words[lo:hi], b.column(4)[i].as_py() + lo))
+                seg = np.frombuffer(b.column(7)[i].as_buffer(), U)
+                words = np.frombuffer(b.column(6)[i].as_buffer(), U)
+                first = b.column(4)[i].as_py()
+                wide, slack = most_gaps(len(seg), penalty, threshold), len(seg) // 4 + 2
+                at = np.sort(b.column(5)[i].values.to_numpy(zero_copy_only=False))
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(at) > wide) + 1, [len(at)]])
+                for x, y in zip(at[cut[:-1]].tolist(), at[cut[1:] - 1].tolist()):
+                    lo, hi = max(0, x - wide), min(len(words), y + len(seg) + wide)
+                    # no more words match than the passage holds
+                    if np.isin(seg, words[lo:hi]).sum() >= threshold * len(seg):
+                        near = max(0, x - slack), min(len(words), y + len(seg) + slack)
+                        jobs.append((hi - lo, i, seg, words[lo:hi], first + lo, words[near[0]:near[1]], first + near[0]))
             jobs.sort(key=lambda j: (j[0], j[1]))
             keep, scores, start, length = [], [], [], []
             while jobs:
                 take = max(1, min(len(jobs), 200_000 // max(1, jobs[-1][0])))
                 part, jobs = jobs[-take:], jobs[:-take]
-                for (_, i, seg, words, first), s in zip(part, align([(j[2], j[3]) for j in part], penalty)):
-                    s = float(s) / len(seg)
-                    if s >= threshold and (len(seg) >= least_words or s >= 1):
-                        keep.append(i)
-                        scores.append(s)
-                        start.append(first)
-                        length.append(len(words))
+                done = [(j, s) for j, s in zip(part, align([(j[2], j[3]) for j in part], penalty))
+                        if s / len(j[2]) >= threshold and (len(j[2]) >= least_words or s >= len(j[2]))]
+                # the narrower passage is reported where it scores as much
+                for (j, s), same in zip(done, align([(j[2], j[5]) for j, _ in done], penalty) if done else []):
+                    keep.append(j[1])
+                    scores.append(float(s) / len(j[2]))
+                    start.append(j[6] if same >= s else j[4])
+                    length.append(len(j[5] if same >= s else j[3]))
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(i).take(rows) for i in range(4)] + [
                 pa.array(scores, pa.float64()), pa.array(start, pa.int64()), pa.array(length, pa.int64())],

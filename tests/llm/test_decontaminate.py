@@ -48,6 +48,34 @@ def test_exact_and_edited_copies(spark):
     assert len(got) == len(want) + 1 and all(r.score <= 1 for r in got)
 
 
+def test_much_edited_copies(spark):
+    """15 to 25 % of the words changed, alone and beside an exact copy, against alignment with every pair that shares three words."""
+    from perflog.llm.decontaminate import decontaminate
+    rng = random.Random(3)
+    items = [[f"i{k}w{j}" for j in range(20 + k % 21)] for k in range(40)]
+    items[39] = [f"i39w{j % 12}" for j in range(40)]  # with repeated words
+    docs = [[w if j % 5 != 4 else "changed" for j, w in enumerate(items[20])]]
+    for copies in (False, True):
+        for k, item in enumerate(items):
+            text = list(item)
+            for at in rng.sample(range(len(item)), round(len(item) * rng.uniform(0.15, 0.25))):
+                text[at] = f"e{rng.randrange(9)}"
+            if k % 4 == 3:  # words put in as well
+                text = [x for w in text for x in ([w, "more"] if rng.random() < 0.2 else [w])]
+            docs.append([f"u{rng.randrange(500)}" for _ in range(60)] + text + [f"u{rng.randrange(500)}" for _ in range(60)])
+            if copies:
+                docs.append(["other"] * 10 + item)
+    three = lambda x: set(zip(x, x[1:], x[2:]))
+    want = {(d, k): smith_waterman(item, doc, 0.5) / len(item) for k, item in enumerate(items) for d, doc in enumerate(docs) if three(item) & three(doc)}
+    want = {p: s for p, s in want.items() if s >= 0.5}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    for part in (range(41), range(41, len(docs))):
+        df = spark.createDataFrame([(d, " ".join(docs[d])) for d in part], "doc_id long, text string")
+        got = {(r.doc_id, r.item_id): r.score for r in decontaminate(df, bench).collect()}
+        assert got.keys() == {p for p in want if p[0] in part}
+        assert all(abs(s - want[p]) < 1e-5 for p, s in got.items())
+
+
 def test_real_documents(spark):
     from perflog.llm.decontaminate import decontaminate
     sf = "/root/testdata/sf0.01"
