@@ -9,7 +9,7 @@ of similarity t have at least t * larger - (rest of the set whose prefix ends fi
 prefix shingles in common. Neighbours and the first of each remaining posting list are
 candidate group pairs, expanded to their members and verified on the full sets; links give
 components. Then classes of different components that shared shingles connect, directly or not,
-are a family. Families are cut into blocks by size; each two blocks near in size meet, pairs of different
+or that are one group, are a family. Families are cut into blocks by size; each two blocks near in size meet, pairs of different
 components are filtered by the number of shingles their prefixes share, and verified, so no link between
 components is lost, while copies within a component need not meet in pairs.
 
@@ -395,10 +395,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     edges = stage(verify(docs, rows, pairs, k, percent, level), "links")
     found = components(edges)
 
-    # what is left: members of different components in one family, that is, groups that shared shingles connect
+    # what is left: members of different components in one family, that is, groups that shared shingles connect, or one group by itself
     part = members.join(found, F.col("c") == F.col("node"), "left").select("c", "n", "g", F.coalesce("component", "c").alias("part"))
     family = components(lists.join(lists.groupBy("tok").agg(F.min("g").alias("b")), "tok").select(F.col("g").alias("a"), "b").distinct())
-    nodes = part.join(family.select(F.col("node").alias("g"), F.col("component").alias("family")), "g")
+    nodes = part.join(family.select(F.col("node").alias("g"), F.col("component").alias("family")), "g", "left").withColumn(
+        "family", F.coalesce("family", "g"))
     mixed = nodes.groupBy("family").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("family")
     nodes = stage(nodes.join(mixed, "family").select("family", "part", "c", "n"), "nodes")
     more = stage(verify_families(docs, rows, nodes, k, percent, level).distinct(), "across")

@@ -50,6 +50,20 @@ def test_families_of_edited_copies(spark, monkeypatch, block):
     assert len({c for _, _, c in got}) < len(got)
 
 
+def test_small_families_with_edited_tails(spark):
+    """Groups that share no shingle with others, whose members link with each other but not all with the class of least hash."""
+    import random
+    rng = random.Random(11)
+    rows = []
+    for family in range(120):
+        size = rng.choice([14, 14, 15, 18, 24, 30])
+        base = [f"f{family}w{j}" for j in range(size)]
+        for copy in range(rng.choice([3, 3, 4, 6])):
+            cut = rng.choice([1, 1, 2, 3])
+            rows.append((len(rows), " ".join(base[:-cut] + [f"e{copy}x{rng.randrange(9)}" for _ in range(cut)])))
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_many_near_copies_of_one_text(spark):
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(base[:i % 100] + [f"x{i}"] + base[i % 100 + 1:])) for i in range(400)]
