@@ -289,12 +289,12 @@ def block_links(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], seco
     return list(zip(ids[top][i].tolist(), ids[rest][j].tolist()))
 
 
-def verify_families(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, t: int, level) -> DataFrame:
-    """Links (a, b) between different components of one family, from nodes (family, part, c, n), still to be verified on full keys.
+def meetings(nodes: DataFrame, t: int) -> DataFrame:
+    """c, part, at (a meeting of two blocks, or of one with itself), second and bundle of every class in every meeting, from nodes
+    (family, part, c, n).
 
     A family of any size is cut into blocks of about BLOCK classes of like size, large components apart from
-    others; every two blocks near in size meet in a task, but not two of one component, and only links come out."""
-    found = full_sets(docs, rows, nodes.select("c").distinct(), k, level, short=True)
+    others; every two blocks near in size meet, but not two of one component. Bundles hold two blocks of rows on average."""
     # sizes of which one is ``t`` percent of the other at least are in the same or neighbouring classes
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / t + 1e-9))).cast("int")
     nodes = nodes.withColumn("step", step)
@@ -314,9 +314,17 @@ def verify_families(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int,
     roles = meet.select("family", "at", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(False).alias("second"))))
                                                   .otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(False).alias("second")),
                                                                      F.struct(F.col("y").alias("block"), F.lit(True).alias("second"))))).alias("r"))
-    sent = nodes.join(roles.select("family", "at", "r.block", "r.second"), ["family", "block"]).select("c", "part", "at", "second").join(found, "c")
-    # many small meetings share a task's group
-    bundles = max(1, -(-nodes.count() // BLOCK))
+    roles = roles.select("family", "at", "r.block", "r.second")
+    # many small meetings share a task's group; what is sent, not the number of classes, sets how many groups there are
+    sizes = nodes.groupBy("family", "block").agg(F.count(F.lit(1)).alias("m"))
+    sent = roles.join(sizes, ["family", "block"]).agg(F.sum("m")).first()[0] or 0
+    return nodes.join(roles, ["family", "block"]).select("c", "part", "at", "second", F.pmod("at", F.lit(max(1, -(-sent // (2 * BLOCK))))).alias("bundle"))
+
+
+def verify_families(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, t: int, level) -> DataFrame:
+    """Links (a, b) between different components of one family, from nodes (family, part, c, n), still to be verified on full keys;
+    the blocks of every meeting are compared in a task, and only links come out."""
+    sent = meetings(nodes, t).join(full_sets(docs, rows, nodes.select("c").distinct(), k, level, short=True), "c")
 
     def go(key, table):
         table = table.sort_by("at")
@@ -328,7 +336,7 @@ def verify_families(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int,
             out += block_links(c[lo:hi], part[lo:hi], [np.frombuffer(x.as_buffer(), "<u4") for x in keys[lo:hi]], second[lo:hi].astype(bool), t)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return sent.withColumn("bundle", F.pmod("at", F.lit(bundles))).groupBy("bundle").applyInArrow(go, "a long, b long")
+    return sent.groupBy("bundle").applyInArrow(go, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -71,6 +71,14 @@ def test_many_near_copies_of_one_text(spark):
     assert {c for _, _, c in got} == {0}
 
 
+def test_bundles_of_a_wide_family_are_bounded(spark, monkeypatch):
+    from perflog.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    nodes = spark.range(800).selectExpr("1L as family", "id as part", "id as c", "100 as n")
+    sent = ngram_join.meetings(nodes, 80).groupBy("bundle").count().collect()
+    assert sum(r["count"] for r in sent) > 60_000 and max(r["count"] for r in sent) <= 32 * 8
+
+
 def test_components_of_long_chains(spark):
     from perflog.llm.ngram_join import components
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + i * 2 + 1) for i in range(50)] + [(5, 5)]
