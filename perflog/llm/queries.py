@@ -90,3 +90,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.tool_calls import SCHEMAS, as_tool_messages, link_calls
     return link_calls(as_tool_messages(table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perflog.llm.merkle import manifest_check
+    return manifest_check(table(spark, sf_dir, "documents"))
