@@ -181,8 +181,8 @@ def with_paths(rounds: list[DataFrame], tops: DataFrame, height: int) -> DataFra
             known = known.unionByName(blocks.where("not __top").join(above, ["__k", "__block"]))
         if blocks is rounds[0]:
             return known
-        above = stage(known.withColumn("__width", F.lit(FAN ** height).cast("long")).mapInArrow(
-            _members, "__k string, __block long, __path binary, __subroot binary, __whole binary"), "merkle-paths")
+        above = known.withColumn("__width", F.lit(FAN ** height).cast("long")).mapInArrow(
+            _members, "__k string, __block long, __path binary, __subroot binary, __whole binary")
 
 
 def numbered(rows: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, int]:
@@ -209,9 +209,8 @@ def numbered(rows: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, int]:
         place, f"{kinds}, __part int, __local long"), "merkle-order")
     counts = placed.groupBy("__k", "__part").agg(F.count("*").alias("__c"))
     w = Window.partitionBy("__k").orderBy("__part")
-    bases = stage(counts.select(
-        "__k", "__part", (F.sum("__c").over(w) - F.col("__c")).alias("__base"),
-        F.sum("__c").over(Window.partitionBy("__k")).alias("__total")), "merkle-counts")
+    bases = counts.select("__k", "__part", (F.sum("__c").over(w) - F.col("__c")).alias("__base"),
+                          F.sum("__c").over(Window.partitionBy("__k")).alias("__total"))
     largest = bases.agg(F.max("__total")).first()[0] or 0
     ranked = placed.join(bases, ["__k", "__part"]).withColumn("__rank", F.col("__base") + F.col("__local"))
     return ranked.drop("__part", "__local", "__base"), largest
@@ -252,14 +251,13 @@ def build_manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source",
         digest([col[c] for c in fields]).alias("__digest"), *[c.alias(n) for n, c in (carry or {}).items()])
     leaves = stage(leaves.withColumn("__uid", F.monotonically_increasing_id()), "merkle-leaves")
     ranked, largest = numbered(leaves, [F.col("__id").asc_nulls_first(), F.col("__digest"), F.col("__uid")])
-    ranked = stage(ranked.drop("__uid"), "merkle-ranks")
+    ranked = ranked.drop("__uid")
     blocks = trees(ranked.select("__k", "__rank", "__digest", "__total"), largest, height)
     tops = blocks[0].where("__top")
     for b in blocks[1:]:
         tops = tops.unionByName(b.where("__top"))
     sources = tops.select(F.lit("").alias("__k"), F.col("__k").alias("__source"), F.col("__root").alias("__digest"))
     sources, n = numbered(sources, [F.col("__source")])
-    sources = stage(sources, "merkle-sources")
     return Manifest(ranked, blocks, trees(sources.select("__k", "__rank", "__digest", "__total"), n, height), sources, height)
 
 
