@@ -92,6 +92,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(as_tool_messages(table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
+@query("op12_length_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perflog.llm.length_packing import pack
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024)
+
+
 @query("op13_merkle_manifest")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.merkle import manifest_check
