@@ -92,6 +92,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(as_tool_messages(table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
+@query("op11_collocations")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from perflog.llm.collocations import mine_collocations
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_length_packing")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.length_packing import pack
