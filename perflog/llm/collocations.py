@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from perflog.llm.runtime import bitmap, chunks, has_bit, pow2, ready, stage, utf8
+from perflog.llm.runtime import bitmap, chunks, few, has_bit, pow2, ready, stage, utf8
 from perflog.llm.window_dedup import gaps, ungaps
 from perflog.llm.words import LOWER, U, Words, mix
 
@@ -73,7 +73,7 @@ def each_chunk(batches) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.n
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """lang, word, h, n of every word of a language."""
+    """lang, word, h, n of every word of a language, and with a null word the number of all."""
 
     def run(batches):
         held, size = [], 0
@@ -83,7 +83,12 @@ def count_words(docs: DataFrame) -> DataFrame:
             _, first, which = np.unique(h, return_index=True, return_inverse=True)
             total = np.bincount(which, n).astype(np.int64)
             lang, word = (pa.concat_arrays([x[k] for x in held]).take(pa.array(first)) for k in (2, 3))
-            return pa.RecordBatch.from_arrays([lang, word, pa.array(h[first].view(np.int64)), pa.array(total)], ["lang", "word", "h", "n"])
+            sums = pa.table([lang, pa.array(total)], ["lang", "n"]).group_by("lang").aggregate([("n", "sum")]).combine_chunks()
+            lang = pa.concat_arrays([lang, sums.column("lang").chunk(0)])
+            word = pa.concat_arrays([word, pa.nulls(len(sums), pa.string())])
+            h = np.concatenate([h[first].view(np.int64), np.zeros(len(sums), np.int64)])
+            return pa.RecordBatch.from_arrays([lang, word, pa.array(h), pa.array(np.concatenate([total, sums.column("n_sum").to_numpy()]))],
+                                              ["lang", "word", "h", "n"])
 
         for lang, mark, data, offs in each_chunk(batches):
             w, h, _ = phrase_words(data, offs, mark)
@@ -358,14 +363,14 @@ def mine_collocations(docs: DataFrame, least: int = 100, top: int = 2000, share:
     ``bucket``: suffixes that a task sorts, about; ``hot``: occurrences from which a leading word or pair does not route alone."""
     spark = ready(docs.sparkSession)
     docs = texts(docs, lang_col, text_col)
-    words = stage(count_words(docs), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    words = stage(few(count_words(docs).where((F.col("n") >= least) | F.col("word").isNull())), "frequent-words")
+    totals = words.where("word is null").select("lang", F.col("n").alias("total"))
     n_words = totals.agg(F.sum("total")).first()[0] or 0
-    singles = stage(words.where(F.col("n") >= least).join(totals, "lang"), "frequent-words")
+    singles = words.where("word is not null").join(totals, "lang")
     size = pow2(16 * singles.count(), 1 << 16, 1 << 28)
     pairs = Pairs(bitmap(singles, "h", size), bitmap(singles.where(F.col("n") > hot), "h", 1 << 16), pow2(n_words / 8, 1 << 20, most_counters))
     sketch_pairs(docs, pairs, least, hot)
-    phrases = stage(count_phrases(route_suffixes(docs, pairs, max(1, -(-pairs.left // bucket)), depth), least, depth), "phrases")
+    phrases = stage(few(count_phrases(route_suffixes(docs, pairs, max(1, -(-pairs.left // bucket)), depth), least, depth)), "phrases")
     kept = best_cut(phrases, singles).join(inner(phrases), "words", "left").where(
         F.col("most").isNull() | (100 * F.col("most") < share * F.col("a")))
     spelled = (kept.select("words", F.posexplode("words").alias("pos", "h")).join(singles.select("h", "word"), "h")

@@ -44,6 +44,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A small result of a wide shuffle in an eighth of its partitions, so that it becomes an eighth as many files."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def text_hash(col: Column, seed: int = 0) -> Column:
     """64-bit hash of a text; other seeds give independent hashes. Null counts as empty."""
     return F.xxhash64(F.lit(seed), F.coalesce(col, F.lit("")))
