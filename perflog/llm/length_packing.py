@@ -21,6 +21,7 @@ length goes where depends on how the table is split; sequences' lengths don't.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -33,19 +34,23 @@ from pyspark.sql import functions as F
 
 from perflog.llm.packing import ChunkIds
 from perflog.llm.runtime import chunks, ready, stage, utf8
+from perflog.llm.token_counts import byte_symbols
 from perflog.llm.words import SPACE, U, mix, powers
 
 #: Ids that a worker keeps at most (numbers of 32 bits).
 POOL = 1 << 24
-#: A chunk of one pre-token, with the blank before it.
-SPACED = regex.compile(r" \p{L}+")
+#: A chunk that is one pre-token whatever is around it.
+ONE = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}']+)")
+#: Kinds of ASCII bytes between which a pre-token always ends: letters, digits, other; 0 for an apostrophe and bytes beyond ASCII.
+KIND = np.array([0 if i >= 128 or i == 39 else 1 if chr(i).isalpha() else 2 if chr(i).isdigit() else 3 for i in range(256)], np.uint8)
 #: Texts that are left to the library as a whole: white space beyond ASCII, special strings.
 WHOLE = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def byte_chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of the chunks of texts that byte-level pre-tokens never cross, in order: a word with the blank before it,
-    another white space right before a word, the white space before that, and white space at the end of a text."""
+    another white space right before a word, the white space before that, and white space at the end of a text.
+    Words are cut where the kind of ASCII characters changes."""
     n = len(data)
     inside = ~SPACE[data]
     edge = offs[(offs > 0) & (offs < n)]
@@ -62,12 +67,33 @@ def byte_chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     single, body = (gap > 0) & ~blank, gap > 1
     reach = np.maximum(np.concatenate([[0], end])[np.searchsorted(start, offs[1:])], offs[:-1])
     tail = reach < offs[1:]
-    x = np.concatenate([start - blank, start[single] - 1, before[body], reach[tail]])
-    y = np.concatenate([end, start[single], start[body] - 1, offs[1:][tail]])
+    kind = KIND[data]
+    cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & inside[1:] & inside[:-1] & ~first[1:]) + 1
+    # a cut ends one chunk of its word and begins the next
+    left = np.concatenate([start - blank, cut])
+    right = np.concatenate([cut, end])
+    left.sort()
+    right.sort()
+    x = np.concatenate([left, start[single] - 1, before[body], reach[tail]])
+    y = np.concatenate([right, start[single], start[body] - 1, offs[1:][tail]])
     order = np.argsort(x, kind="stable")
     return x[order], y[order]
 
 
+def by_rank(path: str):
+    """The vocabulary for tiktoken, which encodes new chunks faster; None where ids don't follow the order of the merges, as it needs."""
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, symbols = model["vocab"], byte_symbols()
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    back = {c: b for b, c in symbols.items()}
+    ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("chunks", pat_str=r"\n|[^\n]+", mergeable_ranks=ranks, special_tokens={})
+
+
 class ByteIds(ChunkIds):
     """Ids of texts for byte-level vocabularies without a normaliser; chunks met before are looked up by hash."""
 
@@ -75,24 +101,59 @@ class ByteIds(ChunkIds):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
+        self.fast = by_rank(path)
+        self.feed = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.empty()
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list = [()] * len(words)
-        plain = [i for i, w in enumerate(words) if SPACED.fullmatch(w)]
-        if plain:
-            e = self.tok.encode("".join([words[i] for i in plain]), add_special_tokens=False)
-            edge = np.concatenate([[0], np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(plain)))]).tolist()
-            flat = e.ids
-            for k, i in enumerate(plain):
-                ids[i] = flat[edge[k]:edge[k + 1]]
-        rest = sorted(set(range(len(words))) - set(plain))
-        for i, e in zip(rest, self.tok.encode_batch([words[i] for i in rest], add_special_tokens=False)):
-            ids[i] = e.ids
-        size = np.array([len(x) for x in ids], np.int64)
-        return np.fromiter((x for p in ids for x in p), "<u4", int(size.sum())), size
-
-    letters = marked = encode
+        """Ids of chunks in one row, and how many each has."""
+        one = np.array([ONE.fullmatch(w) is not None for w in words], bool)
+        size, flat = np.zeros(len(words), np.int64), []
+        some = np.flatnonzero(one)
+        if len(some):
+            # a line feed between two chunks is a pre-token of its own
+            text = "\n".join([words[i] for i in some.tolist()])
+            if self.fast:
+                ids = np.array(self.fast.encode_ordinary(text), "<u4")
+                at = 2 * np.cumsum(ids == self.feed) - (ids == self.feed)
+            else:
+                e = self.tok.encode(text, add_special_tokens=False)
+                ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            size[some] = np.bincount(at, minlength=2 * len(some) - 1)[::2]
+            flat.append(ids[at % 2 == 0])
+        rest = np.flatnonzero(~one)
+        if len(rest):
+            parts = [e.ids for e in self.tok.encode_batch([words[i] for i in rest.tolist()], add_special_tokens=False)]
+            size[rest] = [len(x) for x in parts]
+            flat.append(np.array([i for x in parts for i in x], "<u4"))
+        order = np.concatenate([some, rest])
+        place = np.empty(len(words), np.int64)
+        place[order] = np.cumsum(size[order]) - size[order]
+        total = np.cumsum(size) - size
+        return np.concatenate(flat)[np.repeat(place - total, size) + np.arange(size.sum())], size
+
+    def learn(self, h: np.ndarray, words: list[str]) -> None:
+        """Encode chunks not met before (different hashes, none of them 0)."""
+        for lo in range(0, len(words), 4000):
+            ids, size = self.encode(words[lo:lo + 4000])
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), "<u4")])
+            self.pool[self.used:self.used + len(ids)] = ids
+            n = len(size)
+            while self.words + n > len(self.place):
+                self.place, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.place, self.size))
+            self.place[self.words:self.words + n] = self.used + np.cumsum(size) - size
+            self.size[self.words:self.words + n] = size
+            todo, number = h[lo:lo + n], np.arange(self.words, self.words + n)
+            slot = (todo >> U(20)).astype(np.int64) & (len(self.key) - 1)
+            while len(todo):
+                free = self.key[slot] == 0
+                self.key[slot[free]] = todo[free]  # of several that want a slot, the last one gets it
+                won = self.key[slot] == todo
+                self.at[slot[won]] = number[won]
+                todo, number, slot = todo[~won], number[~won], (slot[~won] + 1) & (len(self.key) - 1)
+            self.words += n
+            self.used += len(ids)
 
     def plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = byte_chunks(data, offs)
