@@ -9,7 +9,8 @@ The target is cut into classes of equal frequency.  Two estimators follow:
 
 Both work on counts of distinct (feature, value, class), so repeated values weigh but do not
 take room.  Sorted neighbours and counts of rows within a distance come from windows in
-pieces (operators.ranges); no window holds a whole feature.
+pieces (operators.ranges); no window holds a whole feature.  Counts and distances are read several times
+and are checkpointed, so fitting runs jobs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perflog.operators.ranges import PIECES, running_total
+from perflog.session import cut_lineage
 
 #: Rows of a class that one window task holds when neighbours are looked up.
 ROWS_PER_BUCKET = 100_000
@@ -57,11 +59,11 @@ def target_classes(df: DataFrame, target: str, bins: int = 10, pieces: int = PIE
 
 
 def labelled_counts(df: DataFrame, features: list[str], target: str, bins: int = 10, pieces: int = PIECES) -> DataFrame:
-    """(feature, value, label, n): rows by distinct value and target class; rows without value or target don't count."""
+    """(feature, value, label, n): rows by distinct value and target class, checkpointed; rows without value or target don't count."""
     long = df.select(F.col(target).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f) for f in features]) \
              .unpivot(["__y"], features, "feature", "value").where("value is not null and __y is not null")
     counts = long.groupBy("feature", "value", "__y").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(target_classes(df, target, bins, pieces), "__y").groupBy("feature", "value", "label").agg(F.sum("n").alias("n"))
+    return cut_lineage(counts.join(target_classes(df, target, bins, pieces), "__y").groupBy("feature", "value", "label").agg(F.sum("n").alias("n")))
 
 
 def binned_information(counts: DataFrame, bins: int = 10, pieces: int = PIECES) -> DataFrame:
@@ -116,7 +118,7 @@ def neighbour_information(counts: DataFrame, k: int = 3, pieces: int = PIECES, r
 
     Where the k-th neighbour has the same value (repeated values), the numbers of equal rows in the class and
     in all take the place of ``k`` and of the rows within the distance."""
-    rows = neighbour_distances(counts, k, pieces, rows_per_bucket)
+    rows = cut_lineage(neighbour_distances(counts, k, pieces, rows_per_bucket))
     used = rows.select("feature", "value", "label", "n")
     m = within_distance(rows, used, pieces)
     rows = rows.join(m, ["feature", "value", "label"])

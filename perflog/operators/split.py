@@ -51,9 +51,10 @@ def _entity(spec: LogSpec) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(spec.entity).cast("string")), F.lit(""))
 
 
-def numbered(df: DataFrame, spec: LogSpec, result: str | None = None, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def numbered(df: DataFrame, spec: LogSpec, result: str | None = None, chunk_seconds: int = CHUNK_SECONDS, total: bool = False) -> DataFrame:
     """``df`` with ``__e`` (entity key), ``__rn`` (row number of the entity, from 1) and, for ``result``,
-    ``__run`` (length so far of the run of equal results that the row is in; null equals null)."""
+    ``__run`` (length so far of the run of equal results that the row is in; null equals null), else, for ``total``,
+    ``__total`` (rows of the entity)."""
     keys = ["__e", "__chunk"]
     rows = df.withColumns({"__e": _entity(spec), "__chunk": chunk_of(spec, chunk_seconds, df.schema[spec.time].dataType.simpleString())})
     inside = Window.partitionBy(*keys).orderBy(*spec.order())
@@ -63,7 +64,8 @@ def numbered(df: DataFrame, spec: LogSpec, result: str | None = None, chunk_seco
     place = F.row_number().over(inside)
     if result is None:
         size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        offset = size.select(*keys, F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__off"))
+        more = [F.sum("__n").over(Window.partitionBy("__e")).alias("__total")] if total else []
+        offset = size.select(*keys, F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__off"), *more)
         return rows.withColumn("__rn", place).join(offset, keys).withColumn("__rn", F.col("__rn") + F.col("__off")).drop("__off", "__chunk")
     r = F.col(result)
     # inside a chunk: a run begins where the result differs from the row before; the first row is not known yet
@@ -86,27 +88,32 @@ def numbered(df: DataFrame, spec: LogSpec, result: str | None = None, chunk_seco
 
 def running_means(df: DataFrame, spec: LogSpec, cols: dict[str, str], chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """``df`` with ``__e``, ``__rn`` and expanding means (nulls skipped, current row included): ``{column: source}``.
-    A chunk's sums go on from the prefix sums of the chunks before it."""
+    A chunk's sums go on from the prefix sums of the chunks before it.  All sums are fields of one struct, so the
+    join of rows and chunks stays as short to plan for dozens of columns as for one."""
     keys, sources = ["__e", "__chunk"], list(dict.fromkeys(cols.values()))
     rows = df.withColumns({"__e": _entity(spec), "__chunk": chunk_of(spec, chunk_seconds, df.schema[spec.time].dataType.simpleString())})
+
+    def sums(over, of) -> list[Column]:
+        return [over(F.sum(of(i, k))).alias(f"{k}{i}") for i in range(len(sources)) for k in "sc"]
+
+    def source(i, k):
+        return F.coalesce(F.col(sources[i]), F.lit(0)) if k == "s" else F.col(sources[i]).isNotNull().cast("long")
+
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.struct(*sums(lambda c: c, source)).alias("__sums"))
     lower = Window.partitionBy("__e").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[f(x).alias(f"__{k}{i}") for i, x in enumerate(sources)
-                                                                     for k, f in (("s", F.sum), ("c", F.count))])
-    names = ["__n"] + [f"__{k}{i}" for i in range(len(sources)) for k in "sc"]
-    carry = size.select(*keys, *[F.coalesce(F.sum(n).over(lower), F.lit(0)).alias(f"{n}_before") for n in names])
+    carry = size.select(*keys, F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__off"),
+                        F.struct(*sums(lambda c: F.coalesce(c.over(lower), F.lit(0)), lambda i, k: F.col(f"__sums.{k}{i}"))).alias("__low"))
     inside = Window.partitionBy(*keys).orderBy(*spec.order())
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"__rn": F.row_number().over(inside)} | {
-        f"__{k}{i}": f(x).over(upto) for i, x in enumerate(sources) for k, f in (("s", F.sum), ("c", F.count))})
+    rows = rows.withColumns({"__rn": F.row_number().over(inside), "__in": F.struct(*sums(lambda c: c.over(upto), source))})
     rows = rows.join(carry, keys)
-    at = {x: i for i, x in enumerate(sources)}
 
-    def mean(x):
-        n = F.col(f"__c{at[x]}") + F.col(f"__c{at[x]}_before")
-        return F.when(n > 0, (F.coalesce(F.col(f"__s{at[x]}"), F.lit(0)) + F.col(f"__s{at[x]}_before")) / n)
+    def both(x):
+        return F.col(f"__in.{x}") + F.col(f"__low.{x}")
 
-    out = rows.withColumns({c: mean(x) for c, x in cols.items()} | {"__rn": F.col("__rn") + F.col("__n_before")})
-    return out.drop("__chunk", *[f"{n}_before" for n in names], *names[1:])
+    at = {x: i for i, x in enumerate(sources)}
+    means = {c: F.try_divide(both(f"s{at[x]}"), both(f"c{at[x]}")) for c, x in cols.items()}
+    return rows.withColumns(means | {"__rn": F.col("__rn") + F.col("__off")}).drop("__chunk", "__off", "__in", "__low")
 
 
 def bucketed(rows: DataFrame, spec: LogSpec, lookback: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, LogSpec]:

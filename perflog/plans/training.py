@@ -1,11 +1,10 @@
 """Leakage-aware training sets (SURVEY Appendix A), as compositions of the
-window, aggregate and lookup operators.  They run plain entity windows: over logs
-with dozens of derived columns, Catalyst's constraint inference takes minutes
-on the joins that windows in pieces (operators.split) need.
+window, aggregate and lookup operators, with all windows in pieces (operators.split).
 
 Each builder takes a box-score shaped log plus its ``LogSpec`` and returns one
-lazy DataFrame: entity key, time keys, features (fixed schema) and target.
-All window features of one set share a single exchange on the entity.
+lazy DataFrame: entity key, time keys, features (fixed schema) and target.  Measures
+travel as one struct column, and so do the features until the last step: Catalyst's constraint
+inference takes minutes on joins over dozens of derived columns, and seconds over a few.
 """
 
 from __future__ import annotations
@@ -16,10 +15,11 @@ from pyspark.sql import functions as F
 from perflog.functions import calendar as cal
 from perflog.functions import parsing as P
 from perflog.functions import ratios as R
-from perflog.operators import clean as C
 from perflog.operators import windows as Wn
 from perflog.operators.aggregates import KEY_STATS, SHOOTING, season_means
 from perflog.operators.seasons import season_lag_features
+from perflog.operators.split import CHUNK_SECONDS, ROWS_PER_BUCKET, bucketed, numbered, running_means
+from perflog.operators.stats import with_entity_stats
 from perflog.spec import LogSpec
 
 # The stats averaged for the team-win set, in the reference's order.
@@ -36,34 +36,49 @@ def team_win_features() -> list[str]:
     return [f"{s}_{n}" for n in WINDOWS for s in TEAM_FEATURE_STATS] + TEAM_TAIL
 
 
-def team_win_set(log: DataFrame, spec: LogSpec, min_rows: int = 10) -> DataFrame:
+def _packed(df: DataFrame, spec: LogSpec, measures: list[str]) -> DataFrame:
+    """Keys and one struct ``__m`` of the measures."""
+    return df.select(spec.entity, spec.time, *spec.tie, F.struct(*measures).alias("__m"))
+
+
+def _unpacked(df: DataFrame, spec: LogSpec, names: list[str]) -> DataFrame:
+    return df.select(spec.entity, spec.time, *spec.tie, *[F.col(f"__f.{c}").alias(c) for c in names])
+
+
+def _complete(rows: DataFrame, spec: LogSpec, names: list[str], min_rows: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows without a null among the fields ``names`` of ``__f``, of entities that keep ``min_rows`` of them."""
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(f"__f.{c}").isNotNull()
+    rows = rows.where(whole).select(spec.entity, spec.time, *spec.tie, "__f")
+    return _unpacked(with_entity_stats(rows, [spec.entity], __n=F.count(F.lit(1))).where(F.col("__n") >= min_rows), spec, [*names, *also])
+
+
+def team_win_set(log: DataFrame, spec: LogSpec, min_rows: int = 10, **pieces) -> DataFrame:
     """Team-win training set: rolling form (current game included, as in the
     reference), lagged outcomes, context flags; the first
     ``max(10, floor(0.1 n))`` games of each team are trimmed and teams with
     fewer than ``min_rows`` remaining rows are dropped.  Target ``WIN``."""
-    s = spec
-    df = log.withColumn("WIN", R.win_flag(spec.outcome))
-    cols = {"GAME_NUMBER": Wn.game_number(s).cast("int")}
+    stats = [x.removesuffix("_AVG") for x in TEAM_FEATURE_STATS if x.endswith("_AVG")]
+    df = log.withColumn("WIN", R.win_flag(spec.outcome)).withColumns({
+        "HOME": P.is_home("MATCHUP"), "TS_PCT": R.true_shooting("PTS", "FGA", "FTA", "zero"),
+        "BLOWOUT_WIN": R.blowout_win("PLUS_MINUS", "WIN"), "CLOSE_GAME": R.close_game("PLUS_MINUS")})
+    same_game = ["HOME", "TS_PCT", "BLOWOUT_WIN", "CLOSE_GAME", "WIN"]
+    rows = numbered(_packed(df, spec, stats + same_game), spec, total=True, **{k: v for k, v in pieces.items() if k == "chunk_seconds"})
+    rows, p = bucketed(rows, spec, max(WINDOWS), **{k: v for k, v in pieces.items() if k == "rows_per_bucket"})
+    win, rest = F.col("__m.WIN"), Wn.days_rest(p, 3, True, spec.time)
+    cols = {"GAME_NUMBER": F.col("__rn").cast("int"), "DAYS_REST": rest, "BACK_TO_BACK": (rest < 2).cast("int"),
+            "PREV_GAME_WIN": Wn.lagged(win, 1, p, 0, True).cast("int")}
     for n in WINDOWS:
-        cols[f"WIN_STREAK_{n}"] = Wn.rolling_sum("WIN", n, s).cast("double")
-        cols[f"WIN_PCT_{n}"] = Wn.rolling_mean("WIN", n, s)
-        for st in TEAM_STATS:
-            cols[f"{st}_AVG_{n}"] = Wn.rolling_mean(st, n, s)
-            cols[f"{st}_STD_{n}"] = Wn.rolling_std(st, n, s)
-    cols["PREV_GAME_WIN"] = Wn.lagged("WIN", 1, s).cast("int")
-    for k in (1, 2, 3):
-        cols[f"WON_{k}_AGO"] = Wn.lagged("WIN", k, s).cast("int")
-    cols["HOME"] = P.is_home("MATCHUP")
-    cols["DAYS_REST"] = Wn.days_rest(s)
-    cols["BLOWOUT_WIN"] = R.blowout_win("PLUS_MINUS", "WIN")
-    cols["CLOSE_GAME"] = R.close_game("PLUS_MINUS")
-    cols["TS_PCT"] = R.true_shooting("PTS", "FGA", "FTA", "zero")
-    df = df.withColumns(cols).withColumn("BACK_TO_BACK", (F.col("DAYS_REST") < 2).cast("int"))
-    df = C.warmup_trim(df, s, 10, 0.1)
-    feats = team_win_features()
-    df = C.drop_incomplete(df, feats + ["WIN"])
-    df = C.min_rows_gate(df, s, min_rows)
-    return df.select(s.entity, s.time, *s.tie, *feats, "WIN")
+        cols[f"WIN_STREAK_{n}"] = Wn.rolling_sum(win, n, p, True).cast("double")
+        cols[f"WIN_PCT_{n}"] = Wn.rolling_mean(win, n, p, True)
+        cols |= {f"{st}_AVG_{n}": Wn.rolling_mean(F.col(f"__m.{st}"), n, p, True) for st in stats}
+    cols |= {f"WON_{k}_AGO": Wn.lagged(win, k, p, 0, True).cast("int") for k in (1, 2, 3)}
+    cols |= {c: F.col(f"__m.{c}") for c in same_game}
+    names = team_win_features() + ["WIN"]
+    rows = rows.withColumn("__f", F.struct(*[cols[c].alias(c) for c in names]))
+    rows = rows.where(~F.col("__halo") & (F.col("__rn") > F.greatest(F.lit(10), F.floor(F.col("__total") * 0.1))))
+    return _complete(rows, spec, names, min_rows)
 
 
 def season_set(log: DataFrame, spec: LogSpec, target: str = "PTS") -> DataFrame:
@@ -75,72 +90,73 @@ def season_set(log: DataFrame, spec: LogSpec, target: str = "PTS") -> DataFrame:
     return season_lag_features(seasons, spec.entity, "SEASON_YEAR", stats, target)
 
 
-def career_set(log: DataFrame, spec: LogSpec, target: str = "PTS", min_rows: int = 10) -> DataFrame:
+def career_set(log: DataFrame, spec: LogSpec, target: str = "PTS", min_rows: int = 10, **pieces) -> DataFrame:
     """Career training set: expanding means of every key stat except the
     target, games so far; entities with fewer than ``min_rows`` rows dropped."""
-    s = spec
-    cols = {"GAME_NUMBER": Wn.game_number(s).cast("int")}
-    cols["CAREER_GAMES"] = cols["GAME_NUMBER"]
-    feats = ["CAREER_GAMES"]
-    for st in KEY_STATS:
-        if st in log.columns and st != target:
-            cols[f"CAREER_{st}_AVG"] = Wn.expanding_mean(st, s)
-            feats.append(f"CAREER_{st}_AVG")
-    feats.append("GAME_NUMBER")
-    df = C.drop_incomplete(log.withColumns(cols), feats + [target])
-    df = C.min_rows_gate(df, s, min_rows)
-    return df.select(s.entity, s.time, *s.tie, *feats, F.col(target).alias("TARGET"))
+    stats = [st for st in KEY_STATS if st in log.columns and st != target]
+    rows = running_means(_packed(log, spec, [*stats, target]), spec, {f"CAREER_{st}_AVG": f"__m.{st}" for st in stats}, **pieces)
+    number = F.col("__rn").cast("int")
+    cols = {"CAREER_GAMES": number} | {f"CAREER_{st}_AVG": F.col(f"CAREER_{st}_AVG") for st in stats} | {
+        "GAME_NUMBER": number, "TARGET": F.col(f"__m.{target}")}
+    rows = rows.withColumn("__f", F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return _complete(rows, spec, list(cols), min_rows)
 
 
 def player_game_stats(log: DataFrame, target: str) -> list[str]:
     return [st for st in KEY_STATS if st != target and st != "MIN" and st in log.columns]
 
 
-def player_game_names(stats: list[str], target: str, opponents: list[str]) -> list[str]:
-    """Feature names of the player-game set, in order."""
+def player_game_names(stats: list[str], target: str, opponents: list[str] = ()) -> list[str]:
+    """Feature names of the player-game set, in order; ``opponents``: one-hots of a fixed list."""
     names = [f"{target}_{k}_{n}" for n in WINDOWS for k in ("AVG", "STD", "EMA")]
-    names += [f"{x}_AVG_{n}" for x in ("TS_PCT", "USAGE_RATE") for n in (5, 10)]
+    names += [y for x in ("TS_PCT", "USAGE_RATE") for y in (x, f"{x}_AVG_5", f"{x}_AVG_10")]
     names += ["HOME", "DAYS_REST", "NO_REST", "SHORT_REST", "NORMAL_REST", "EXTENDED_REST", "BACK_TO_BACK",
               "EARLY_SEASON", "MID_SEASON", "LATE_SEASON", "OPP_STRENGTH"]
     return names + [f"OPP_{o}" for o in opponents] + ["MIN"] + [f"{st}_AVG_{n}" for st in stats for n in (5, 10)]
 
 
-def player_game_set(log: DataFrame, spec: LogSpec, opponents: list[str], strength: DataFrame | None = None,
-                    target: str = "PTS", min_rows: int = 3) -> DataFrame:
-    """Player-game set before selection and scaling: target rolling mean / std / EWM
-    (entity-mean filled), TS% and usage averages, rest, home, phase, opponent strength
-    (default 3) and one-hots (I1: a fixed list, others all zero), the game's minutes,
-    other key stats' averages.  Entities of fewer than ``min_rows`` rows go (B12)."""
+def player_game_set(log: DataFrame, spec: LogSpec, strength: DataFrame | None = None, target: str = "PTS", min_rows: int = 3,
+                    chunk_seconds: int = CHUNK_SECONDS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Player-game set before selection and scaling (:mod:`perflog.models.chain` fits those): target rolling mean / std / EWM,
+    TS% and usage with their averages, rest, home, phase, opponent strength (default 3), the game's minutes and other
+    key stats' averages; ``OPPONENT`` for the one-hots; ``TARGET``.  Windows that are not full take the entity's mean (a
+    deviation: its deviation).  Rows with a null go, and then entities of fewer than ``min_rows`` rows (B11, B12)."""
     from perflog.operators.lookups import lookup_default
     s = spec
     stats = player_game_stats(log, target)
+    rates = ["TS_PCT", "USAGE_RATE"]
     df = log.withColumns({
         "TS_PCT": R.true_shooting("PTS", "FGA", "FTA", "zero"),
         "USAGE_RATE": R.usage("FGA", "FTA", "TOV", negative_to_zero=True),
-        "HOME": P.is_home("MATCHUP"),
-        "OPPONENT": P.opponent_last_token("MATCHUP"),
-    })
+        "HOME": P.is_home("MATCHUP"), "OPPONENT": P.opponent_last_token("MATCHUP"), "TARGET": F.col(target).cast("double")})
+    means, own = {x: F.avg(x).alias(x) for x in ["TARGET", *rates, *stats]}, ["TARGET", "MIN", "HOME", *rates, *stats]
+    entity = df.groupBy(F.col(s.entity).alias("__k")).agg(F.struct(*means.values(), F.stddev_samp("TARGET").alias("STD")).alias("__e_m"))
+    rows = df.select(s.entity, s.time, *s.tie, "OPPONENT", F.struct(*own).alias("__m"))
     if strength is not None:
-        df = lookup_default(df, strength, "OPPONENT", "abbreviation", "strength", 3, out="OPP_STRENGTH")
+        rows = lookup_default(rows, strength, "OPPONENT", "abbreviation", "strength", 3, out="__strength")
     else:
-        df = df.withColumn("OPP_STRENGTH", F.lit(3))
-    df = df.select(s.entity, s.time, *s.tie, target, "MIN", "TS_PCT", "USAGE_RATE", "HOME", "OPPONENT", "OPP_STRENGTH", *stats)
-    cols = {f"{target}_EMA_{n}": Wn.ewm_fold(target, n, s) for n in WINDOWS}
-    cols |= {f"{target}_AVG_{n}": Wn.rolling_mean(target, n, s) for n in WINDOWS}
-    cols |= {f"{target}_STD_{n}": Wn.rolling_std(target, n, s) for n in WINDOWS}
-    cols |= {f"{x}_AVG_{n}": Wn.rolling_mean(x, n, s) for x in ("TS_PCT", "USAGE_RATE", *stats) for n in (5, 10)}
-    df = df.withColumns(cols | {"DAYS_REST": Wn.days_rest(s)})
-    # a run of nulls longer than the fold's horizon keeps the last value; before any value, the entity's mean
-    df = Wn.carry_forward(df, [f"{target}_EMA_{n}" for n in WINDOWS], s)
-    mean, std = F.avg(target).over(s.whole()), F.stddev_samp(target).over(s.whole())
-    fill = {f"{target}_{k}_{n}": (std if k == "STD" else mean) for k in ("AVG", "STD", "EMA") for n in WINDOWS}
-    fill |= {f"{x}_AVG_{n}": F.avg(x).over(s.whole()) for x in ("TS_PCT", "USAGE_RATE", *stats) for n in (5, 10)}
-    df = df.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()} | {"__n": F.count(F.lit(1)).over(s.whole())})
-    df = df.where(F.col("__n") >= min_rows).drop("__n")
-    df = df.withColumns({k.upper(): v for k, v in cal.rest_flags(F.col("DAYS_REST")).items() if k != "rest_bucket"})
-    df = df.withColumns({k.upper(): v for k, v in cal.season_phase(s.time).items() if k != "month"})
-    df = df.withColumns({f"OPP_{o}": F.coalesce((F.col("OPPONENT") == o).cast("int"), F.lit(0)) for o in opponents})
-    return df.select(s.entity, s.time, *s.tie, *player_game_names(stats, target, opponents), F.col(target).alias("TARGET"))
+        rows = rows.withColumn("__strength", F.lit(3))
+    spans = {f"__ema_{n}": n for n in WINDOWS}
+    rows = Wn.ewm(rows.withColumn("__y", F.col("__m.TARGET")), "__y", spans, s, chunk_seconds)
+    rows = rows.select(s.entity, s.time, *s.tie, "OPPONENT", "__strength", "__m", F.struct(*[F.col(c) for c in spans]).alias("__ema"))
+    rows = rows.join(entity, F.col(s.entity).eqNullSafe(F.col("__k"))).drop("__k")
+    rows, p = bucketed(numbered(rows, s, chunk_seconds=chunk_seconds), s, max(WINDOWS), rows_per_bucket)
+    rest = Wn.days_rest(p, 3, True, s.time)
+    cols = {}
+    for n in WINDOWS:
+        y = F.col("__m.TARGET")
+        cols |= {f"{target}_AVG_{n}": F.coalesce(Wn.rolling_mean(y, n, p, True), F.col("__e_m.TARGET")),
+                 f"{target}_STD_{n}": F.coalesce(Wn.rolling_std(y, n, p, True), F.col("__e_m.STD")),
+                 f"{target}_EMA_{n}": F.coalesce(F.col(f"__ema.__ema_{n}"), F.col("__e_m.TARGET"))}
+    for n in (5, 10):
+        cols |= {f"{x}_AVG_{n}": F.coalesce(Wn.rolling_mean(F.col(f"__m.{x}"), n, p, True), F.col(f"__e_m.{x}")) for x in (*rates, *stats)}
+    cols |= {x: F.col(f"__m.{x}") for x in (*rates, "HOME", "MIN", "TARGET")} | {"DAYS_REST": rest, "OPP_STRENGTH": F.col("__strength")}
+    cols |= {k.upper(): v for k, v in cal.rest_flags(rest).items() if k != "rest_bucket"}
+    cols |= {k.upper(): v for k, v in cal.season_phase(s.time).items() if k != "month"}
+    names = [*player_game_names(stats, target), "TARGET"]
+    rows = rows.withColumn("__f", F.struct(*[cols[c].alias(c) for c in names], "OPPONENT")).where(~F.col("__halo"))
+    # an unknown opponent is no missing feature: its one-hots are all zero
+    return _complete(rows, s, names, min_rows, ("OPPONENT",))
 
 
 def next_game_row(log: DataFrame, spec: LogSpec, requests: DataFrame, opponents: list[str], strength: DataFrame | None = None,
