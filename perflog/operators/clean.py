@@ -10,10 +10,11 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perflog.operators.ranges import PIECES, fill_along
 from perflog.operators.split import numbered
 from perflog.operators.stats import with_entity_stats
 from perflog.spec import LogSpec
@@ -81,19 +82,12 @@ def fill_mode(df: DataFrame, cols: list[str], by: list[str] | None = None,
 
 # ------------------------------------------------------------------ B6
 def ffill_bfill(df: DataFrame, cols: list[str], by: list[str], order: list[str],
-                as_of: _dt.date | None = None) -> DataFrame:
+                as_of: _dt.date | None = None, pieces: int = PIECES) -> DataFrame:
     """Forward then backward fill in ingest order; a group with no value at all
-    takes ``as_of`` (explicit, not the wall clock).  Both directions are running
-    frames: linear in the rows, the second behind one more sort."""
-    fwd = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    bwd = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    out = {}
-    for c in cols:
-        filled = F.coalesce(F.col(c), F.last(c, True).over(fwd), F.last(c, True).over(bwd))
-        if as_of is not None:
-            filled = F.coalesce(filled, F.lit(as_of).cast(df.schema[c].dataType))
-        out[c] = filled
-    return df.withColumns(out)
+    takes ``as_of`` (explicit, not the wall clock).  Groups are cut into ranges of ``order``, whose
+    first column is a number, date or time, and values are carried over the cuts both ways."""
+    out = fill_along(df, cols, by, order, pieces)
+    return out if as_of is None else out.withColumns({c: F.coalesce(F.col(c), F.lit(as_of).cast(df.schema[c].dataType)) for c in cols})
 
 
 # ------------------------------------------------------------------ B11-B13

@@ -6,12 +6,13 @@ size: adaptive execution chooses by the bytes it has seen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perflog.functions.predict import DEFAULT_ROLE, STAT_ROLES
 from perflog.operators import windows as Wn
-from perflog.operators.split import in_pieces
+from perflog.operators.ranges import as_number, running_totals
+from perflog.operators.split import CHUNK_SECONDS, in_pieces
 from perflog.spec import LogSpec
 
 
@@ -57,25 +58,23 @@ def with_role_context(df: DataFrame, stat_col: str) -> DataFrame:
 
 # ------------------------------------------------------------------ F2 / D18
 def opponent_prior_win_rate(df: DataFrame, spec: LogSpec, opponent: str, opp_won: Column,
-                            out: str = "OPP_STRENGTH", default: float = 0.5) -> DataFrame:
+                            out: str = "OPP_STRENGTH", default: float = 0.5, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Opponent strength = the opponent's win rate in all games *before* the
-    current day (0.5 when it has none).
+    row's own instant (0.5 when it has none); games of one day are told apart by their time.
 
-    Rows are first reduced to one row per (opponent, day) -- a partially
-    aggregated ``groupBy`` whose size is opponents x days, independent of how
-    many games a hot opponent plays -- then running sums over the opponent's
-    days give the record entering each day, joined back on (opponent, day).
+    Rows are first reduced to one per (opponent, instant) -- a partially
+    aggregated ``groupBy`` -- and the record entering each instant is a running sum in spans of
+    time (operators.ranges), joined back on (opponent, instant).  Rows without a time or an opponent take the default.
     """
-    day = F.to_date(F.col(spec.time))
-    daily = (df.where(F.col(opponent).isNotNull())
-               .groupBy(F.col(opponent).alias("__opp"), day.alias("__day"))
-               .agg(F.sum(opp_won.cast("long")).alias("__w"), F.count(F.lit(1)).alias("__g")))
-    w = Window.partitionBy("__opp").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    prior = daily.select("__opp", "__day",
-                         F.sum("__w").over(w).alias("__pw"), F.sum("__g").over(w).alias("__pg"))
-    j = df.join(prior, (F.col(opponent) == F.col("__opp")) & (day == F.col("__day")), "left")
+    at = as_number(df, spec.time)
+    known = df.where(F.col(opponent).isNotNull() & F.col(spec.time).isNotNull())
+    games = known.groupBy(F.col(opponent).alias("__opp"), at.alias("__at")).agg(
+        F.sum(F.coalesce(opp_won.cast("long"), F.lit(0))).alias("__w"), F.count(F.lit(1)).alias("__g"))
+    record = running_totals(games, ["__opp"], ["__at"], {"__uw": F.col("__w"), "__ug": F.col("__g")}, span=chunk_seconds * 1e6)
+    prior = record.select("__opp", "__at", (F.col("__uw") - F.col("__w")).alias("__pw"), (F.col("__ug") - F.col("__g")).alias("__pg"))
+    j = df.join(prior, (F.col(opponent) == F.col("__opp")) & (at == F.col("__at")), "left")
     rate = F.when(F.col("__pg") > 0, F.col("__pw") / F.col("__pg"))
-    return j.withColumn(out, F.coalesce(rate, F.lit(default))).drop("__opp", "__day", "__pw", "__pg")
+    return j.withColumn(out, F.coalesce(rate, F.lit(default))).drop("__opp", "__at", "__pw", "__pg")
 
 
 def schedule_strength(df: DataFrame, spec: LogSpec, strength: str = "OPP_STRENGTH",

@@ -41,31 +41,46 @@ def with_ranges(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int =
         "__cuts", *[f"__g{i}" for i in range(len(by))])
 
 
-def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | Column, out: str = "__upto",
-                  pieces: int = PIECES, cuts_of: DataFrame | None = None) -> DataFrame:
-    """``df`` with ``out``: the sum of ``weight`` over the rows of its group up to and with its own, sorted by ``order``
-    (numbers; the first of them is cut into ranges).  Rows equal in ``order`` should be one row."""
-    w = F.col(weight) if isinstance(weight, str) else weight
-    keys = [*by, "__range"]
-    rows = with_ranges(df, order[0], by, pieces, cuts_of).withColumn("__w", w)
-    sums = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.sum("__w").alias("__s"))
+def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], weights: dict[str, Column],
+                   pieces: int = PIECES, cuts_of: DataFrame | None = None, span: float | None = None) -> DataFrame:
+    """``df`` with a column per entry of ``weights``: its sum over the rows of the group up to and with the row's own, sorted by
+    ``order`` (numbers; the first of them is cut into ranges).  Rows equal in ``order`` should be one row.
+
+    ``span``: ranges of this fixed width, which spare the pass that looks for cut points, where a group's rows of one
+    span are known to fit a task."""
+    keys, at = [*by, "__range"], list(weights)
+    rows = (with_ranges(df, order[0], by, pieces, cuts_of) if span is None
+            else df.withColumn("__range", F.floor(F.col(order[0]) / span))).withColumns({f"__w{i}": weights[o] for i, o in enumerate(at)})
     names = [f"__k{i}" for i in range(len(keys))]
-    before = Window.partitionBy(*names[:-1]) if by else Window.partitionBy(F.lit(0))
-    lower = before.orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*names, F.coalesce(F.sum("__s").over(lower), F.lit(0)).alias("__low"))
+    sums = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*[F.sum(f"__w{i}").alias(f"__s{i}") for i in range(len(at))])
+    across = Window.partitionBy(*names[:-1]) if by else Window.partitionBy(F.lit(0))
+    lower = across.orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*names, *[F.coalesce(F.sum(f"__s{i}").over(lower), F.lit(0)).alias(f"__low{i}") for i in range(len(at))])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__in", F.sum("__w").over(inside))
-    return rows.join(sums, same(keys, names)).withColumn(out, F.col("__in") + F.col("__low")).drop("__range", "__w", "__in", "__low", *names)
+    rows = rows.withColumns({f"__in{i}": F.sum(f"__w{i}").over(inside) for i in range(len(at))}).join(sums, same(keys, names))
+    return rows.withColumns({o: F.col(f"__in{i}") + F.col(f"__low{i}") for i, o in enumerate(at)}).drop(
+        "__range", *names, *[f"__{k}{i}" for i in range(len(at)) for k in ("w", "in", "low")])
+
+
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | Column, out: str = "__upto",
+                  pieces: int = PIECES, cuts_of: DataFrame | None = None) -> DataFrame:
+    """:func:`running_totals` of one weight."""
+    return running_totals(df, by, order, {out: F.col(weight) if isinstance(weight, str) else weight}, pieces, cuts_of)
+
+
+def as_number(df: DataFrame, col: str) -> Column:
+    """A number that sorts as the column: microseconds on the zone-free clock for dates and times."""
+    kind = df.schema[col].dataType.simpleString()
+    if kind not in ("date", "timestamp", "timestamp_ntz"):
+        return F.col(col)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col).cast("timestamp_ntz"))
 
 
 def fill_along(df: DataFrame, cols: Sequence[str], by: Sequence[str], order: Sequence[str], pieces: int = PIECES) -> DataFrame:
     """Forward, then backward fill of ``cols`` in each group, sorted by ``order`` (the first column of
     which is a number, date or time).  A range carries its last value forwards and its first one backwards."""
     at = "__order"
-    kind = df.schema[order[0]].dataType.simpleString()
-    number = F.col(order[0]) if kind not in ("date", "timestamp", "timestamp_ntz") else F.timestamp_diff(
-        "MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(order[0]).cast("timestamp_ntz"))
-    rows = with_ranges(df.withColumn(at, number), at, (), pieces)
+    rows = with_ranges(df.withColumn(at, as_number(df, order[0])), at, (), pieces)
     keys = [*by, "__range"]
     names = [f"__k{i}" for i in range(len(keys))]
     place = F.struct(*order)

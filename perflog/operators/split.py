@@ -53,7 +53,7 @@ def _entity(spec: LogSpec) -> Column:
 
 def numbered(df: DataFrame, spec: LogSpec, result: str | None = None, chunk_seconds: int = CHUNK_SECONDS, total: bool = False) -> DataFrame:
     """``df`` with ``__e`` (entity key), ``__rn`` (row number of the entity, from 1) and, for ``result``,
-    ``__run`` (length so far of the run of equal results that the row is in; null equals null), else, for ``total``,
+    ``__run`` (length so far of the run of equal results that the row is in; null equals null), for ``total``
     ``__total`` (rows of the entity)."""
     keys = ["__e", "__chunk"]
     rows = df.withColumns({"__e": _entity(spec), "__chunk": chunk_of(spec, chunk_seconds, df.schema[spec.time].dataType.simpleString())})
@@ -62,9 +62,9 @@ def numbered(df: DataFrame, spec: LogSpec, result: str | None = None, chunk_seco
     before = Window.partitionBy("__e").orderBy("__chunk")
     lower = before.rowsBetween(Window.unboundedPreceding, -1)
     place = F.row_number().over(inside)
+    more = [F.sum("__n").over(Window.partitionBy("__e")).alias("__total")] if total else []
     if result is None:
         size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        more = [F.sum("__n").over(Window.partitionBy("__e")).alias("__total")] if total else []
         offset = size.select(*keys, F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__off"), *more)
         return rows.withColumn("__rn", place).join(offset, keys).withColumn("__rn", F.col("__rn") + F.col("__off")).drop("__off", "__chunk")
     r = F.col(result)
@@ -79,7 +79,7 @@ def numbered(df: DataFrame, spec: LogSpec, result: str | None = None, chunk_seco
     # where the run open at the chunk's end began, if it began in the chunk
     start = F.coalesce(F.col("__off") + F.col("__turn_n"), F.when(opens, F.col("__off") + 1))
     size = size.withColumns({"__start": start, "__opens": opens})
-    size = size.select(*keys, "__off", F.when(F.col("__opens"), F.col("__off") + 1).otherwise(F.max("__start").over(lower)).alias("__carry"))
+    size = size.select(*keys, "__off", F.when(F.col("__opens"), F.col("__off") + 1).otherwise(F.max("__start").over(lower)).alias("__carry"), *more)
     rows = rows.join(size, keys)
     begun = F.coalesce(F.col("__off") + F.max("__turn").over(upto), F.col("__carry"))
     rows = rows.withColumn("__run", F.col("__off") + F.col("__rn") - begun + 1)
@@ -137,13 +137,13 @@ def finish(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def in_pieces(df: DataFrame, spec: LogSpec, lookback: int, *steps: Builder, result: str | None = None, keep: tuple[str, ...] = (),
-              chunk_seconds: int = CHUNK_SECONDS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+              chunk_seconds: int = CHUNK_SECONDS, rows_per_bucket: int = ROWS_PER_BUCKET, total: bool = False) -> DataFrame:
     """``df`` with the window columns of ``steps``, computed piece by piece.
 
     Each step maps a spec to named columns and may use those of the steps before; windows come from the spec's
     ``per_season`` forms and look back at most ``lookback`` rows, all steps together.  ``__rn`` and, with ``result``, ``__run`` are
     there for the steps to use."""
-    rows, inner = bucketed(numbered(df, spec, result, chunk_seconds), spec, lookback, rows_per_bucket)
+    rows, inner = bucketed(numbered(df, spec, result, chunk_seconds, total), spec, lookback, rows_per_bucket)
     for step in steps:
         rows = rows.withColumns(step(inner))
     return finish(rows, keep)

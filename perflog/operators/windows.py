@@ -66,13 +66,15 @@ def ewm_horizon(span: float, tol: float = 1e-17) -> int:
     return int(math.ceil(math.log(tol) / math.log(q)))
 
 
-def ewm(df: DataFrame, x: str, spans: dict[str, float], spec: LogSpec, chunk_seconds: int | None = None) -> DataFrame:
+def ewm(df: DataFrame, x: str, spans: dict[str, float], spec: LogSpec, chunk_seconds: int | None = None,
+        keep: tuple[str, ...] = ()) -> DataFrame:
     """Exponentially weighted means, ``adjust=True``, alpha = 2/(span+1): ``{column: span}``.
 
     Linear in the rows: inside a bucket (and a halo as long as weights count in
     double precision) both sums are running sums of ``q**-position``; buckets are
     short enough for those powers.  A null adds to neither sum while older weights
     keep decaying, so it takes the value of the last non-null row, however far back.
+    ``keep``: of ``__e`` and ``__rn`` (operators.split), those that stay for further windows in pieces.
     """
     spans = {c: max(1.0 + 1e-9, s) for c, s in spans.items()}
     back = max(ewm_horizon(s) for s in spans.values())
@@ -90,7 +92,7 @@ def ewm(df: DataFrame, x: str, spans: dict[str, float], spec: LogSpec, chunk_sec
     rows = rows.withColumns(cols).where(~F.col("__halo"))
     run = Window.partitionBy("__e", "__head")
     rows = rows.withColumns({c: F.max(c).over(run) for c in spans})
-    return rows.drop("__none", "__head", "__e", "__rn", "__run", "__bucket", "__halo", *[f"__w_{c}" for c in spans])
+    return rows.drop("__none", "__head", "__run", "__bucket", "__halo", *[c for c in ("__e", "__rn") if c not in keep], *[f"__w_{c}" for c in spans])
 
 
 def ewm_fold(x, span: float, spec: LogSpec, per_season: bool = False) -> Column:

@@ -6,7 +6,7 @@ windows follow."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perflog.functions import calendar as cal
@@ -19,25 +19,39 @@ from perflog.operators.stats import with_entity_stats
 from perflog.spec import LogSpec
 
 
-def _filled(raw: DataFrame, spec: LogSpec, numbers: list[str], minutes: str | None) -> DataFrame:
+def _filled(raw: DataFrame, spec: LogSpec, numbers: list[str], minutes: str | None, season: Column | None) -> DataFrame:
     """Types and missing values: NaN and unreadable numbers are null and take the
-    entity's mean; the time is parsed; results and matchups are ``UNK`` where unknown."""
+    entity's mean; the time is parsed; results and matchups are ``UNK`` where unknown.  One aggregate over the parsed
+    log gives all means and the moments of points (after the fill), and is joined once."""
     cols = {c: P.nan_to_null(P.to_double(c)) for c in numbers}
     if minutes:
         cols[minutes] = P.minutes(minutes)
         numbers = numbers + [minutes]
-    df = raw.withColumns(cols | {spec.time: P.parse_date(spec.time)})
-    return C.fill_unknown(C.fill_mean(df, numbers, spec), ["MATCHUP", spec.outcome])
+    df = raw.withColumn(spec.time, P.parse_date(spec.time))
+    df = (df if season is None else df.where(season)).withColumns(cols)
+    # missing points take the mean, so they leave the mean as it is and add nothing to the sum of squares
+    spread = F.sqrt(F.var_pop("PTS") * F.count("PTS") / F.when(F.count(F.lit(1)) > 1, F.count(F.lit(1)) - 1))
+    df = with_entity_stats(df, spec.keys(), __means=F.struct(*[F.avg(c).alias(c) for c in numbers]), __s=spread)
+    df = df.withColumns({c: F.coalesce(F.col(c), F.col(f"__means.{c}")) for c in numbers} | {"__m": F.col("__means.PTS")}).drop("__means")
+    return C.fill_unknown(df, ["MATCHUP", spec.outcome])
 
 
-def player_log_clean(raw: DataFrame, spec: LogSpec) -> DataFrame:
+def _recent(df: DataFrame, last_n: int) -> DataFrame:
+    """An entity's last ``last_n`` games (all for 0), by row number and total: no second sort."""
+    return (df.where(F.col("__rn") > F.col("__total") - last_n) if last_n > 0 else df).drop("__rn", "__total", "__run")
+
+
+def player_log_clean(raw: DataFrame, spec: LogSpec, season: Column | None = None, last_n: int = 0) -> DataFrame:
     """A4: missing values, types, matchup, minutes, advanced statistics, context, time
-    features and per-entity scaling of a raw player log (text minutes, dates and NaN allowed)."""
-    df = _filled(raw, spec, ["PTS", "FGM", "FGA", "FTA", "TOV"], "MIN")
-    df = with_entity_stats(df, spec.keys(), __m=F.avg("PTS"), __s=F.stddev_samp("PTS"))
+    features and per-entity scaling of a raw player log (text minutes, dates and NaN allowed).
+
+    ``season``: a condition on the parsed rows, applied before anything is computed; ``last_n``: games
+    kept of each entity, the newest, after all is computed."""
+    df = _filled(raw, spec, ["PTS", "FGM", "FGA", "FTA", "TOV"], "MIN", season)
     df = in_pieces(df, spec, 2, lambda p: {"DAYS_REST": Wn.days_rest(p, 3, True, spec.time), "GAME_NUMBER": F.col("__rn").cast("int"),
-                                           "PTS_AVG_3": Wn.rolling_mean("PTS", 3, p, True), "PTS_DIFF": Wn.diff("PTS", p, 1, True)})
-    df = df.withColumns({
+                                           "PTS_AVG_3": Wn.rolling_mean("PTS", 3, p, True), "PTS_DIFF": Wn.diff("PTS", p, 1, True)},
+                   keep=("__rn",), total=last_n > 0)
+    df = _recent(df, last_n).withColumns({
         "HOME": P.is_home("MATCHUP"), "OPPONENT": P.opponent("MATCHUP"),
         "TS_PCT": R.true_shooting("PTS", "FGA", "FTA", "null"), "USAGE_RATE": R.usage("FGA", "FTA", "TOV"),
         "BACK_TO_BACK": (F.col("DAYS_REST") <= 1).cast("int"), "WIN": R.win_flag(spec.outcome),
@@ -46,17 +60,17 @@ def player_log_clean(raw: DataFrame, spec: LogSpec) -> DataFrame:
     return df.drop("__m", "__s")
 
 
-def team_log_clean(raw: DataFrame, spec: LogSpec) -> DataFrame:
+def team_log_clean(raw: DataFrame, spec: LogSpec, season: Column | None = None, last_n: int = 0) -> DataFrame:
     """A5: the same for a raw team log, with ratios and ratings, streaks and momentum."""
-    df = _filled(raw, spec, ["PTS", "FGM", "FGA", "FTA", "TOV", "PLUS_MINUS"], None)
-    df = with_entity_stats(df, spec.keys(), __m=F.avg("PTS"), __s=F.stddev_samp("PTS"))
+    df = _filled(raw, spec, ["PTS", "FGM", "FGA", "FTA", "TOV", "PLUS_MINUS"], None, season)
     df = in_pieces(df, spec, 4, lambda p: {"BEFORE": Wn.prior_mean("PLUS_MINUS", 3, p, None, True), "REST": Wn.days_rest(p, 3, True, spec.time)},
-                   lambda p: {"PM_TREND": Wn.momentum_of("BEFORE", p, True)}, result=spec.outcome, keep=("__run",))
+                   lambda p: {"PM_TREND": Wn.momentum_of("BEFORE", p, True)}, result=spec.outcome, keep=("__run", "__rn"), total=last_n > 0)
     win, loss = Wn.streaks_of_run(spec.outcome)
+    df = _recent(df.withColumns({"WIN_STREAK": win, "LOSS_STREAK": loss}), last_n)
     up, down = Wn.momentum_flags("PM_TREND")
     poss = F.col("FGA") + 0.44 * F.col("FTA") + F.col("TOV")
     return df.withColumns({
-        "HOME": P.is_home("MATCHUP"), "OPPONENT": P.opponent("MATCHUP"), "WIN_STREAK": win, "LOSS_STREAK": loss,
+        "HOME": P.is_home("MATCHUP"), "OPPONENT": P.opponent("MATCHUP"),
         "POSITIVE_MOMENTUM": up, "NEGATIVE_MOMENTUM": down, "TOV_PCT": R.safe_div(F.col("TOV"), poss, "denom_one"),
         "CLOSE_GAME": R.close_game("PLUS_MINUS"), "EXTRA_REST": (F.col("REST") >= 3).cast("int"),
-        "PTS_ZSCORE": F.when(F.col("__s") > 0, (F.col("PTS") - F.col("__m")) / F.col("__s"))}).drop("__m", "__s", "__run")
+        "PTS_ZSCORE": F.when(F.col("__s") > 0, (F.col("PTS") - F.col("__m")) / F.col("__s"))}).drop("__m", "__s")

@@ -45,7 +45,7 @@ def lookup_default(spark, sf_dir):
 # ----------------------------------------------------------------- opponent_strength_prior
 @register("opponent_strength_prior", "F2 D18 D16", f"""
 with b as ({BOX_SQL}),
-c as (select *, {_OPP_SQL} as OPP, cast(l_shipdate as date) as d from b),
+c as (select * replace (l_shipdate + to_hours(l_linenumber % 3 * 6) as l_shipdate), {_OPP_SQL} as OPP, l_shipdate + to_hours(l_linenumber % 3 * 6) as d from b),
 daily as (select OPP, d, sum(cast(WL = 'L' as bigint)) as w, count(*) as g
           from c where OPP is not null group by OPP, d),
 prior as (select OPP, d,
@@ -65,7 +65,9 @@ from j
 def opponent_strength_prior(spark, sf_dir):
     s = BOX
     b = box_scores(spark, sf_dir).withColumn("OPP", P.opponent("MATCHUP"))
-    b = b.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "OPP", "WL")
+    # three games a day: those of the same day count if they were played earlier
+    hours = F.make_dt_interval(hours=F.col("l_linenumber") % 3 * 6)
+    b = b.select("l_suppkey", (F.col("l_shipdate") + hours).alias("l_shipdate"), "l_orderkey", "l_linenumber", "l_partkey", "OPP", "WL")
     b = L.opponent_prior_win_rate(b, s, "OPP", F.col("WL") == "L")
     b = L.schedule_strength(b, s)
     return b.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("OPP_STRENGTH").cast("decimal(38,8)"), 4)

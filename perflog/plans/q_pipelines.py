@@ -117,27 +117,41 @@ def next_game_row(spark, sf_dir):
 
 # ----------------------------------------------------------------- sources
 @register("roster", "A2 A3 H1", """
-select c_custkey as id, c_name as name, c_nationkey as team from customer where c_nationkey < 10
-union all select s_suppkey as id, s_name as name, s_nationkey as team from supplier where s_nationkey < 10
+with t as (select n_nationkey from nation join region on n_regionkey = r_regionkey where r_name in ('AFRICA', 'ASIA'))
+select c_custkey as id, c_name as name, c_nationkey as team from customer where c_nationkey in (select n_nationkey from t)
+union all select s_suppkey as id, s_name as name, s_nationkey as team from supplier where s_nationkey in (select n_nationkey from t)
 """)
 def roster(spark, sf_dir):
-    """Two roster shapes made one: (PLAYER, PLAYER_ID) and (full_name, id); a team filter reaches both scans."""
+    """Two roster shapes made one: (PLAYER, PLAYER_ID) and (full_name, id), of the teams of a league: a semi-join with the table of teams."""
     a = read_table(spark, sf_dir, "customer").select(F.col("c_name").alias("PLAYER"), F.col("c_custkey").alias("PLAYER_ID"), F.col("c_nationkey").alias("team"))
     b = read_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("full_name"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("team"))
-    both = union_seasons([a, b]).where("team < 10")
+    league = read_table(spark, sf_dir, "region").where(F.col("r_name").isin("AFRICA", "ASIA"))
+    teams = read_table(spark, sf_dir, "nation").join(league, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    both = union_seasons([a, b]).join(teams, F.col("team") == F.col("n_nationkey"), "left_semi")
     return both.select(F.coalesce("id", "PLAYER_ID").alias("id"), F.coalesce("full_name", "PLAYER").alias("name"), "team")
 
 
 @register("boxscore_by_game", "A7 A10 B15", """
-select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_orderkey % 7 = 3 and l_returnflag = 'R'
+select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P')
 """)
 def boxscore_by_game(spark, sf_dir):
-    """Rows of some games by predicate and projection, both at the scan; columns that don't exist are left out."""
-    df = read_where(spark, f"{sf_dir}/lineitem.parquet", (F.col("l_orderkey") % 7 == 3) & (F.col("l_returnflag") == "R"),
-                    schema=DRIVER_SCHEMAS["lineitem"])
+    """Box scores of the games of a key table (those still pending); columns that don't exist are left out."""
+    games = read_where(spark, f"{sf_dir}/orders.parquet", F.col("o_orderstatus") == "P", ["o_orderkey"], DRIVER_SCHEMAS["orders"])
+    df = read_table(spark, sf_dir, "lineitem").join(games, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     return C.select_present(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "NO_SUCH_COLUMN"])
 
 
+@register("player_log_recent", "A4 G2", f"""
+with {_RAW_SQL.replace('from lineitem)', 'from lineitem where year(l_shipdate) = 1997)')},
+w as (select *, row_number() over ({W_RAW}) as k, count(*) over (partition by l_suppkey) as n, {roll_avg('PTS', 3, W_RAW)} as a3, {_REST} as rest from b)
+select l_orderkey, l_linenumber, l_partkey, {R4('PTS')} as pts, {R4('a3')} as pts_avg_3, rest as days_rest, cast(k as int) as game_number from w where k > n - 5
+""")
+def player_log_recent(spark, sf_dir):
+    """Every player's last five games of a season, cleaned over the whole season."""
+    df = player_log_clean(raw_log(spark, sf_dir), RAW, season=F.year("GAME_DATE") == 1997, last_n=5)
+    return df.select(*KEYS, r4("PTS").alias("pts"), r4("PTS_AVG_3").alias("pts_avg_3"), F.col("DAYS_REST").alias("days_rest"), F.col("GAME_NUMBER").alias("game_number"))
+
+
 @register("latest_season", "G3 C18 C19", """
 with y as (select o_custkey, year(o_orderdate) as season, count(*) as games from orders group by all),
 r as (select *, row_number() over (partition by o_custkey order by season desc) as k from y)

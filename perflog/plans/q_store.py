@@ -7,11 +7,13 @@ orders get closed with a new price; urgent orders are re-issued under a new
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, r4
+from perflog.session import checkpoint_dir
 from perflog.sources import store as S
 from perflog.sources.tables import read_table
 
@@ -71,6 +73,32 @@ def upsert_latest(spark, sf_dir):
                       F.year("updated_at").cast("int").alias("version_year"))
 
 
+_BATCH = """select o_orderkey, 'F' as o_orderstatus, o_totalprice + 100.0 as o_totalprice from orders
+  where o_orderstatus = 'P' and o_orderdate >= (select date_trunc('year', max(o_orderdate)) from orders)"""
+
+
+@register("upsert_stored", "A8 A9 A12", f"""
+with inc as ({_BATCH})
+select o_orderkey, o_custkey, coalesce(i.o_orderstatus, e.o_orderstatus) as o_orderstatus, {R4('coalesce(i.o_totalprice, e.o_totalprice)')} as o_totalprice,
+  cast(year(e.o_orderdate) as int) as season
+from orders e left join inc i using (o_orderkey)
+where not (coalesce(i.o_orderstatus, e.o_orderstatus) = 'O' and year(e.o_orderdate) = (select min(year(o_orderdate)) from orders))
+""")
+def upsert_stored(spark, sf_dir):
+    """Orders stored by year; the pending ones of the last year are closed at another price, the open ones of the first
+    year deleted.  Both rewrite one partition."""
+    o = read_table(spark, sf_dir, "orders")
+    path = f"{checkpoint_dir(spark)}/orders-{uuid.uuid4().hex}"
+    rows = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("season"))
+    rows.write.partitionBy("season").parquet(path)
+    first, last = rows.agg(F.min("season"), F.max("season")).first()
+    batch = rows.where((F.col("o_orderstatus") == "P") & (F.col("season") == last)).select(
+        "o_orderkey", F.lit("F").alias("o_orderstatus"), (F.col("o_totalprice") + 100.0).alias("o_totalprice"))
+    S.merge_stored(spark, path, batch, ["o_orderkey"], ["o_totalprice"], ["season"])
+    S.delete_stored(spark, path, (F.col("o_orderstatus") == "O") & (F.col("season") == first), ["season"])
+    return spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus", r4("o_totalprice").alias("o_totalprice"), "season")
+
+
 @register("delete_where", "A12 A10", """
 select o_orderkey, o_custkey from orders
 where not coalesce(o_orderstatus = 'P' and o_totalprice < 100000, false)

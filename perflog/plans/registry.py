@@ -34,5 +34,5 @@ def register(name: str, area: str, sql: str | None = None):
 def all_queries() -> dict[str, Query]:
     # import for side effect: each module registers its queries
     from perflog.plans import (q_windows, q_scalars, q_aggregates, q_lookups,  # noqa: F401
-                               q_store, q_models, q_ml, q_player, q_pipelines)
+                               q_store, q_models, q_ml, q_player, q_pipelines, q_landing)
     return REGISTRY

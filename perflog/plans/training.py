@@ -45,13 +45,13 @@ def _unpacked(df: DataFrame, spec: LogSpec, names: list[str]) -> DataFrame:
     return df.select(spec.entity, spec.time, *spec.tie, *[F.col(f"__f.{c}").alias(c) for c in names])
 
 
-def _complete(rows: DataFrame, spec: LogSpec, names: list[str], min_rows: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """Rows without a null among the fields ``names`` of ``__f``, of entities that keep ``min_rows`` of them."""
+def _complete(rows: DataFrame, spec: LogSpec, names: list[str], min_rows: int) -> DataFrame:
+    """Keys and ``__f`` of rows without a null among the fields ``names`` of ``__f``, of entities that keep ``min_rows`` of them."""
     whole = F.lit(True)
     for c in names:
         whole = whole & F.col(f"__f.{c}").isNotNull()
     rows = rows.where(whole).select(spec.entity, spec.time, *spec.tie, "__f")
-    return _unpacked(with_entity_stats(rows, [spec.entity], __n=F.count(F.lit(1))).where(F.col("__n") >= min_rows), spec, [*names, *also])
+    return with_entity_stats(rows, [spec.entity], __n=F.count(F.lit(1))).where(F.col("__n") >= min_rows).drop("__n")
 
 
 def team_win_set(log: DataFrame, spec: LogSpec, min_rows: int = 10, **pieces) -> DataFrame:
@@ -78,7 +78,7 @@ def team_win_set(log: DataFrame, spec: LogSpec, min_rows: int = 10, **pieces) ->
     names = team_win_features() + ["WIN"]
     rows = rows.withColumn("__f", F.struct(*[cols[c].alias(c) for c in names]))
     rows = rows.where(~F.col("__halo") & (F.col("__rn") > F.greatest(F.lit(10), F.floor(F.col("__total") * 0.1))))
-    return _complete(rows, spec, names, min_rows)
+    return _unpacked(_complete(rows, spec, names, min_rows), spec, names)
 
 
 def season_set(log: DataFrame, spec: LogSpec, target: str = "PTS") -> DataFrame:
@@ -99,7 +99,7 @@ def career_set(log: DataFrame, spec: LogSpec, target: str = "PTS", min_rows: int
     cols = {"CAREER_GAMES": number} | {f"CAREER_{st}_AVG": F.col(f"CAREER_{st}_AVG") for st in stats} | {
         "GAME_NUMBER": number, "TARGET": F.col(f"__m.{target}")}
     rows = rows.withColumn("__f", F.struct(*[c.alias(n) for n, c in cols.items()]))
-    return _complete(rows, spec, list(cols), min_rows)
+    return _unpacked(_complete(rows, spec, list(cols), min_rows), spec, list(cols))
 
 
 def player_game_stats(log: DataFrame, target: str) -> list[str]:
@@ -130,17 +130,21 @@ def player_game_set(log: DataFrame, spec: LogSpec, strength: DataFrame | None =
         "USAGE_RATE": R.usage("FGA", "FTA", "TOV", negative_to_zero=True),
         "HOME": P.is_home("MATCHUP"), "OPPONENT": P.opponent_last_token("MATCHUP"), "TARGET": F.col(target).cast("double")})
     means, own = {x: F.avg(x).alias(x) for x in ["TARGET", *rates, *stats]}, ["TARGET", "MIN", "HOME", *rates, *stats]
-    entity = df.groupBy(F.col(s.entity).alias("__k")).agg(F.struct(*means.values(), F.stddev_samp("TARGET").alias("STD")).alias("__e_m"))
+    # what is filled from the entity is null for all its rows or none, so the rows that will be complete can be counted beforehand
+    needed = ["TARGET", "MIN", "HOME", *rates]
+    whole = F.lit(True)
+    for c in needed:
+        whole = whole & F.col(c).isNotNull()
+    entity = df.groupBy(F.col(s.entity).alias("__k")).agg(F.struct(*means.values(), F.stddev_samp("TARGET").alias("STD")).alias("__e_m"),
+                                                          F.count(F.when(whole, 1)).alias("__left")).where(F.col("__left") >= min_rows)
+    for c in [*means, "STD"]:
+        entity = entity.where(F.col(f"__e_m.{c}").isNotNull())
     rows = df.select(s.entity, s.time, *s.tie, "OPPONENT", F.struct(*own).alias("__m"))
-    if strength is not None:
-        rows = lookup_default(rows, strength, "OPPONENT", "abbreviation", "strength", 3, out="__strength")
-    else:
-        rows = rows.withColumn("__strength", F.lit(3))
     spans = {f"__ema_{n}": n for n in WINDOWS}
-    rows = Wn.ewm(rows.withColumn("__y", F.col("__m.TARGET")), "__y", spans, s, chunk_seconds)
-    rows = rows.select(s.entity, s.time, *s.tie, "OPPONENT", "__strength", "__m", F.struct(*[F.col(c) for c in spans]).alias("__ema"))
-    rows = rows.join(entity, F.col(s.entity).eqNullSafe(F.col("__k"))).drop("__k")
-    rows, p = bucketed(numbered(rows, s, chunk_seconds=chunk_seconds), s, max(WINDOWS), rows_per_bucket)
+    rows = Wn.ewm(rows.withColumn("__y", F.col("__m.TARGET")), "__y", spans, s, chunk_seconds, ("__e", "__rn"))
+    rows = rows.select("__e", "__rn", s.entity, s.time, *s.tie, "OPPONENT", "__m", F.struct(*[F.col(c) for c in spans]).alias("__ema"))
+    rows = rows.join(entity, F.col(s.entity).eqNullSafe(F.col("__k"))).drop("__k", "__left")
+    rows, p = bucketed(rows, s, max(WINDOWS), rows_per_bucket)
     rest = Wn.days_rest(p, 3, True, s.time)
     cols = {}
     for n in WINDOWS:
@@ -150,13 +154,21 @@ def player_game_set(log: DataFrame, spec: LogSpec, strength: DataFrame | None =
                  f"{target}_EMA_{n}": F.coalesce(F.col(f"__ema.__ema_{n}"), F.col("__e_m.TARGET"))}
     for n in (5, 10):
         cols |= {f"{x}_AVG_{n}": F.coalesce(Wn.rolling_mean(F.col(f"__m.{x}"), n, p, True), F.col(f"__e_m.{x}")) for x in (*rates, *stats)}
-    cols |= {x: F.col(f"__m.{x}") for x in (*rates, "HOME", "MIN", "TARGET")} | {"DAYS_REST": rest, "OPP_STRENGTH": F.col("__strength")}
+    cols |= {x: F.col(f"__m.{x}") for x in (*rates, "HOME", "MIN", "TARGET")} | {"DAYS_REST": rest}
     cols |= {k.upper(): v for k, v in cal.rest_flags(rest).items() if k != "rest_bucket"}
     cols |= {k.upper(): v for k, v in cal.season_phase(s.time).items() if k != "month"}
     names = [*player_game_names(stats, target), "TARGET"]
-    rows = rows.withColumn("__f", F.struct(*[cols[c].alias(c) for c in names], "OPPONENT")).where(~F.col("__halo"))
-    # an unknown opponent is no missing feature: its one-hots are all zero
-    return _complete(rows, s, names, min_rows, ("OPPONENT",))
+    made = [c for c in names if c != "OPP_STRENGTH"]
+    rows = rows.withColumn("__f", F.struct(*[cols[c].alias(c) for c in made], "OPPONENT")).where(~F.col("__halo"))
+    # an unknown opponent is no missing feature: it has the default strength, and its one-hots are all zero
+    for c in needed:
+        rows = rows.where(F.col(f"__f.{c}").isNotNull())
+    rows = rows.select(s.entity, s.time, *s.tie, "__f", F.col("__f.OPPONENT").alias("OPPONENT"))
+    if strength is not None:
+        rows = lookup_default(rows, strength, "OPPONENT", "abbreviation", "strength", 3, out="OPP_STRENGTH")
+    else:
+        rows = rows.withColumn("OPP_STRENGTH", F.lit(3))
+    return rows.select(s.entity, s.time, *s.tie, *[F.col(c if c == "OPP_STRENGTH" else f"__f.{c}").alias(c) for c in names], "OPPONENT")
 
 
 def next_game_row(log: DataFrame, spec: LogSpec, requests: DataFrame, opponents: list[str], strength: DataFrame | None = None,

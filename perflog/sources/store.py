@@ -2,18 +2,21 @@
 
 The reference keeps one document collection per entity and season; here a
 dataset is ONE parquet table (season as partition column, entity an ordinary
-column).  Merges are lazy DataFrames; the caller writes them, partition by
-partition where the table is partitioned.
+column).  Merges are lazy DataFrames; :func:`merge_stored` and :func:`delete_stored` write them back,
+touched partitions alone.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perflog.session import checkpoint_dir, cut_lineage
+
 
 # ------------------------------------------------------------------ A8
 def _ts_lit(t: _dt.datetime, typ="timestamp_ntz"):
@@ -91,6 +94,65 @@ def count_where(df: DataFrame, predicate: Column) -> int:
     return df.filter(F.coalesce(predicate, F.lit(False))).count()
 
 
+# ------------------------------------------------------------------ A9, A12 written back
+def _in_partitions(df: DataFrame, touched: DataFrame, partition_by: list[str], how: str = "left_semi") -> DataFrame:
+    t = touched.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(partition_by)])
+    on = F.lit(True)
+    for i, c in enumerate(partition_by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    return df.join(t, on, how)
+
+
+def _replace_partitions(spark: SparkSession, path: str, touched: DataFrame, rows: DataFrame, partition_by: list[str]) -> None:
+    """Rewrite the ``touched`` partitions of the table at ``path`` so that they hold ``rows``; no other file is written.
+
+    The rows are written beside the table first (into the shared folder), since they are read from it.  Partitions that
+    end up empty are removed: the driver gets one folder name for each of these."""
+    side = f"{checkpoint_dir(spark)}/merge-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*partition_by).parquet(side)
+    stored = spark.read.schema(rows.schema).parquet(side)
+    emptied = _in_partitions(touched, stored.select(*partition_by).distinct(), partition_by, "left_anti")
+    folder = F.regexp_replace(F.input_file_name(), "/[^/]*$", "")
+    gone = [r[0] for r in _in_partitions(spark.read.parquet(path).withColumn("__folder", folder), emptied, partition_by)
+            .select("__folder").distinct().collect()]
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    for name in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def merge_stored(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], order: list[str], partition_by: list[str]) -> DataFrame:
+    """Keyed partial upsert (:func:`upsert_partial`) into the stored table at ``path``, partitioned by ``partition_by``.
+
+    Touched are the partitions that hold a key of the batch and those that the batch names; only these are
+    read whole, merged and rewritten, all others keep their files.  A row whose partition value
+    changes moves.  Returns the table."""
+    incoming = cut_lineage(incoming)
+    existing = spark.read.parquet(path)
+    ids = incoming.where(~_keyless(keys)).select(*keys).distinct()
+    touched = existing.join(ids, keys, "left_semi").select(*partition_by)
+    if all(c in incoming.columns for c in partition_by):
+        touched = touched.union(incoming.select(*partition_by))
+    else:  # inserted rows have no partition value
+        new = incoming.join(existing.select(*keys), keys, "left_anti").limit(1)
+        touched = touched.union(new.select(*[F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in partition_by]))
+    touched = cut_lineage(touched.distinct())
+    merged = upsert_partial(_in_partitions(existing, touched, partition_by), incoming, keys, order)
+    _replace_partitions(spark, path, touched, merged, partition_by)
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+def delete_stored(spark: SparkSession, path: str, predicate: Column, partition_by: list[str]) -> int:
+    """Delete rows of the stored table at ``path``; rewrites only the partitions that hold one.  Returns the number of rows deleted."""
+    existing = spark.read.parquet(path)
+    hit = cut_lineage(existing.where(F.coalesce(predicate, F.lit(False))).groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__n")))
+    n = hit.agg(F.sum("__n")).first()[0] or 0
+    if n:
+        touched = hit.select(*partition_by)
+        _replace_partitions(spark, path, touched, delete_where(_in_partitions(existing, touched, partition_by), predicate), partition_by)
+    return n
+
+
 # ------------------------------------------------------------------ A8, A13
 def append(df: DataFrame, path: str, as_of: _dt.datetime, partition_by: list[str] | None = None) -> None:
     """Stamp the rows and append them to the stored table."""
