@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perflog.llm.runtime import bitmap, chunks, has_bit, pow2, ready, stage, text_hash, utf8
+from perflog.llm.runtime import bitmap, chunks, few, has_bit, pow2, ready, stage, text_hash, utf8
+from perflog.llm.window_dedup import gaps, ungaps
 from perflog.llm.words import LOWER, SPACE, U, Words, mix
 
 COUNTERS = 1 << 22
@@ -38,8 +39,12 @@ COUNTERS = 1 << 22
 PREFIX = 25
 #: Classes in a block of a family, columns of a 0/1 matrix, and sets of which a key makes no column.
 BLOCK, COLUMNS, FEW = 512, 1 << 11, 12
-#: Groups that a task remembers to emit each but once.
+#: Keys (4 bytes each) in a block, and in a bundle of meetings.
+BLOCK_KEYS, BUNDLE_KEYS = 1 << 18, 1 << 20
+#: Numbers that a task remembers to emit most groups but once.
 REMEMBERED = 1 << 20
+#: Ranges of counters that the sketch is dealt by, and shingles that a task gathers before it sends a part.
+RANGES, GATHER = 64, 4 << 20
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -61,47 +66,68 @@ def shingle_chunks(data: np.ndarray, offs: np.ndarray, k: int):
 
 
 def levels(docs: DataFrame, k: int) -> np.ndarray:
-    """Level of every counter of a one-row count sketch over all shingles: 0, or log2 of a count clearly above chance."""
+    """Level of every counter of a one-row count sketch over all shingles: 0, or log2 of a count clearly above chance.
+
+    Counters are dealt by ranges, so no row holds more than a range and no task more than two of them; the
+    driver gets the sums, whose number is fixed."""
+    width = COUNTERS // RANGES
 
     def parts(batches):
-        from pyspark import TaskContext
-        acc = np.zeros(COUNTERS, np.uint32)
+        held, size = [], 0
+
+        def flush():
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            edge = np.searchsorted(s, np.arange(RANGES + 1) * width)
+            for r, a, b in zip(range(RANGES), edge[:-1], edge[1:]):
+                if a < b:
+                    x, c = s[a:b] - r * width, n[a:b]
+                    many = c > 1
+                    yield r, gaps(x), gaps(x[many]), (c[many] - 1).astype("<u4").tobytes()
+
+        def batch():
+            cols = list(zip(*flush()))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["range", "once", "again", "more"])
+
         for b in batches:
             data, offs = utf8(b.column(0))
             for _, _, h, _ in shingle_chunks(data, offs, k):
-                np.add.at(acc, slot(h), 1)
-        at = np.flatnonzero(acc)
-        if len(at) > COUNTERS // 4:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % 8], pa.int32()),
-                                              "at": pa.array([None], pa.binary()), "n": pa.array([acc.tobytes()], pa.binary())})
-        elif len(at):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % 8], pa.int32()),
-                                              "at": pa.array([at.astype("<u4").tobytes()], pa.binary()), "n": pa.array([acc[at].tobytes()], pa.binary())})
-
-    def total(batches) -> np.ndarray:
-        acc = np.zeros(COUNTERS, np.uint64)
-        for b in batches:
-            for at, n in zip(b.column(b.schema.get_field_index("at")), b.column(b.schema.get_field_index("n"))):
-                n = np.frombuffer(n.as_buffer(), np.uint32)
-                if at.is_valid:
-                    acc[np.frombuffer(at.as_buffer(), "<u4")] += n
-                else:
-                    acc += n
-        return acc
+                if len(h):
+                    held.append(slot(h))
+                    size += len(h)
+                if size >= GATHER:
+                    yield batch()
+                    held, size = [], 0
+        if size:
+            yield batch()
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.minimum(total(batches), 2 ** 32 - 1).astype(np.uint32)
-        yield pa.RecordBatch.from_pydict({"at": pa.array([None], pa.binary()), "n": pa.array([acc.tobytes()], pa.binary())})
+        acc = np.zeros(width, np.int64)
+        for b in batches:
+            for once, again, more in zip(*(b.column(b.schema.get_field_index(c)) for c in ("once", "again", "more"))):
+                acc[ungaps(once.as_buffer())] += 1
+                acc[ungaps(again.as_buffer())] += np.frombuffer(more.as_buffer(), "<u4")
+        yield pa.RecordBatch.from_pydict({"range": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([acc.astype("<i8").tobytes()], pa.binary())})
+
+    acc = np.zeros(COUNTERS, np.int64)
+    for r in docs.select("__text").mapInArrow(parts, "range int, once binary, again binary, more binary").groupBy("range").applyInArrow(
+            add, "range int, n binary").toLocalIterator():
+        acc[r.range * width:(r.range + 1) * width] = np.frombuffer(bytes(r.n), "<i8")
+    often = acc >= 16 + 2 * acc.mean()
+    return np.where(often, np.log2(np.maximum(acc, 1)), 0).astype(np.uint8)
+
+
+class Met:
+    """Numbers met lately, in a table of fixed size: a later one may push one out, which is then taken for new."""
 
-    def finish(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = total(batches)
-        often = acc >= 16 + 2 * acc.mean()
-        yield pa.RecordBatch.from_pydict({"level": pa.array([np.where(often, np.log2(np.maximum(acc, 1)), 0).astype(np.uint8).tobytes()], pa.binary())})
+    def __init__(self):
+        self.table = np.zeros(REMEMBERED, np.int64)
 
-    # arrays of fixed size: one a task, eight after that, and one byte a counter for the driver
-    sums = docs.select("__text").mapInArrow(parts, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "at binary, n binary")
-    row = sums.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(finish, "level binary").first()
-    return np.frombuffer(bytes(row.level), np.uint8) if row else np.zeros(COUNTERS, np.uint8)
+    def new(self, x: int) -> bool:
+        at = (x ^ (x >> 31)) & (REMEMBERED - 1)
+        if self.table[at] == x:
+            return False
+        self.table[at] = x
+        return True
 
 
 def ordered(h: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -149,7 +175,7 @@ def postings(docs: DataFrame, k: int, level) -> DataFrame:
     """tok, g and n for the prefix shingles at level 0 of every group, once per task."""
 
     def run(batches):
-        lev, seen = level.value, set()
+        lev, met = level.value, Met()
         for b in batches:
             data, offs = utf8(b.column(0))
             for lo, hi, h, cut in shingle_chunks(data, offs, k):
@@ -160,11 +186,8 @@ def postings(docs: DataFrame, k: int, level) -> DataFrame:
                         continue
                     p = x[:prefix_size(len(x))]
                     group = set_id(np.append(p, U(len(x))))
-                    if group in seen:
+                    if not met.new(group):
                         continue
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(group)
                     p = p[p >> U(56) == 0]
                     tok.append(p)
                     g.append(np.full(len(p), group, np.int64))
@@ -184,11 +207,11 @@ def full_sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, k: int, level,
     """c and keys (the full ordered set; its low 32 bits if ``short``) of the classes in ``ends`` (c). Only texts of those classes are
     made sets again."""
     spark = docs.sparkSession
-    texts = stage(rows.join(ends, "c").groupBy("c").agg(F.min("__th").alias("th")), "ends")
+    texts = stage(few(rows.join(ends, "c").groupBy("c").agg(F.min("__th").alias("th"))), "ends")
     bits = spark.sparkContext.broadcast(bitmap(texts, "th", pow2(32 * max(1, texts.count()), 1 << 16, 1 << 28)))
 
     def sets(batches):
-        lev, may, seen = level.value, bits.value, set()
+        lev, may, met = level.value, bits.value, Met()
         for b in batches:
             hit = has_bit(may, b.column(0).to_numpy(zero_copy_only=False))
             data, offs = utf8(b.column(1).filter(pa.array(hit)))
@@ -197,10 +220,7 @@ def full_sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, k: int, level,
                 for i in range(hi - lo):
                     x = ordered(h[cut[i]:cut[i + 1]], lev)
                     this = set_id(x) if len(x) else 0
-                    if len(x) and this not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(this)
+                    if len(x) and met.new(this):
                         c.append(this)
                         blob.append((x.astype("<u4") if short else x).tobytes())
                 if c:
@@ -293,19 +313,21 @@ def meetings(nodes: DataFrame, t: int) -> DataFrame:
     """c, part, at (a meeting of two blocks, or of one with itself), second and bundle of every class in every meeting, from nodes
     (family, part, c, n).
 
-    A family of any size is cut into blocks of about BLOCK classes of like size, large components apart from
-    others; every two blocks near in size meet, but not two of one component. Bundles hold two blocks of rows on average."""
+    A family of any size is cut into blocks of about BLOCK classes of like size and BLOCK_KEYS keys, large components apart from
+    others; every two blocks near in size meet, but not two of one component. Bundles hold two blocks of rows on average, and
+    no more than about BUNDLE_KEYS keys."""
     # sizes of which one is ``t`` percent of the other at least are in the same or neighbouring classes
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / t + 1e-9))).cast("int")
     nodes = nodes.withColumn("step", step)
-    size = nodes.groupBy("family", "step", "part").agg(F.count(F.lit(1)).alias("m"))
-    size = size.withColumn("large", F.col("m") >= BLOCK)
+    room = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_KEYS)
+    size = nodes.groupBy("family", "step", "part").agg(room.alias("m"))
+    size = size.withColumn("large", F.col("m") >= 1)
     small = size.where("not large").groupBy("family", "step").agg(F.sum("m").alias("all"))
     h = F.xxhash64(F.lit(21), F.when(F.col("large"), F.col("c")).otherwise(F.col("part")))
-    ways = F.ceil(F.when(F.col("large"), F.col("m")).otherwise(F.col("all")) / BLOCK)
+    ways = F.ceil(F.when(F.col("large"), F.col("m")).otherwise(F.col("all")))
     nodes = nodes.join(size, ["family", "step", "part"]).join(small, ["family", "step"], "left").withColumn(
         "block", F.struct("step", F.when(F.col("large"), F.col("part")).alias("own"), F.pmod(h, ways).alias("way")))
-    nodes = stage(nodes.select("family", "part", "c", "block"), "blocks")
+    nodes = stage(nodes.select("family", "part", "c", "n", "block"), "blocks")
     blocks = nodes.select("family", "block").distinct()
     one, two = blocks.select("family", F.col("block").alias("x")), blocks.select("family", F.col("block").alias("y"))
     meet = one.join(two, "family").where((F.col("x") <= F.col("y")) & (F.col("y.step") - F.col("x.step") <= 1)
@@ -316,9 +338,10 @@ def meetings(nodes: DataFrame, t: int) -> DataFrame:
                                                                      F.struct(F.col("y").alias("block"), F.lit(True).alias("second"))))).alias("r"))
     roles = roles.select("family", "at", "r.block", "r.second")
     # many small meetings share a task's group; what is sent, not the number of classes, sets how many groups there are
-    sizes = nodes.groupBy("family", "block").agg(F.count(F.lit(1)).alias("m"))
-    sent = roles.join(sizes, ["family", "block"]).agg(F.sum("m")).first()[0] or 0
-    return nodes.join(roles, ["family", "block"]).select("c", "part", "at", "second", F.pmod("at", F.lit(max(1, -(-sent // (2 * BLOCK))))).alias("bundle"))
+    sizes = nodes.groupBy("family", "block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("keys"))
+    sent, keys = roles.join(sizes, ["family", "block"]).agg(F.sum("m"), F.sum("keys")).first()
+    bundles = max(1, -(-(sent or 0) // (2 * BLOCK)), -(-(keys or 0) // BUNDLE_KEYS))
+    return nodes.join(roles, ["family", "block"]).select("c", "part", "at", "second", F.pmod("at", F.lit(bundles)).alias("bundle"))
 
 
 def verify_families(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, t: int, level) -> DataFrame:
@@ -341,7 +364,7 @@ def verify_families(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int,
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of ``edges`` (a, b), by rounds of large-star and small-star."""
-    e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    e = stage(few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()), "edges")
     while True:
         # done when every node points to one other, which points to none
         ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
@@ -357,7 +380,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = stage(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        e = stage(few(small.select("e.u", "e.v").where("u != v").distinct()), "edges")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
@@ -399,8 +422,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     pairs = (group_pairs.join(first.select(F.col("g").alias("ga"), F.col("first").alias("a")), "ga")
              .join(first.select(F.col("g").alias("gb"), F.col("first").alias("b")), "gb").select("a", "b"))
     own = members.join(first, "g").where("c != first").select(F.col("first").alias("a"), F.col("c").alias("b"))
-    pairs = stage(pairs.unionByName(own), "pairs")
-    edges = stage(verify(docs, rows, pairs, k, percent, level), "links")
+    pairs = stage(few(pairs.unionByName(own)), "pairs")
+    edges = stage(few(verify(docs, rows, pairs, k, percent, level)), "links")
     found = components(edges)
 
     # what is left: members of different components in one family, that is, groups that shared shingles connect, or one group by itself
@@ -409,9 +432,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     nodes = part.join(family.select(F.col("node").alias("g"), F.col("component").alias("family")), "g", "left").withColumn(
         "family", F.coalesce("family", "g"))
     mixed = nodes.groupBy("family").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("family")
-    nodes = stage(nodes.join(mixed, "family").select("family", "part", "c", "n"), "nodes")
-    more = stage(verify_families(docs, rows, nodes, k, percent, level).distinct(), "across")
-    more = stage(verify(docs, rows, more, k, percent, level), "more")
+    nodes = stage(few(nodes.join(mixed, "family").select("family", "part", "c", "n")), "nodes")
+    more = stage(few(verify_families(docs, rows, nodes, k, percent, level).distinct()), "across")
+    more = stage(few(verify(docs, rows, more, k, percent, level)), "more")
     # links join whole components: only their numbers go through another round
     named = found.select(F.col("node"), F.col("component"))
     joins = (more.join(named.select(F.col("node").alias("a"), F.col("component").alias("pa")), "a", "left")

@@ -79,6 +79,16 @@ def test_bundles_of_a_wide_family_are_bounded(spark, monkeypatch):
     assert sum(r["count"] for r in sent) > 60_000 and max(r["count"] for r in sent) <= 32 * 8
 
 
+def test_bundles_of_long_texts_are_bounded(spark):
+    """Sets of 20 000 shingles: what a bundle holds goes by their keys, not by their number."""
+    from perflog.llm import ngram_join
+    nodes = spark.range(300).selectExpr("id % 3 as family", "id as part", "id as c", "20000 as n")
+    sent = ngram_join.meetings(nodes, 80).groupBy("bundle").count().collect()
+    blocks = -(-100 * 20_000 // ngram_join.BLOCK_KEYS)
+    assert sum(r["count"] for r in sent) == 3 * 100 * blocks
+    assert max(r["count"] for r in sent) * 20_000 <= 4 * ngram_join.BUNDLE_KEYS
+
+
 def test_components_of_long_chains(spark):
     from perflog.llm.ngram_join import components
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + i * 2 + 1) for i in range(50)] + [(5, 5)]
