@@ -12,10 +12,13 @@ becomes one line of canonical JSON (sorted keys, no blanks, UTF-8).
 
 One row per call or unmatched result, so a conversation of any length needs no single task.
 ``status``: ok, bad_json, unknown_tool, bad_arguments, no_result, circular, orphan_result, duplicate_id (a
-second call of one id; the earliest counts) or no_id. Of several results of a call the
+second call of one id, with its own name, place and faults; the earliest counts) or no_id. Of several results of a call the
 earliest is used; n_results counts them. Waiting for an unknown id waits for nothing. Messages with a
 null conversation, text or identifier are kept as no_id where they hold a call or result,
 and otherwise give no row. Repeated rows are duplicates. An empty table gives no rows.
+
+bad_json is what can't be written as JSON again, too: numbers that are not finite, halves of surrogate pairs, and nesting
+deeper than the parser follows (of which the identifier is read by a pattern). Turns beyond 2 ** 42 count as 2 ** 42.
 """
 
 from __future__ import annotations
@@ -33,15 +36,49 @@ BLOCK = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+ID = {"call": re.compile(r'"id"\s*:\s*"([^"\\]*)"'), "result": re.compile(r'"tool_call_id"\s*:\s*"([^"\\]*)"')}
+MOST_TURN = 1 << 42
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def clean(value):
+    """``value`` as text, None if it is none or can't be written."""
+    try:
+        text = value if isinstance(value, str) else None if value is None else canonical(value)
+        if text is not None:
+            text.encode()
+        return text
+    except (ValueError, RecursionError):
+        return None
+
+
+def decode(raw: str, kind: str) -> tuple[dict, bool]:
+    """A block's object and whether it is bad."""
+    try:
+        x = json.loads(raw)
+    except RecursionError:
+        found = ID[kind].search(raw)
+        return ({"id": found[1], "tool_call_id": found[1]} if found else {}), True
+    except ValueError:
+        return {}, True
+    if not isinstance(x, dict):
+        return {}, True
+    try:
+        canonical(x).encode()
+    except (ValueError, RecursionError):
+        return x, True
+    return x, False
 
 
 def faults(value, schema: dict, at: str = "$") -> list[str]:
     """Where ``value`` breaks ``schema`` (the usual keywords of JSON schemas for tool arguments)."""
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and float(value).is_integer() if number else False}.get(
+    whole = isinstance(value, int) or isinstance(value, float) and value.is_integer()
+    fits = {"number": number, "integer": number and whole}.get(
         kind, kind is None or isinstance(value, TYPES.get(kind, object)))
     if not fits:
         return [f"{at}: not {kind}"]
@@ -63,10 +100,6 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-def _text(x):
-    return x if isinstance(x, str) else None if x is None else canonical(x)
-
-
 def parse(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """conv, place (turn and number in it), kind (call or result), call_id, name, payload (arguments or content), after, bad."""
     conv = messages.schema[conv_col].dataType.simpleString()
@@ -79,20 +112,14 @@ def parse(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text
             for i, (turn, role, text) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))):
                 if not text:
                     continue
-                place = (turn if turn is not None else 0) << 20
+                place = max(-MOST_TURN, min(MOST_TURN, turn if turn is not None else 0)) << 20
                 blocks = [("result", text)] if role == "tool" else [("call", x) for x in BLOCK.findall(text)] if "<tool_call>" in text else []
                 for k, (kind, raw) in enumerate(blocks):
-                    try:
-                        x = json.loads(raw)
-                        bad = not isinstance(x, dict)
-                    except ValueError:
-                        x, bad = {}, True
-                    x = {} if bad else x
+                    x, bad = decode(raw, kind)
                     after = x.get("after") if isinstance(x.get("after"), list) else []
-                    rows.append({"row": i, "place": place + k, "kind": kind, "bad": bad,
-                                 "call_id": _text(x.get("id") if kind == "call" else x.get("tool_call_id")), "name": _text(x.get("name")),
-                                 "payload": (raw if bad else _text(x.get("content")) if kind == "result" else canonical(x.get("arguments"))),
-                                 "after": [a for a in map(_text, after) if a is not None]})
+                    payload = clean(x.get("content")) if kind == "result" else raw if bad else canonical(x.get("arguments"))
+                    rows.append({"row": i, "place": place + k, "kind": kind, "bad": bad, "call_id": clean(x.get("id") if kind == "call" else x.get("tool_call_id")),
+                                 "name": clean(x.get("name")), "payload": raw if bad and not x else payload, "after": [a for a in map(clean, after) if a is not None]})
             t = pa.Table.from_pylist(rows, schema=schema)
             out = [b.column(0).take(t.column("row").combine_chunks() if t.num_rows else pa.array([], pa.int64()))]
             yield pa.RecordBatch.from_arrays(out + [c.combine_chunks() if t.num_rows else pa.array([], c.type) for c in t.columns[1:]],
@@ -148,7 +175,14 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict], conv_col: str = "c
     results = good.where("kind = 'result'").groupBy(*same).agg(
         F.min(F.struct(F.col("place").alias("result_place"), F.col("payload").alias("content"))).alias("r"), F.count(F.lit(1)).alias("n_results"))
     linked = calls.join(results.select(*same, "r.*", "n_results"), same, "full").join(ranks(calls.select(*same, "place", "after")), same, "left")
-    again = calls.where("n_calls > 1").select(*same, "place", "name", "payload", F.explode(F.sequence(F.lit(2), F.col("n_calls").cast("int"))).alias("k"))
+    # further calls of an id, each as it is; equal ones are counted before they move
+    shape = ["place", "name", "payload", "after", "bad"]
+    many = calls.where("n_calls > 1").select(*same, *[F.col(c).alias(f"__{c}") for c in shape])
+    first = F.lit(True)
+    for c in shape:
+        first = first & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    again = good.where("kind = 'call'").groupBy(*same, *shape).agg(F.count(F.lit(1)).alias("m")).join(many, same)
+    again = again.withColumn("m", F.col("m") - first.cast("int")).where("m > 0").select(*same, "place", "name", "payload", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("k"))
     rows = linked.select(*same, "name", "payload", "content", F.coalesce("at", "result_place").alias("order_at"), F.coalesce("hop", F.lit(0)).alias("order_hop"),
                          F.coalesce("n_results", F.lit(0)).alias("n_results"),
                          F.when(F.col("place").isNull(), "orphan_result").when(F.col("bad"), "bad_json").when(F.col("circular"), "circular")
@@ -163,6 +197,9 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict], conv_col: str = "c
             status, wrong, lines = [], [], []
             for c, i, name, raw, content, s in zip(*(b.column(k).to_pylist() for k in ("conv", "call_id", "name", "payload", "content", "status"))):
                 found, line = [], None
+                if s == "duplicate_id" and name in schemas:
+                    arguments, bad = decode('{"arguments":%s}' % raw, "call")
+                    found = ["$: not json"] if bad else faults(arguments["arguments"], schemas[name])
                 if s in ("ok", "no_result", "circular"):
                     arguments = json.loads(raw)
                     if name not in schemas:

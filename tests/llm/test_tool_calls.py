@@ -49,6 +49,38 @@ def test_linking(spark):
     assert a.n_results == 2 and a.line == '{"arguments":{"x":1},"conversation":1,"id":"a","name":"f","result":"{\\"k\\":1}"}'
 
 
+@pytest.mark.parametrize("argument, status", [
+    ("[" * 200_000 + "]" * 200_000, "bad_json"), ('"\\ud800"', "bad_json"), ("NaN", "bad_json"), ("-Infinity", "bad_json"), ("1e999", "bad_json"),
+    ("9" * 400, "no_result"), ("1e300", "no_result"), ("9" * 6000, "no_id"), ("1.5", "bad_arguments"), ('"\\ud83d\\ude00"', "bad_arguments")])
+def test_odd_arguments(spark, argument, status):
+    """Deep nesting, half a surrogate pair, numbers that aren't finite or are huge: each call has a row, and lines are JSON."""
+    text = '<tool_call>{"id": "a", "name": "f", "arguments": {"x": %s}}</tool_call>' % argument
+    got = run(spark, [(1, 0, "assistant", text), (1, 1, "assistant", call("b")), (1, 2, "tool", result("b"))])
+    assert sorted((str(r.call_id), r.status) for r in got) == sorted([("None" if status == "no_id" else "a", status), ("b", "ok")])
+    for r in got:
+        if r.line:
+            json.loads(r.line, parse_constant=lambda x: pytest.fail(x))
+
+
+def test_odd_results_and_turns(spark):
+    far = (1 << 62) + 5
+    got = run(spark, [(1, far, "assistant", call("a")), (1, far + 1, "tool", '{"tool_call_id": "a", "content": {"v": NaN}}'), (1, -far, "assistant", call("b")),
+                      (1, 0, "tool", '{"tool_call_id": "b", "content": "\\udc00"}'), (1, 1, "tool", "[" * 100_000)])
+    assert sorted((str(r.call_id), r.status) for r in got) == [("None", "no_id"), ("a", "ok"), ("b", "ok")]
+    at = {r.call_id: r.order_at for r in got}
+    assert at["b"] < 0 < at["a"]
+
+
+def test_duplicates_keep_their_own_arguments(spark):
+    rows = [(1, 0, "assistant", call("a", 1)), (1, 1, "assistant", call("a", -7)), (1, 2, "assistant", call("a", 3, name="g")), (1, 2, "tool", result("a"))]
+    rows += [(1, 0, "assistant", call("a", 1))] * 2 + [(1, 3, "assistant", '<tool_call>{"id": "a", "name": "f", "arguments": {"x": NaN}}</tool_call>')]
+    got = run(spark, rows)
+    first = [r for r in got if r.status == "ok"]
+    again = sorted((r.order_at >> 20, r.faults) for r in got if r.status == "duplicate_id")
+    assert len(first) == 1 and json.loads(first[0].line)["arguments"] == {"x": 1}
+    assert again == [(0, []), (0, []), (1, ["$.x: out of range"]), (2, []), (3, ["$: not json"])]
+
+
 def test_order(spark):
     """A chain told backwards, a call that waits for a later one and is waited for, a circle, and a call behind it."""
     rows = [(1, i, "assistant", call(f"c{i}", i, [f"c{i + 1}"] if i < 6 else [])) for i in range(7)]
