@@ -92,7 +92,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(as_tool_messages(table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
-@query("op11_collocations")
+@query("op11_collocations", sql.COLLOCATIONS)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.collocations import mine_collocations
     return mine_collocations(table(spark, sf_dir, "documents"))
@@ -104,7 +104,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024)
 
 
-@query("op13_merkle_manifest")
+@query("op13_merkle_manifest", sql.MERKLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perflog.llm.merkle import manifest_check
     return manifest_check(table(spark, sf_dir, "documents"))

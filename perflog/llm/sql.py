@@ -55,3 +55,65 @@ c as (select x, min(doc_id) as component_id from reach join w on w.id = reach.y
 select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, case when n.n is null then doc_id else component_id end as component_id
 from w left join n using (id) left join c on c.x = w.id
 """
+
+COLLOCATIONS = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+n as (select lang, sum(len(ws)) as n from w group by lang),
+g as (select lang, m, array_to_string(ws[i:i + m - 1], ' ') as phrase
+      from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from w, range(1, 6) r(m) where len(ws) >= m)),
+f as (select lang, m, phrase, count(*) as a from g group by all having count(*) >= 100),
+p as (select lang, m, phrase, a, string_split(phrase, ' ') as ws from f where m > 1),
+c as (select lang, phrase, a, k, array_to_string(ws[1:k], ' ') as x, array_to_string(ws[k + 1:], ' ') as y
+      from (select *, unnest(range(1, m)) as k from p)),
+s as (select c.lang, c.phrase, c.a, c.k, l.a as l, r.a as r, n.n, cast(1000 as hugeint) * c.a * n.n // (cast(l.a as hugeint) * r.a) as score
+      from c join f l on c.lang = l.lang and c.x = l.phrase join f r on c.lang = r.lang and c.y = r.phrase join n on c.lang = n.lang),
+b as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as best from s) where best = 1),
+o as (select lang, phrase, max(a) as most from (
+        select lang, a, array_to_string(ws[i:i + j - 1], ' ') as phrase from (
+          select *, unnest(range(1, m - j + 2)) as i from (select *, unnest(range(2, m)) as j from p where m > 2))) group by all),
+k as (select b.* from b left join o using (lang, phrase) where most is null or 100 * most < 100 * b.a),
+t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from k)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from t where rank <= 2000
+"""
+
+
+def _field(c: str) -> str:
+    return f"case when {c} is null then '-' else strlen(cast({c} as varchar)) || ':' || cast({c} as varchar) end"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+_CRC = """xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+
+def _levels(name: str, leaves: str) -> str:
+    return f"""{name}(k, level, i, d, n) as (select k, 0, i, d, n from {leaves} union all
+  select k, level + 1, i // 3, sha256(string_agg(d, '' order by i)), any_value((n + 2) // 3) from {name} where n > 1 group by k, level, i // 3)"""
+
+
+def _path(rows: str, nodes: str) -> str:
+    return f"""select x.id, t.level, coalesce(string_agg(t.d, '' order by t.i) filter (where t.i < x.i // pow(3, t.level)::bigint), '') as before,
+  coalesce(string_agg(t.d, '' order by t.i) filter (where t.i > x.i // pow(3, t.level)::bigint), '') as after
+from {rows} x join {nodes} t on x.k = t.k and t.n > 1 and t.i // 3 = x.i // pow(3, t.level + 1)::bigint group by x.id, t.level"""
+
+
+MERKLE = f"""
+with recursive h as (select row_number() over () as id, doc_id, coalesce('=' || source, '-') as k, {_leaf('text')} as leaf,
+        case when doc_id is not null and {_CRC} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} else {_leaf('text')} end as claimed from documents),
+v as (select *, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as i, leaf as d, count(*) over (partition by k) as n from h),
+{_levels('t', 'v')},
+s as (select row_number() over (order by k) as id, '' as k, k as source, row_number() over (order by k) - 1 as i, d, count(*) over () as n from t where n = 1),
+{_levels('u', 's')},
+a as ({_path('v', 't')}), b as ({_path('s', 'u')}),
+q as (select a.id, level as step, before, after from a union all
+      select v.id, 1000 + level, before, after from v join s on v.k = s.source join b on b.id = s.id),
+z as (select id, string_agg(before || after, '' order by step) as proof, list(before || '|' || after order by step) as steps from q group by id)
+select doc_id, leaf, s.d as subroot, w.d as root, sha256(coalesce(proof, '')) as proof_sha256,
+  list_reduce(list_prepend(claimed, coalesce(steps, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) as folded_root,
+  folded_root = w.d as verified
+from v join s on v.k = s.source left join z on v.id = z.id, (select d from u where n = 1) w
+"""
