@@ -32,7 +32,10 @@ def main():
     spark = local_session(cpus, cpus * 2, app="perflog-bench", extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="perflog-bench-")})
     from perflog.plans.registry import all_queries
     times = {}
-    for name, q in all_queries().items():
+    registered = all_queries()
+    # the first query of a session pays for classes and compilers: one that isn't counted goes before
+    registered["season_means"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    for name, q in registered.items():
         if only and name not in only:
             continue
         runs = []

@@ -29,24 +29,6 @@ def latest_per_entity(df: DataFrame, keys: list[str], order_col: str, offset: in
               .filter(F.col("__rk") == offset + 1).drop("__rk"))
 
 
-def top_k(df: DataFrame, by: str, k: int, normalise: bool = False, within: list[str] | None = None,
-          out: str = "rank") -> DataFrame:
-    """Top-k by ``by`` (descending) with rank and running share.
-
-    Ranking is done per ``within`` group (e.g. per model) -- never as one
-    un-partitioned window over data-sized input.  With ``normalise`` the value
-    is divided by the group maximum.
-    """
-    within = within or []
-    w = Window.partitionBy(*within).orderBy(F.col(by).desc(), *[F.col(c) for c in df.columns if c != by][:1])
-    df = df.withColumn(out, F.row_number().over(w))
-    if normalise:
-        mx = F.max(by).over(Window.partitionBy(*within))
-        df = df.withColumn(f"{by}_norm", F.when(mx > 0, F.col(by) / mx))
-    df = df.withColumn(f"cum_{by}", F.sum(by).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df if k is None or k <= 0 else df.filter(F.col(out) <= k)
-
-
 def union_seasons(frames: list[DataFrame]) -> DataFrame:
     """H1: concatenate per-season frames whose schemas differ (missing -> null)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

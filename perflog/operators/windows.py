@@ -234,19 +234,3 @@ def zscore(df: DataFrame, cols: list[str], spec: LogSpec, suffix: str = "_ZSCORE
     out = with_entity_stats(df, spec.keys(per_season), **aggs)
     return out.withColumns({c + suffix: F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}"))
                             for c in cols}).drop(*aggs)
-
-
-def zscore_global(df: DataFrame, cols: list[str], suffix: str = "_ZSCORE") -> DataFrame:
-    """Whole-frame z-score.  The two moments per column come from one
-    partial-aggregated pass (a scalar result, not data) and are inlined as
-    literals, so no un-partitioned window and no join is needed."""
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}")]
-    row = df.agg(*aggs).first()
-    out = {}
-    for c in cols:
-        m, s = row[f"m_{c}"], row[f"s_{c}"]
-        out[c + suffix] = ((F.col(c) - F.lit(m)) / F.lit(s)) if (s is not None and s > 0) \
-            else F.lit(None).cast("double")
-    return df.withColumns(out)

@@ -4,18 +4,24 @@
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from perflog.functions import calendar as cal
+from perflog.functions import parsing as P
 from perflog.operators import clean as C
 from perflog.operators.ranking import latest_per_entity, union_seasons
+from perflog.operators.seasons import next_season_row
+from perflog.operators.windows import zscore
 from perflog.plans import training as TR
 from perflog.plans.bindings import BOX, BOX_SQL, box_scores
 from perflog.plans.cleaning import player_log_clean, team_log_clean
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, prior_avg, r4, roll_avg, rows
-from perflog.sources.tables import DRIVER_SCHEMAS, read_table, read_where
+from perflog.session import checkpoint_dir
+from perflog.sources.store import read_through
+from perflog.sources.tables import DRIVER_SCHEMAS, exists, read_table, read_where
 from perflog.spec import LogSpec
 
 RAW = LogSpec(entity="l_suppkey", time="GAME_DATE", tie=("l_orderkey", "l_linenumber", "l_partkey"), outcome="WL")
@@ -166,3 +172,82 @@ def latest_season(spark, sf_dir):
     now = cal.current_season(_dt.date(1998, 8, 2), "year")
     return latest_per_entity(y, ["o_custkey"], "season").join(second, "o_custkey", "left").select(
         "o_custkey", "season", "games", "second_season", (F.col("season") >= now).alias("is_current"))
+
+
+# ----------------------------------------------------------------- next_season_row
+_SEASONS = ["PTS", "MIN", "AST"]
+
+
+@register("next_season_row", "I14 G3 E1", f"""
+with b as ({BOX_SQL}), s as (select l_suppkey, year(l_shipdate) as season, count(*) as games, {', '.join(f"avg({c}) as {c}" for c in _SEASONS)} from b group by all),
+r as (select *, row_number() over w as i, count(*) over (partition by l_suppkey) as n, lag(PTS, 1) over w as before from s
+      window w as (partition by l_suppkey order by season))
+select l_suppkey, cast(season as int) as latest_season, games, cast(i + 20 as int) as age, cast(i as int) as experience, {', '.join(f"{R4(c)} as prev_{c.lower()}" for c in _SEASONS)},
+  {R4('case when i >= 2 then PTS - before else 0.0 end')} as trend, {R4('case when i = 1 then PTS else (PTS + before) / 2 end')} as two_season_avg
+from r where i = n
+""")
+def next_season_row_q(spark, sf_dir):
+    """Every supplier's row for the season after its latest one."""
+    b = box_scores(spark, sf_dir).withColumn("year", F.year("l_shipdate"))
+    seasons = b.groupBy("l_suppkey", "year").agg(F.count(F.lit(1)).alias("GAMES_PLAYED"), *[F.avg(c).alias(c) for c in _SEASONS])
+    out = next_season_row(seasons, "l_suppkey", "year", _SEASONS, "PTS")
+    return out.select("l_suppkey", F.col("year").cast("int").alias("latest_season"), F.col("GAMES_PLAYED").alias("games"), F.col("AGE").alias("age"),
+                      F.col("EXPERIENCE").alias("experience"), *[r4(f"PREV_SEASON_{c}").alias(f"prev_{c.lower()}") for c in _SEASONS],
+                      r4("SEASON_TREND").alias("trend"), r4("PREV_PTS_2YR_AVG").alias("two_season_avg"))
+
+
+# ----------------------------------------------------------------- numeric_zscores
+_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("numeric_zscores", "B14 D19", "select l_orderkey, l_linenumber, l_partkey, " + ", ".join(
+    R4(f"case when stddev_samp({c}) over (partition by l_suppkey) > 0 then ({c} - avg({c}) over (partition by l_suppkey)) / stddev_samp({c}) over (partition by l_suppkey) end")
+    + f" as {c}_z" for c in _NUMERIC) + " from lineitem")
+def numeric_zscores(spark, sf_dir):
+    """All numeric columns of a log, found by its schema without keys, dates and numbers of lines, scaled by entity."""
+    li = read_table(spark, sf_dir, "lineitem")
+    cols = C.zscore_columns(li, ("key", "date", "linenumber"))
+    out = zscore(li.select("l_suppkey", *KEYS, *cols), cols, BOX)
+    return out.select(*KEYS, *[r4(f"{c}_ZSCORE").alias(f"{c}_z") for c in cols])
+
+
+# ----------------------------------------------------------------- null_profile_change (B1 before and after)
+@register("null_profile_change", "B1 B2 B4", f"""
+with {_RAW_SQL.replace("case when l_returnflag = 'A' then 'UNK' when", "case when l_returnflag = 'A' then null when").replace("case when l_linenumber = 2 then 'UNK' else 'S'", "case when l_linenumber = 2 then null else 'S'")}
+select 'PTS' as column_name, count(*) filter (where r.PTS is null) as nulls_before, (select count(*) from b where PTS is null) as nulls_after from r
+union all select 'FTA', count(*) filter (where r.FTA is null), (select count(*) from b where FTA is null) from r
+union all select 'MATCHUP', count(*) filter (where r.MATCHUP is null), 0 from r
+""")
+def null_profile_change(spark, sf_dir):
+    """Nulls by column before and after cleaning a raw log."""
+    raw = raw_log(spark, sf_dir)
+    before = raw.withColumns({c: P.nan_to_null(P.to_double(c)) for c in ("PTS", "FTA")})
+    after = player_log_clean(raw, RAW)
+    return C.null_profile_change(before, after, ["PTS", "FTA", "MATCHUP"]).withColumnRenamed("column", "column_name")
+
+
+# ----------------------------------------------------------------- stored_seasons
+@register("stored_seasons", "A11 A13 E8", """
+with s as (select year(o_orderdate) as season, count(*) as games, max(o_orderdate) as last from orders group by 1)
+select cast(season as int) as season, games, epoch_us(last) as last_us, cast(games > 0 as boolean) as present from s
+union all select 1900, 0, 0, false
+""")
+def stored_seasons(spark, sf_dir):
+    """A table of seasons built once and read back on the next call, with an existence test of each season and of one that isn't there."""
+    path = f"{checkpoint_dir(spark)}/seasons-{uuid.uuid4().hex}"
+    calls = []
+
+    def build():
+        calls.append(1)
+        o = read_table(spark, sf_dir, "orders")
+        return o.groupBy(F.year("o_orderdate").alias("season")).agg(F.count(F.lit(1)).alias("games"), F.max("o_orderdate").alias("last")).coalesce(1)
+
+    read_through(spark, path, build)
+    stored = read_through(spark, path, build)  # not built again
+    if len(calls) != 1:
+        raise RuntimeError("the stored table was built twice")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    rows = stored.select("season", "games", F.timestamp_diff("MICROSECOND", epoch, "last").alias("last_us"), F.lit(True).alias("present"))
+    missing = exists(stored, F.col("season") == 1900)
+    gone = stored.limit(1).select(F.lit(1900).alias("season"), F.lit(0).cast("long").alias("games"), F.lit(0).cast("long").alias("last_us"), F.lit(missing).alias("present"))
+    return rows.unionByName(gone)

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries that fit a model, or read a bound from the data, while they are built.
 EAGER = {"rf_team_win", "gbt_season_points", "next_season_forecast", "feature_importance", "retrain_top_features", "recent_window",
          "points_information", "player_game_chain", "next_game_vector", "upsert_stored", "landing_players", "landing_quality",
-         "landing_info"}
+         "landing_info", "stored_seasons"}
 
 
 def plan(df):
