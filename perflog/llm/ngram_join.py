@@ -10,7 +10,7 @@ prefix shingles in common. Neighbours and the first of each remaining posting li
 candidate group pairs, expanded to their members and verified on the full sets; links give
 components. Then classes of different components that shared shingles connect, directly or not,
 or that are one group, are a family. Families are cut into blocks by size; each two blocks near in size meet, pairs of different
-components are filtered by the number of shingles their prefixes share, and verified, so no link between
+components are filtered by bounds from parity bitmaps of their sets, and verified on the full sets, so no link between
 components is lost, while copies within a component need not meet in pairs.
 
 Frequent shingles go by an aggregate and a split join, all others have bounded lists. Links
@@ -37,10 +37,8 @@ from perflog.llm.words import LOWER, SPACE, U, Words, mix
 COUNTERS = 1 << 22
 #: Share of a set that is its prefix, in percent (20 would do for similarity 0.8; more shared shingles prune groups).
 PREFIX = 25
-#: Classes in a block of a family, columns of a 0/1 matrix, and sets of which a key makes no column.
-BLOCK, COLUMNS, FEW = 512, 1 << 11, 12
-#: Keys (4 bytes each) in a block, and in a bundle of meetings.
-BLOCK_KEYS, BUNDLE_KEYS = 1 << 18, 1 << 20
+#: Classes in a block of a family; keys in a block, and in a bundle of meetings (a byte of map each at most).
+BLOCK, BLOCK_KEYS, BUNDLE_KEYS = 512, 1 << 20, 1 << 22
 #: Numbers that a task remembers to emit most groups but once.
 REMEMBERED = 1 << 20
 #: Ranges of counters that the sketch is dealt by, and shingles that a task gathers before it sends a part.
@@ -204,7 +202,7 @@ def near_size(a: str, b: str, t: int) -> Column:
 
 
 def full_sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, k: int, level, short: bool = False) -> DataFrame:
-    """c and keys (the full ordered set; its low 32 bits if ``short``) of the classes in ``ends`` (c). Only texts of those classes are
+    """c and keys (the full ordered set; its parity map if ``short``) of the classes in ``ends`` (c). Only texts of those classes are
     made sets again."""
     spark = docs.sparkSession
     texts = stage(few(rows.join(ends, "c").groupBy("c").agg(F.min("__th").alias("th"))), "ends")
@@ -222,7 +220,7 @@ def full_sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, k: int, level,
                     this = set_id(x) if len(x) else 0
                     if len(x) and met.new(this):
                         c.append(this)
-                        blob.append((x.astype("<u4") if short else x).tobytes())
+                        blob.append(parity_map(x) if short else x.tobytes())
                 if c:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(blob, pa.binary())], ["c", "keys"])
 
@@ -250,67 +248,58 @@ def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, t: int, l
     return both.mapInArrow(compare, "a long, b long")
 
 
-def common(sets: list[np.ndarray], cut: int) -> np.ndarray:
-    """Sizes of the intersections of the first ``cut`` sets with the others (if ``cut`` is 0, of all with all later ones).
+def parity_map(keys: np.ndarray) -> bytes:
+    """The set as bits: a bit is set where an odd number of keys falls on it. Two maps differ in at most as many bits as their
+    sets differ in keys. There are four bits a key at least, a power of two in all."""
+    size = max(9, int(4 * len(keys) - 1).bit_length())
+    return np.packbits(np.bincount((mix(keys) >> U(64 - size)).astype(np.int64), minlength=1 << size) & 1).tobytes()
 
-    Keys of a few sets add to their pairs one by one; only keys of many sets make columns of a 0/1 matrix."""
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    top, rest = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
-    out = np.zeros((cut or len(sets), len(sets) - cut), np.float32)
-    few = (count[code] > 1) & (count[code] <= FEW)
-    order = np.lexsort((row[few], code[few]))
-    key, of = code[few][order], row[few][order]
-    for step in range(1, FEW):
-        i, j = of[:-step], of[step:]
-        ok = (key[:-step] == key[step:]) & (i != j)
-        if cut:
-            ok &= (i < cut) & (j >= cut)
-        if not ok.any():
-            continue
-        out += np.bincount(i[ok] * out.shape[1] + j[ok] - cut, minlength=out.size).reshape(out.shape)
-    number = np.cumsum(count > FEW) - 1
-    many = count[code] > FEW
-    row, col = row[many], number[code[many]]
-    for lo in range(0, int((count > FEW).sum()), COLUMNS):
-        here = (col >= lo) & (col < lo + COLUMNS)
-        x = np.zeros((len(sets), COLUMNS), np.float32)
-        x[row[here], col[here] - lo] = 1
-        out += x[top] @ x[rest].T
-    return out
-
-
-def block_links(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], second: np.ndarray, t: int) -> list[tuple[int, int]]:
-    """Links between classes of different components: of two blocks (``second`` tells which), or within one block.
-
-    Pairs are filtered by size, by the shingles that their prefixes share, and by those that their sets share. Keys of 32 bits can
-    only add to what sets share, but for keys that are equal within a set, which are allowed for: no link is lost."""
+
+def block_links(ids: np.ndarray, parts: np.ndarray, n: np.ndarray, maps: list[bytes], second: np.ndarray, t: int) -> list[tuple[int, int]]:
+    """Pairs of classes of different components that may reach the similarity: of two blocks (``second`` tells which), or within one.
+
+    What two sets share is bounded by their sizes and by the bits in which their maps differ, first on maps that are folded to an
+    eighth and for all pairs at once, then on whole maps for the pairs left. The bound only errs upwards, so no link is lost."""
     order = np.argsort(second, kind="stable")
-    ids, parts, sets = ids[order], parts[order], [sets[i] for i in order]
+    ids, parts, n, maps = ids[order], parts[order], n[order].astype(np.int64), [np.frombuffer(maps[i], np.uint8) for i in order]
     cut = int((~second).sum()) if second.any() else 0
     top, rest = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
-    n = np.array([len(x) for x in sets])
-    same = n - np.array([len(np.unique(x)) for x in sets])
-    same = np.maximum(same[top][:, None], same[rest][None, :])
-    prefix = np.minimum(n, n * PREFIX // 100 + 1)
-    total = n[top][:, None] + n[rest][None, :]
     may = (parts[top][:, None] != parts[rest][None, :]) & (
         100 * np.minimum(n[top][:, None], n[rest][None, :]) >= t * np.maximum(n[top][:, None], n[rest][None, :]))
     if not cut:
         may = np.triu(may, 1)
     if not may.any():
         return []
-    left = np.maximum((n - prefix)[top][:, None], (n - prefix)[rest][None, :])
-    may &= common([x[:p] for x, p in zip(sets, prefix)], cut) + same >= np.maximum(1, -(-t * total // (100 + t)) - left)
-    if not may.any():
-        return []
-    shared = common(sets, cut) + same
-    i, j = np.nonzero(may & (100 * shared >= t * (total - shared)))
-    return list(zip(ids[top][i].tolist(), ids[rest][j].tolist()))
+    width = min(map(len, maps)) * 8
+    bits = np.zeros((len(maps), width), np.uint8)
+    for i, x in enumerate(maps):
+        x = np.unpackbits(x)
+        while len(x) > width:  # neighbours fall together
+            x = x[0::2] ^ x[1::2]
+        bits[i] = x
+
+    def reach(total, differ):
+        most = (total - differ) // 2
+        return 100 * most >= t * (total - most)
+
+    few = bits
+    while few.shape[1] > max(512, width // 8):
+        few = few[:, 0::2] ^ few[:, 1::2]
+    few = 1 - 2 * few.astype(np.float32)
+    may &= reach(n[top][:, None] + n[rest][None, :], ((few.shape[1] - few[top] @ few[rest].T) / 2).astype(np.int64))
+    i, j = np.nonzero(may)
+    j = j + cut
+    whole = np.packbits(bits, axis=1)
+    ok = np.zeros(len(i), bool)
+    step = max(1, (1 << 24) // whole.shape[1])
+    for lo in range(0, len(i), step):
+        x, y = i[lo:lo + step], j[lo:lo + step]
+        ok[lo:lo + step] = reach(n[x] + n[y], np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1, dtype=np.int64))
+    return list(zip(ids[i[ok]].tolist(), ids[j[ok]].tolist()))
 
 
 def meetings(nodes: DataFrame, t: int) -> DataFrame:
-    """c, part, at (a meeting of two blocks, or of one with itself), second and bundle of every class in every meeting, from nodes
+    """c, n, part, at (a meeting of two blocks, or of one with itself), second and bundle of every class in every meeting, from nodes
     (family, part, c, n).
 
     A family of any size is cut into blocks of about BLOCK classes of like size and BLOCK_KEYS keys, large components apart from
@@ -341,22 +330,22 @@ def meetings(nodes: DataFrame, t: int) -> DataFrame:
     sizes = nodes.groupBy("family", "block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("keys"))
     sent, keys = roles.join(sizes, ["family", "block"]).agg(F.sum("m"), F.sum("keys")).first()
     bundles = max(1, -(-(sent or 0) // (2 * BLOCK)), -(-(keys or 0) // BUNDLE_KEYS))
-    return nodes.join(roles, ["family", "block"]).select("c", "part", "at", "second", F.pmod("at", F.lit(bundles)).alias("bundle"))
+    return nodes.join(roles, ["family", "block"]).select("c", "n", "part", "at", "second", F.pmod("at", F.lit(bundles)).alias("bundle"))
 
 
 def verify_families(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, t: int, level) -> DataFrame:
-    """Links (a, b) between different components of one family, from nodes (family, part, c, n), still to be verified on full keys;
-    the blocks of every meeting are compared in a task, and only links come out."""
+    """Pairs (a, b) of classes of different components of one family that may be links, from nodes (family, part, c, n), still to be
+    verified on full sets; the blocks of every meeting are compared in a task by their sets' maps."""
     sent = meetings(nodes, t).join(full_sets(docs, rows, nodes.select("c").distinct(), k, level, short=True), "c")
 
     def go(key, table):
         table = table.sort_by("at")
         at = table.column("at").to_numpy()
-        c, part, second = (table.column(x).to_numpy() for x in ("c", "part", "second"))
-        keys = table.column("keys").combine_chunks()
+        c, n, part, second = (table.column(x).to_numpy() for x in ("c", "n", "part", "second"))
+        maps = table.column("keys").to_pylist()
         out = []
         for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]]))):
-            out += block_links(c[lo:hi], part[lo:hi], [np.frombuffer(x.as_buffer(), "<u4") for x in keys[lo:hi]], second[lo:hi].astype(bool), t)
+            out += block_links(c[lo:hi], part[lo:hi], n[lo:hi], maps[lo:hi], second[lo:hi].astype(bool), t)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return sent.groupBy("bundle").applyInArrow(go, "a long, b long")

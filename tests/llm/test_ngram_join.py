@@ -79,6 +79,26 @@ def test_bundles_of_a_wide_family_are_bounded(spark, monkeypatch):
     assert sum(r["count"] for r in sent) > 60_000 and max(r["count"] for r in sent) <= 32 * 8
 
 
+def test_bounds_from_maps_lose_no_link():
+    """Sets of many sizes around the similarity, in one block or two: every link is among the pairs left, and pairs far off are not."""
+    import numpy as np
+    from perflog.llm.ngram_join import block_links, parity_map
+    rng = np.random.default_rng(1)
+    for trial in range(200):
+        base = rng.integers(0, 2 ** 63, rng.integers(3, 900)).astype(np.uint64)
+        sets = []
+        for _ in range(12):
+            x, k = base.copy(), rng.integers(0, len(base) // 4 + 1)
+            x[rng.choice(len(x), k, replace=False)] = rng.integers(0, 2 ** 63, k).astype(np.uint64)
+            sets.append(np.unique(x[:rng.integers(len(x) * 3 // 4 + 1, len(x) + 1)]))
+        n = np.array([len(x) for x in sets])
+        second = np.arange(12) >= 5 if trial % 2 else np.zeros(12, bool)
+        share = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(12) for j in range(i + 1, 12) if not trial % 2 or i < 5 <= j}
+        got = {(min(p), max(p)) for p in block_links(np.arange(12), np.arange(12), n, [parity_map(x) for x in sets], second, 80)}
+        assert {p for p, s in share.items() if 100 * s >= 80 * (n[p[0]] + n[p[1]] - s)} <= got <= set(share)
+        assert not any(len(base) > 200 and 100 * share[p] < 65 * (n[p[0]] + n[p[1]] - share[p]) for p in got)
+
+
 def test_bundles_of_long_texts_are_bounded(spark):
     """Sets of 20 000 shingles: what a bundle holds goes by their keys, not by their number."""
     from perflog.llm import ngram_join
