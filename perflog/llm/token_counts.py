@@ -4,7 +4,8 @@ A text falls into pre-tokens by the vocabulary's own pattern. The pre-tokens not
 worker are held together as one flat numpy array of symbol ids with a sequence number
 each. One step finds every sequence's lowest-rank neighbouring pair and merges all of
 that pair's places in all sequences at once; steps go on until no pair has a rank. What
-is left in a sequence is its token count, which is kept by pre-token.
+is left in a sequence is its token count, which is kept by pre-token. A long pre-token (a key, a script
+without blanks) is merged rank by rank as well, but alone and by lists of places.
 
 Null text counts as empty: 0 bytes, 0 tokens. The special string of the vocabulary is one
 token, as the library's default has it. Rows are handled one by one, so repeated rows,
@@ -13,6 +14,7 @@ ties and extra columns change nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 
@@ -34,6 +36,10 @@ PIECE = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 REMEMBERED = 1_000_000
 
 
+#: Bytes from which a pre-token is merged alone.
+LONG = 1 << 11
+
+
 def byte_symbols() -> dict[int, str]:
     """Symbol of each byte in byte-level vocabularies: printable bytes stand for themselves,
     the others for code points from 256 up."""
@@ -54,6 +60,7 @@ class Merger:
         new = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(code, kind="stable")
         self.code, self.rank, self.new = code[order], np.arange(len(code))[order], new[order]
+        self.row_of = np.argsort(self.rank)
         self.byte_id = np.array([vocab[s] for _, s in sorted(byte_symbols().items())], np.int64)
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t["special"]]
         self.seen: dict[str, int] = {}
@@ -86,11 +93,66 @@ class Merger:
             sym, seq = sym[keep], seq[keep]
         return left
 
+    def count_long(self, seq: bytes) -> int:
+        """The same for one long sequence. Places are kept by the rank of their pair, and a step touches only the places of the
+        lowest rank and their neighbours, so the work follows the merges and not steps times symbols."""
+        sym = self.byte_id[np.frombuffer(seq, np.uint8)].astype(np.int64)
+        end, none = len(sym), len(self.code)
+        after, before = np.arange(1, end + 1), np.arange(-1, end - 1)
+        live = np.ones(end, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(p: np.ndarray) -> None:
+            """Places of pairs, under the rows of the table that their pairs have."""
+            pair = (sym[p] << 32) | sym[after[p]]
+            at = np.minimum(np.searchsorted(self.code, pair), none - 1)
+            known = self.code[at] == pair
+            p, rank = p[known], self.rank[at[known]]
+            order = np.argsort(rank, kind="stable")
+            p, rank = p[order], rank[order]
+            edge = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1], [True]])) if len(p) else []
+            for a, b in zip(edge[:-1], edge[1:]):
+                r = int(rank[a])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(queue, r)
+                places[r].append(p[a:b])
+
+        put(np.arange(end - 1))
+        while queue:
+            r = heapq.heappop(queue)
+            p = np.unique(np.concatenate(places.pop(r)))
+            row = self.row_of[r]
+            left, right = self.code[row] >> 32, self.code[row] & 0xFFFFFFFF
+            p = p[live[p] & (after[p] < end) & (sym[p] == left)]
+            p = p[sym[after[p]] == right]
+            if left == right and len(p):
+                # of overlapping places the first, third, ... merge
+                start = np.concatenate([[True], after[p[:-1]] != p[1:]])
+                k = np.arange(len(p))
+                p = p[(k - np.maximum.accumulate(np.where(start, k, 0))) % 2 == 0]
+            if not len(p):
+                continue
+            q = after[p]
+            live[q] = False
+            sym[p] = self.new[row]
+            after[p] = after[q]
+            inside = after[p] < end
+            before[after[p[inside]]] = p[inside]
+            put(np.unique(np.concatenate([before[p][before[p] >= 0], p[inside]])))
+        return int(live.sum())
+
     def learn(self, pieces: set[str]) -> None:
         """Count the pre-tokens of pieces not met before."""
         parts = [(p, PRETOKEN.findall(p)) for p in pieces]
         flat = [s.encode() for _, x in parts for s in x]
-        n = self.counts(flat) if flat else np.zeros(0, np.int64)
+        long = [i for i, s in enumerate(flat) if len(s) > LONG]
+        n = np.zeros(len(flat), np.int64)
+        if len(flat) > len(long):
+            n[np.setdiff1d(np.arange(len(flat)), long)] = self.counts([s for s in flat if len(s) <= LONG])
+        for i in long:
+            n[i] = self.count_long(flat[i])
         edge = np.cumsum([0, *(len(x) for _, x in parts)])
         total = np.concatenate([[0], np.cumsum(n)])
         self.seen.update(zip((p for p, _ in parts), (total[edge[1:]] - total[edge[:-1]]).tolist()))

@@ -154,3 +154,25 @@ def test_empty_tables_and_clashing_columns(spark):
     for run in runs:
         assert run(empty).collect() == []
         assert len(run(clash).collect()) == 1
+
+
+def test_long_words(spark):
+    """Words of many letters, repeats and other scripts against the library; a megabyte without a blank takes seconds."""
+    import random
+    import time
+    from perflog.llm.queries import vocabulary
+    from perflog.llm.token_counts import merger
+    from tokenizers import Tokenizer
+    path = vocabulary("byte_bpe_50k.json")
+    tok, m, rng = Tokenizer.from_file(path), merger(path), random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (1, 2, 3, 50, 3000, 20_000)]
+    words += ["a" * n for n in (2049, 2050, 5001)] + ["ab" * 3000, "aab" * 2000, "日本語" * 1500, "".join(rng.choice("aaab") for _ in range(6000)),
+                                                    "".join(rng.choice("thein") for _ in range(9000)), "0" * 4000, "=" * 4097]
+    for w in words:
+        assert m.count_long(w.encode()) == len(tok.encode(w, add_special_tokens=False).ids), w[:20]
+    assert m.batch([" ".join(words), words[-1] + "\n" + words[5]]) == [len(tok.encode(t, add_special_tokens=False).ids)
+                                                                      for t in (" ".join(words), words[-1] + "\n" + words[5])]
+    t = time.perf_counter()
+    m.count_long("".join(rng.choice(letters) for _ in range(1_000_000)).encode())
+    assert time.perf_counter() - t < 60
