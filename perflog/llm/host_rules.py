@@ -4,7 +4,9 @@ Text figures are counted once per document and stored without texts. Rule failur
 summed by host (map-side first, so a hot host ships one row per task). For every rule an
 empirical beta prior is fitted to the hosts' rates by the method of moments; a host's
 posterior mean shrinks its rate towards the prior, the more so the fewer documents it has.
-A host is rejected where the posterior mean of failing any base rule exceeds ``host_limit``.
+Every rule, and the base rules taken together, has a limit of its own, relative to the fitted prior: ``factor`` times
+the prior's mean, but ``floor`` at least and ``ceiling`` at most. A host is rejected where any posterior mean
+exceeds its limit.
 The verdict joins back to the documents by host: the side of the hosts is an aggregate whose
 size Spark knows at run time, so it is broadcast where small and joined with split hot
 partitions where not.
@@ -72,8 +74,8 @@ def text_figures(docs: DataFrame, id_col: str, text_col: str, host_col: str) ->
         run, f"__id {kinds[0]}, __host {kinds[1]}, " + ", ".join(f"{n} long" for n in names))
 
 
-def host_rates(figures: DataFrame) -> DataFrame:
-    """Per host: documents, failures of every rule, and posterior mean rates under an empirical beta prior."""
+def host_rates(figures: DataFrame, factor: float, floor: float, ceiling: float) -> DataFrame:
+    """Per host: documents, posterior mean rates of every rule under an empirical beta prior, and whether all keep to their limits."""
     kinds = ("base", *RULES)
     hosts = figures.groupBy("__host").agg(F.count(F.lit(1)).alias("n_docs"),
                                           *[F.sum(F.col(f"fail_{r}").cast("long")).alias(f"n_{r}") for r in kinds])
@@ -88,16 +90,20 @@ def host_rates(figures: DataFrame) -> DataFrame:
         strength = F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), strength))
         return (F.col(f"n_{r}") + mean * strength) / (F.col("n_docs") + strength)
 
-    return joined.select("__host", "n_docs", *[posterior(r).alias(f"rate_{r}") for r in kinds])
+    rates = joined.select("__host", "n_docs", *[posterior(r).alias(f"rate_{r}") for r in kinds], *[f"mean_{r}" for r in kinds])
+    within = F.lit(True)
+    for r in kinds:
+        within = within & (F.col(f"rate_{r}") <= F.least(F.lit(ceiling), F.greatest(F.lit(floor), factor * F.col(f"mean_{r}"))))
+    return rates.withColumn("host_kept", within).drop(*[f"mean_{r}" for r in kinds])
 
 
 def apply_host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                      min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int = 10,
-                     max_line_percent: int = 30, host_limit: float = 0.5) -> DataFrame:
-    """Id, the text figures, base_failed, kept, and the host's posterior rates.
+                     max_line_percent: int = 30, factor: float = 4.0, floor: float = 0.2, ceiling: float = 0.5) -> DataFrame:
+    """Id, the text figures, base_failed, kept, and the host's posterior rates and verdict.
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of the words in repeated
-    3-word windows. Symbol and duplicate-line failures count for the host's rates only."""
+    3-word windows. Symbol and duplicate-line failures count for the host's rates only. kept: not base_failed, of a host that is kept."""
     ready(docs.sparkSession)
     f = text_figures(docs, id_col, text_col, host_col).withColumns({
         "fail_short": F.col("n_words") < min_words,
@@ -106,9 +112,9 @@ def apply_host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "fail_duplicate_lines": 100 * F.col("n_dup_lines") > max_line_percent * F.col("n_words"),
     }).withColumn("fail_base", F.col("fail_short") | F.col("fail_repeated"))
     f = stage(f, "text-figures")
-    hosts = host_rates(f)
+    hosts = host_rates(f, factor, floor, ceiling)
     out = f.join(hosts.withColumnRenamed("__host", "__of"), F.col("__host").eqNullSafe(F.col("__of")), "left")
     return out.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       F.col("fail_base").alias("base_failed"),
-                      (~F.col("fail_base") & (F.col("rate_base") <= host_limit)).alias("kept"),
+                      (~F.col("fail_base") & F.col("host_kept")).alias("kept"), "host_kept",
                       F.col("n_docs").alias("host_docs"), *[F.round(f"rate_{r}", 9).alias(f"host_rate_{r}") for r in ("base", *RULES)])

@@ -21,9 +21,10 @@ x as (select *, n_words < 50 as f_short, 100 * n_repeat_words > 50 * n_words as
         100 * n_dup_lines > 30 * n_words as f_duplicate_lines, n_words < 50 or 100 * n_repeat_words > 50 * n_words as f_base from f),
 h as (select source, count(*) as n_docs, {', '.join(f"cast(sum(cast(f_{k} as int)) as double) as n_{k}" for k in _RULES)} from x group by source),
 m as (select {', '.join(f"avg(n_{k} / n_docs) as mean_{k}, var_samp(n_{k} / n_docs) as var_{k}" for k in _RULES)} from h),
-p as (select source, n_docs, {', '.join(f"{_POSTERIOR.format(k)} as rate_{k}" for k in _RULES)}
-      from h, (select *, {', '.join(_STRENGTH.format(k) for k in _RULES)} from m))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base as base_failed, not f_base and rate_base <= 0.5 as kept,
+p as (select *, {' and '.join(f"rate_{k} <= least(0.5, greatest(0.2, 4 * mean_{k}))" for k in _RULES)} as host_kept from (
+      select source, n_docs, {', '.join(f"{_POSTERIOR.format(k)} as rate_{k}, mean_{k}" for k in _RULES)}
+      from h, (select *, {', '.join(_STRENGTH.format(k) for k in _RULES)} from m)))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base as base_failed, not f_base and host_kept as kept, host_kept,
   n_docs as host_docs, {', '.join(f"round(rate_{k}, 6) as host_rate_{k}" for k in _RULES)}
 from x join p on x.source is not distinct from p.source
 """

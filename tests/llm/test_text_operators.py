@@ -51,6 +51,28 @@ def test_host_verdict_reaches_documents(spark):
     assert 0.5 < a.host_rate_base < 39 / 40  # shrunk towards the prior
 
 
+def test_every_rule_can_reject_a_host(spark):
+    """A host that turns to symbols, or to repeated lines, loses its clean documents too; one with a few such documents doesn't."""
+    from perflog.llm.host_rules import apply_host_rules
+    word = lambda k: " ".join("w%dx%d" % (k, i) for i in range(60))
+    symbols, lines = (lambda k: word(k) + " ####$$$$%%%%&&&&" * 6), (lambda k: word(k) + "\nsame line" * 40)
+    rows, odd = [], {"sym": symbols, "line": lines, "some": symbols}
+    for h in range(30):
+        rows += [("host%d" % h, word(k)) for k in range(20)]
+    for h, share in (("sym", 16), ("line", 16), ("some", 2)):
+        rows += [(h, odd[h](k) if k < share else word(k)) for k in range(20)]
+    df = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in apply_host_rules(df).collect()}
+    kept = {}
+    for i, (h, _) in enumerate(rows):
+        kept.setdefault(h, set()).add(got[i].host_kept)
+        assert got[i].kept == (got[i].host_kept and not got[i].base_failed)
+    assert {h for h, v in kept.items() if v == {False}} == {"sym", "line"} and all(len(v) == 1 for v in kept.values())
+    # a clean document of a host that turned
+    last = [i for i, (h, _) in enumerate(rows) if h == "sym"][-1]
+    assert not got[last].base_failed and not got[last].kept and 0.2 < got[last].host_rate_symbols < 0.8
+
+
 @pytest.mark.parametrize("which", ["odd", "real"])
 def test_window_dedup(which, request):
     from perflog.llm.window_dedup import remove_repeats
