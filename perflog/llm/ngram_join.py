@@ -104,14 +104,18 @@ def levels(docs: DataFrame, k: int) -> np.ndarray:
             for once, again, more in zip(*(b.column(b.schema.get_field_index(c)) for c in ("once", "again", "more"))):
                 acc[ungaps(once.as_buffer())] += 1
                 acc[ungaps(again.as_buffer())] += np.frombuffer(more.as_buffer(), "<u4")
-        yield pa.RecordBatch.from_pydict({"range": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([acc.astype("<i8").tobytes()], pa.binary())})
+        # a count beyond 32 bits is as frequent as one of 32 bits
+        yield pa.RecordBatch.from_pydict({"range": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([np.minimum(acc, 2 ** 32 - 1).astype("<u4").tobytes()], pa.binary())})
 
-    acc = np.zeros(COUNTERS, np.int64)
+    count, out = {}, np.zeros(COUNTERS, np.uint8)
     for r in docs.select("__text").mapInArrow(parts, "range int, once binary, again binary, more binary").groupBy("range").applyInArrow(
             add, "range int, n binary").toLocalIterator():
-        acc[r.range * width:(r.range + 1) * width] = np.frombuffer(bytes(r.n), "<i8")
-    often = acc >= 16 + 2 * acc.mean()
-    return np.where(often, np.log2(np.maximum(acc, 1)), 0).astype(np.uint8)
+        count[r.range] = np.frombuffer(bytes(r.n), "<u4")
+    least = 16 + 2 * sum(int(n.sum(dtype=np.int64)) for n in count.values()) / COUNTERS
+    for r, n in count.items():
+        often = np.flatnonzero(n >= least)
+        out[r * width + often] = np.log2(n[often]).astype(np.uint8)
+    return out
 
 
 class Met:
