@@ -15,6 +15,7 @@ from perflog.operators import windows as Wn
 from perflog.plans.bindings import BOX, BOX_SQL, EVENTS, ORDERS, box_scores, events_log, orders_log
 from perflog.operators.lookups import with_role_context
 from perflog.operators.stats import with_entity_stats
+from perflog.operators.split import in_pieces
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, W_EV, W_LI, r4, roll_avg
 
@@ -360,8 +361,8 @@ from c
 def prediction_adjust(spark, sf_dir):
     """Each row predicts the stat that its part number names, so every role and the default occur."""
     stat = F.element_at(F.array(*map(F.lit, ("PTS", "AST", "REB", "STL", "TOV"))), (F.col("l_partkey") % 5 + 1).cast("int"))
-    b = box_scores(spark, sf_dir).withColumns({
-        "raw": Wn.rolling_mean(F.col("l_extendedprice") / 1000, 5, BOX), "stat": stat})
+    b = box_scores(spark, sf_dir).select("l_suppkey", "l_shipdate", *KEYS, "MIN", (F.col("l_extendedprice") / 1000).alias("price"))
+    b = in_pieces(b, BOX, 5, lambda p: {"raw": Wn.rolling_mean("price", 5, p, True)}).withColumn("stat", stat)
     b = with_role_context(b, "stat")
     b = b.withColumn("adjustment_factors", PR.adjustment_factors("MIN", F.col("role"), "stat"))
     b = b.withColumns({"value": PR.adjusted_value("raw", F.col("adjustment_factors"), F.lit(True)),

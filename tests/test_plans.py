@@ -1,5 +1,7 @@
 """Plan-shape checks: the physical plans we want at scale."""
 
+import re
+
 import pytest
 
 from perflog.plans.registry import all_queries
@@ -53,6 +55,24 @@ def test_no_single_partition_windows(plans):
         assert "SinglePartition" not in plans[name][0], name
 
 
+#: Queries whose entity windows are bounded: the newest rows of an entity pass a group limit before they move, seasons are aggregates.
+BOUNDED = {"last_n", "season_lag_features", "season_trend", "latest_season", "next_season_row"}
+
+
+def test_no_window_over_a_whole_entity(spark):
+    """Ordered windows run by chunk, bucket, range or run of an entity, so a hot entity is many tasks."""
+    def specs(p):
+        children = p.children()
+        own = [p.partitionSpec().mkString(",")] if p.nodeName() == "Window" else []
+        return own + [x for i in range(children.size()) for x in specs(children.apply(i))]
+
+    for name, q in all_queries().items():
+        if name in EAGER | BOUNDED:
+            continue
+        for spec in specs(q.build(spark, SF)._jdf.queryExecution().optimizedPlan()):
+            assert not re.fullmatch(r"(l_suppkey|o_custkey|user_id)#\d+L?", spec), (name, spec)
+
+
 def test_recent_window_pushes_filter(spark):
     df = all_queries()["recent_window"].build(spark, SF)
     p = df._jdf.queryExecution().sparkPlan().toString()
