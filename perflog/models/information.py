@@ -123,6 +123,8 @@ def neighbour_information(counts: DataFrame, k: int = 3, pieces: int = PIECES, r
     m = within_distance(rows, used, pieces)
     rows = rows.join(m, ["feature", "value", "label"])
     own = F.when(F.col("distance") > 0, F.col("near")).otherwise(F.col("n"))
-    term = F.col("n") * (digamma(own) - digamma(F.col("m")) - digamma(F.col("size")))
+    # a distance below the value's precision is lost when it is added to it; the value's own rows are always within
+    m = F.greatest("m", "n")
+    term = F.col("n") * (digamma(own) - digamma(m) - digamma(F.col("size")))
     g = rows.groupBy("feature").agg(F.sum(term).alias("t"), F.sum("n").alias("total"))
     return g.select("feature", F.greatest(F.lit(0.0), F.col("t") / F.col("total") + digamma(F.col("total"))).alias("mutual_info"))

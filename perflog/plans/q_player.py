@@ -46,7 +46,7 @@ cu as (select feature, v, sum(t) over (partition by feature order by v) as upto
 g as (select q.feature, q.v, q.cls, q.n, q.size, q.near, ds.d, q.v + ds.d as hi, q.v - ds.d as lo from q join ds using (feature, cls, v)),
 gh as (select g.*, coalesce(cu.upto, 0) as below from g asof left join cu on g.feature = cu.feature and g.hi > cu.v),
 gl as (select gh.*, coalesce(cu.upto, 0) as upto from gh asof left join cu on gh.feature = cu.feature and gh.lo >= cu.v),
-gm as (select gl.*, case when d > 0 then below - upto else t end as m from gl join t using (feature, v)),
+gm as (select gl.*, greatest(n, case when d > 0 then below - upto else t end) as m from gl join t using (feature, v)),
 mi as (select feature, greatest(0.0, sum(n * ({digamma_sql('case when d > 0 then near else n end')} - {digamma_sql('m')} - {digamma_sql('size')})) / sum(n)
          + {digamma_sql('sum(n)')}) as mi from gm group by feature)"""
 

@@ -72,6 +72,15 @@ def test_information_of_a_gaussian_pair(spark):
     assert abs(I.neighbour_information(counts).first().mutual_info + math.log(1 - r * r) / 2) < 0.06
 
 
+def test_distances_below_the_precision_of_a_value(spark):
+    """1 and the number right below it differ by half of what can be added to 1."""
+    below = math.nextafter(1.0, 0.0)
+    rows = [(x, y) for x, y in ((1.0, 1.0), (below, 1.0), (below, 1.0), (3.0, 2.0), (4.0, 2.0), (5.0, 2.0)) for _ in range(1)]
+    for k in (1, 3):
+        got = I.neighbour_information(I.labelled_counts(spark.createDataFrame(rows, "x double, y double"), ["x"], "y", 2), k).first().mutual_info
+        assert got is not None and 0 <= got < 2
+
+
 def test_small_classes_and_empty_table(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (2.5, 2.0)], "x double, y double")
     assert I.neighbour_information(I.labelled_counts(df, ["x"], "y", 3)).first().mutual_info >= 0
