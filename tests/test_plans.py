@@ -82,3 +82,12 @@ def test_recent_window_pushes_filter(spark):
 def test_scan_prunes_columns(spark):
     p = all_queries()["delete_where"].build(spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "o_orderdate" not in p.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_fast_rounding_is_the_decimal_rounding(spark):
+    from pyspark.sql import functions as F
+
+    from perflog.plans.sqlbits import r4
+    vals = [0.0, -0.0, 1.23455, -1.23455, 0.00005, 2.5e-9, 0.000049999995, 123.45675, 99999.99995, 1e5, 1e12, 1 / 3, -2 / 3, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert df.where(~r4("x").eqNullSafe(F.round(F.col("x").cast("decimal(38,8)"), 4).cast("double"))).count() == 0
