@@ -45,9 +45,9 @@ def frequency_classes(counts: DataFrame, by: list[str], value: str, n: str, bins
         on = F.lit(True)
         for i, c in enumerate(by):
             on = on & F.col(c).eqNullSafe(F.col(f"__t{i}"))
-        rows = rows.join(total, on)
+        rows = rows.join(F.broadcast(total), on)  # a row per group
     else:
-        rows = rows.join(F.broadcast(total))  # one row
+        rows = rows.join(F.broadcast(total))
     share = F.floor(bins * (F.col("__upto") - F.col(n)) / F.col("__total"))
     return rows.withColumn(out, share.cast("int")).drop("__upto", "__total", *[f"__t{i}" for i in range(len(by))])
 
@@ -60,10 +60,14 @@ def target_classes(df: DataFrame, target: str, bins: int = 10, pieces: int = PIE
 
 def labelled_counts(df: DataFrame, features: list[str], target: str, bins: int = 10, pieces: int = PIECES) -> DataFrame:
     """(feature, value, label, n): rows by distinct value and target class, checkpointed; rows without value or target don't count."""
-    long = df.select(F.col(target).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f) for f in features]) \
-             .unpivot(["__y"], features, "feature", "value").where("value is not null and __y is not null")
-    counts = long.groupBy("feature", "value", "__y").agg(F.count(F.lit(1)).alias("n"))
-    return cut_lineage(counts.join(target_classes(df, target, bins, pieces), "__y").groupBy("feature", "value", "label").agg(F.sum("n").alias("n")))
+    # a class is a range of the target, so it is told by the classes' least values: one row
+    least = target_classes(df, target, bins, pieces).groupBy("label").agg(F.min("__y").alias("__from")).agg(
+        F.array_sort(F.collect_list(F.struct("__from", "label"))).alias("__classes"))
+    rows = df.where(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f) for f in features])
+    below = F.filter("__classes", lambda c: c["__from"] <= F.col("__y"))
+    rows = rows.join(F.broadcast(least)).withColumn("label", F.element_at(below, -1)["label"])
+    long = rows.select("label", *features).unpivot(["label"], features, "feature", "value").where("value is not null")
+    return cut_lineage(long.groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("n")))
 
 
 def binned_information(counts: DataFrame, bins: int = 10, pieces: int = PIECES) -> DataFrame:
@@ -82,7 +86,7 @@ def neighbour_distances(counts: DataFrame, k: int, pieces: int = PIECES, rows_pe
     """``counts`` of classes with two rows and more, with ``size`` (of the class), ``near`` (k, or one less than the class has)
     and ``distance`` to the ``near``-th nearest other row of the class."""
     size = counts.groupBy("feature", "label").agg(F.sum("n").alias("size"))
-    rows = counts.join(size, ["feature", "label"]).where("size > 1").withColumn("near", F.least(F.lit(k), F.col("size") - 1))
+    rows = counts.join(F.broadcast(size), ["feature", "label"]).where("size > 1").withColumn("near", F.least(F.lit(k), F.col("size") - 1))
     rows = running_total(rows, ["feature", "label"], ["value"], F.lit(1), "__rn", pieces)
     # the k rows at both ends of a bucket are copied into the bucket next to it
     place, at = (F.col("__rn") - 1) % rows_per_bucket, F.floor((F.col("__rn") - 1) / rows_per_bucket)
@@ -100,17 +104,27 @@ def neighbour_distances(counts: DataFrame, k: int, pieces: int = PIECES, rows_pe
 
 
 def within_distance(rows: DataFrame, counts: DataFrame, pieces: int = PIECES) -> DataFrame:
-    """(feature, value, label, m): rows of any class nearer than ``distance``; at distance 0 the rows of the same value."""
+    """``rows`` with ``m``: rows of any class nearer than ``distance``; at distance 0 the rows of the same value.
+
+    A row's own numbers go with its upper end, so that its two counts meet in one exchange and nothing is joined back."""
     values = counts.groupBy(F.col("feature").alias("f"), F.col("value").alias("v")).agg(F.sum("n").alias("add"))
     x, d = F.col("value"), F.col("distance")
-    none = F.lit(None)
-    points = values.select("f", "v", F.lit(1).alias("ord"), "add", F.lit(0).alias("sign"), none.cast("double").alias("value"), none.cast("int").alias("label"))
+    kept = [c for c in rows.columns if c not in ("feature", "value", "label")]
+    kinds = {c: t for c, t in rows.dtypes}
+
+    def no(*names: str) -> list[Column]:
+        return [F.lit(None).cast(kinds[c]).alias(c) for c in names]
+
+    points = values.select("f", "v", F.lit(1).alias("ord"), "add", F.lit(0).alias("sign"), *no("value", "label", *kept))
     # rows below the upper end, less rows up to the lower end; both ends belong to the value itself at distance 0
-    upper = rows.select(F.col("feature").alias("f"), (x + d).alias("v"), F.when(d > 0, 0).otherwise(2).alias("ord"), F.lit(0).alias("add"), F.lit(1).alias("sign"), "value", "label")
-    lower = rows.select(F.col("feature").alias("f"), (x - d).alias("v"), F.when(d > 0, 2).otherwise(0).alias("ord"), F.lit(0).alias("add"), F.lit(-1).alias("sign"), "value", "label")
+    upper = rows.select(F.col("feature").alias("f"), (x + d).alias("v"), F.when(d > 0, 0).otherwise(2).alias("ord"), F.lit(0).alias("add"), F.lit(1).alias("sign"),
+                        "value", "label", *kept)
+    lower = rows.select(F.col("feature").alias("f"), (x - d).alias("v"), F.when(d > 0, 2).otherwise(0).alias("ord"), F.lit(0).alias("add"), F.lit(-1).alias("sign"),
+                        "value", "label", *no(*kept))
     both = points.unionByName(upper).unionByName(lower)
     total = running_total(both, ["f"], ["v", "ord"], "add", "__upto", pieces, cuts_of=values)
-    return total.where("sign <> 0").groupBy(F.col("f").alias("feature"), "value", "label").agg(F.sum(F.col("sign") * F.col("__upto")).alias("m"))
+    return total.where("sign <> 0").groupBy(F.col("f").alias("feature"), "value", "label").agg(
+        F.sum(F.col("sign") * F.col("__upto")).alias("m"), *[F.max(c).alias(c) for c in kept])
 
 
 def neighbour_information(counts: DataFrame, k: int = 3, pieces: int = PIECES, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -120,8 +134,7 @@ def neighbour_information(counts: DataFrame, k: int = 3, pieces: int = PIECES, r
     in all take the place of ``k`` and of the rows within the distance."""
     rows = cut_lineage(neighbour_distances(counts, k, pieces, rows_per_bucket))
     used = rows.select("feature", "value", "label", "n")
-    m = within_distance(rows, used, pieces)
-    rows = rows.join(m, ["feature", "value", "label"])
+    rows = within_distance(rows, used, pieces)
     own = F.when(F.col("distance") > 0, F.col("near")).otherwise(F.col("n"))
     # a distance below the value's precision is lost when it is added to it; the value's own rows are always within
     m = F.greatest("m", "n")

@@ -32,10 +32,11 @@ def with_ranges(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int =
     cut points are taken from (default ``df``)."""
     at = F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 100 * pieces)
     cuts = (cuts_of if cuts_of is not None else df).groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]).agg(at.alias("__cuts"))
+    # at most ``pieces`` numbers per group; a join by group would send all its rows to one task
     if by:
-        out = df.join(cuts, same(by, [f"__g{i}" for i in range(len(by))]), "left")
+        out = df.join(F.broadcast(cuts), same(by, [f"__g{i}" for i in range(len(by))]), "left")
     else:
-        out = df.join(F.broadcast(cuts))  # one row of at most ``pieces`` numbers
+        out = df.join(F.broadcast(cuts))
     below = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     return out.withColumn("__range", F.coalesce(F.when(F.col(value).isNotNull(), F.greatest(below, F.lit(0))), F.lit(-1))).drop(
         "__cuts", *[f"__g{i}" for i in range(len(by))])
@@ -46,6 +47,9 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], weigh
     """``df`` with a column per entry of ``weights``: its sum over the rows of the group up to and with the row's own, sorted by
     ``order`` (numbers; the first of them is cut into ranges).  Rows equal in ``order`` should be one row.
 
+    Groups are few where cut points are looked for: the table of ranges, ``pieces`` rows per group, is broadcast, so that rows
+    move once.
+
     ``span``: ranges of this fixed width, which spare the pass that looks for cut points, where a group's rows of one
     span are known to fit a task."""
     keys, at = [*by, "__range"], list(weights)
@@ -57,7 +61,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], weigh
     lower = across.orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*names, *[F.coalesce(F.sum(f"__s{i}").over(lower), F.lit(0)).alias(f"__low{i}") for i in range(len(at))])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"__in{i}": F.sum(f"__w{i}").over(inside) for i in range(len(at))}).join(sums, same(keys, names))
+    rows = rows.withColumns({f"__in{i}": F.sum(f"__w{i}").over(inside) for i in range(len(at))}).join(F.broadcast(sums) if span is None else sums, same(keys, names))
     return rows.withColumns({o: F.col(f"__in{i}") + F.col(f"__low{i}") for i, o in enumerate(at)}).drop(
         "__range", *names, *[f"__{k}{i}" for i in range(len(at)) for k in ("w", "in", "low")])
 
