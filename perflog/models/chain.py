@@ -48,14 +48,14 @@ def fit_chain(train: DataFrame, features: list[str], target: str, category: str
     named = counts.select("feature", F.lit(None).cast("string").alias("category"), "value", "label", "n")
     if category is not None:
         # like the numeric features, one-hots count rows with a target
-        named = named.unionByName(_one_hot_counts(train.where(F.col(target).isNotNull()), category, prefix, target, I.target_classes(train, target, bins)))
-    named = cut_lineage(named)
+        hot = _one_hot_counts(train.where(F.col(target).isNotNull()), category, prefix, target, I.target_classes(train, target, bins))
+        named = named.unionByName(cut_lineage(hot))  # both parts are stored
     info = I.neighbour_information(named.select("feature", "value", "label", "n"), neighbours)
     rows = F.sum("n")
     mean = F.sum(F.col("value") * F.col("n")) / rows
-    moments = named.groupBy("feature", "value", "category").agg(F.sum("n").alias("n"))
-    center = moments.groupBy("feature", "category").agg(mean.alias("mean"), rows.alias("rows"))
-    spread = moments.join(center.select(F.col("feature").alias("f"), F.col("mean").alias("m")), F.col("feature") == F.col("f")).groupBy("feature").agg(
+    # a row per feature: what the counts meet is broadcast
+    center = named.groupBy("feature", "category").agg(mean.alias("mean"), rows.alias("rows"))
+    spread = named.join(F.broadcast(center.select(F.col("feature").alias("f"), F.col("mean").alias("m"))), F.col("feature") == F.col("f")).groupBy("feature").agg(
         F.sqrt(F.sum(F.col("n") * (F.col("value") - F.col("m")) ** 2) / rows).alias("std"))
     table = center.join(spread, "feature").join(info, "feature", "left")
     at = F.when(F.col("category").isNull(), F.element_at(order, F.col("feature")).cast("double")).otherwise(features.index(after) + 0.5)

@@ -146,7 +146,8 @@ def _halves(rows):
 def chain_of(spark, sf_dir):
     """The chain of the training rows; fitted and stored by the first query of an application, read by the others."""
     def fit():
-        train, _ = _halves(cut_lineage(player_set(spark, sf_dir)))  # read by every step of the fit
+        # read by every step of the fit: the training rows alone, without their keys
+        train = cut_lineage(_halves(player_set(spark, sf_dir))[0].select(*NAMES, "TARGET", "OPPONENT"))
         return CH.fit_chain(train, NAMES, "TARGET", "OPPONENT", after="OPP_STRENGTH", k=20, bins=BINS, neighbours=K)
 
     where = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
