@@ -266,7 +266,8 @@ def crossover(sizes: np.ndarray, mother: np.ndarray, father: np.ndarray, capacit
 
 
 def evolve(sizes: np.ndarray, people: list[np.ndarray], capacity: int, births: int, keep: int, rng) -> list[np.ndarray]:
-    """Births one after another, each replacing the worst packing if it is better; best first."""
+    """Births one after another, each replacing the worst packing if it is better; best first.  They end early only where
+    the best packing has as few bins as the sizes' sum allows, which no birth can better."""
     least = math.ceil(sizes.sum() / capacity)
     scored = sorted(((fitness(sizes, p, capacity), i, p) for i, p in enumerate(people)), key=lambda x: (-x[0], x[1]))[:keep]
     for k in range(births):
@@ -281,12 +282,13 @@ def evolve(sizes: np.ndarray, people: list[np.ndarray], capacity: int, births: i
 
 
 def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-         text_col: str = "text", block: int = 12_000, islands: int = 2, population: int = 3, epochs: int = 2,
-         births: int = 3, with_ids: bool = False) -> DataFrame:
+         text_col: str = "text", block: int = 12_000, islands: int = 2, population: int = 6, epochs: int = 4,
+         births: int = 24, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     ``block``: pieces that are packed together, at most about this many; a block's last, part-filled
-    bins are the only loss that blocks cause (a few of thousands)."""
+    bins are the only loss that blocks cause (a few of thousands).  An island has ``births`` per epoch, a multiple of its
+    ``population``; a block whose best fit is proven least spends none of them."""
     spark = ready(docs.sparkSession)
     pieces = token_pieces(docs, vocabulary, length, end_id, id_col, text_col, with_ids)
     pieces = stage(pieces.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
