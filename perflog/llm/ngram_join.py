@@ -38,7 +38,9 @@ COUNTERS = 1 << 22
 #: Share of a set that is its prefix, in percent (20 would do for similarity 0.8; more shared shingles prune groups).
 PREFIX = 25
 #: Classes in a block of a family; keys in a block, and in a bundle of meetings (a byte of map each at most).
-BLOCK, BLOCK_KEYS, BUNDLE_KEYS = 512, 1 << 20, 1 << 22
+BLOCK, BLOCK_KEYS, BUNDLE_KEYS = 2048, 1 << 20, 1 << 22
+#: Rows of a meeting that are compared with all others at once.
+STRIP = 256
 #: Numbers that a task remembers to emit most groups but once.
 REMEMBERED = 1 << 20
 #: Ranges of counters that the sketch is dealt by, and shingles that a task gathers before it sends a part.
@@ -143,6 +145,16 @@ def set_id(keys: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(keys)) + U(len(keys))], U)).view(np.int64)[0])
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as gaps, byte by byte of all of them: the high bytes are mostly zero, which shuffles and tables compress away."""
+    return np.ascontiguousarray(np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+
+
 def prefix_size(n: int) -> int:
     return min(n, n * PREFIX // 100 + 1)
 
@@ -206,7 +218,7 @@ def near_size(a: str, b: str, t: int) -> Column:
 
 
 def full_sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, k: int, level, short: bool = False) -> DataFrame:
-    """c and keys (the full ordered set; its parity map if ``short``) of the classes in ``ends`` (c). Only texts of those classes are
+    """c and keys (the full ordered set, packed; its parity map if ``short``) of the classes in ``ends`` (c). Only texts of those classes are
     made sets again."""
     spark = docs.sparkSession
     texts = stage(few(rows.join(ends, "c").groupBy("c").agg(F.min("__th").alias("th"))), "ends")
@@ -224,7 +236,7 @@ def full_sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, k: int, level,
                     this = set_id(x) if len(x) else 0
                     if len(x) and met.new(this):
                         c.append(this)
-                        blob.append(parity_map(x) if short else x.tobytes())
+                        blob.append(parity_map(x) if short else packed(x))
                 if c:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(blob, pa.binary())], ["c", "keys"])
 
@@ -233,15 +245,15 @@ def full_sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, k: int, level,
 
 
 def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, t: int, level) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the similarity."""
+    """The pairs (a, b) of classes whose full sets reach the similarity. The sets are dealt by class once: both joins read that shuffle."""
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    found = stage(full_sets(docs, rows, ends, k, level), "sets")
+    found = full_sets(docs, rows, ends, k, level)
 
     def compare(batches):
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= t * (len(x) + len(y) - both))
             ok = pa.array(ok, pa.bool_())
@@ -263,17 +275,11 @@ def block_links(ids: np.ndarray, parts: np.ndarray, n: np.ndarray, maps: list[by
     """Pairs of classes of different components that may reach the similarity: of two blocks (``second`` tells which), or within one.
 
     What two sets share is bounded by their sizes and by the bits in which their maps differ, first on maps that are folded to an
-    eighth and for all pairs at once, then on whole maps for the pairs left. The bound only errs upwards, so no link is lost."""
+    eighth and for STRIP rows with all others at once, then on whole maps for the pairs left. The bound only errs upwards, so no link is lost."""
     order = np.argsort(second, kind="stable")
     ids, parts, n, maps = ids[order], parts[order], n[order].astype(np.int64), [np.frombuffer(maps[i], np.uint8) for i in order]
     cut = int((~second).sum()) if second.any() else 0
-    top, rest = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
-    may = (parts[top][:, None] != parts[rest][None, :]) & (
-        100 * np.minimum(n[top][:, None], n[rest][None, :]) >= t * np.maximum(n[top][:, None], n[rest][None, :]))
-    if not cut:
-        may = np.triu(may, 1)
-    if not may.any():
-        return []
+    rows, rest = cut or len(ids), slice(cut, None)
     width = min(map(len, maps)) * 8
     bits = np.zeros((len(maps), width), np.uint8)
     for i, x in enumerate(maps):
@@ -290,16 +296,25 @@ def block_links(ids: np.ndarray, parts: np.ndarray, n: np.ndarray, maps: list[by
     while few.shape[1] > max(512, width // 8):
         few = few[:, 0::2] ^ few[:, 1::2]
     few = 1 - 2 * few.astype(np.float32)
-    may &= reach(n[top][:, None] + n[rest][None, :], ((few.shape[1] - few[top] @ few[rest].T) / 2).astype(np.int64))
-    i, j = np.nonzero(may)
-    j = j + cut
     whole = np.packbits(bits, axis=1)
-    ok = np.zeros(len(i), bool)
     step = max(1, (1 << 24) // whole.shape[1])
-    for lo in range(0, len(i), step):
-        x, y = i[lo:lo + step], j[lo:lo + step]
-        ok[lo:lo + step] = reach(n[x] + n[y], np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1, dtype=np.int64))
-    return list(zip(ids[i[ok]].tolist(), ids[j[ok]].tolist()))
+    out = []
+    for lo in range(0, rows, STRIP):
+        strip = slice(lo, min(rows, lo + STRIP))
+        may = (parts[strip, None] != parts[None, rest]) & (
+            100 * np.minimum(n[strip, None], n[None, rest]) >= t * np.maximum(n[strip, None], n[None, rest]))
+        if not cut:
+            may = np.triu(may, 1 + lo)
+        if not may.any():
+            continue
+        may &= reach(n[strip, None] + n[None, rest], ((few.shape[1] - few[strip] @ few[rest].T) / 2).astype(np.int64))
+        i, j = np.nonzero(may)
+        i, j = i + lo, j + cut
+        for at in range(0, len(i), step):
+            x, y = i[at:at + step], j[at:at + step]
+            ok = reach(n[x] + n[y], np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1, dtype=np.int64))
+            out += zip(ids[x[ok]].tolist(), ids[y[ok]].tolist())
+    return out
 
 
 def meetings(nodes: DataFrame, t: int) -> DataFrame:

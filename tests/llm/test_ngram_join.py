@@ -99,6 +99,60 @@ def test_bounds_from_maps_lose_no_link():
         assert not any(len(base) > 200 and 100 * share[p] < 65 * (n[p[0]] + n[p[1]] - share[p]) for p in got)
 
 
+def test_strips_of_a_meeting_give_the_same_pairs(monkeypatch):
+    import numpy as np
+    from perflog.llm import ngram_join
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2 ** 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:rng.integers(250, 300)], rng.integers(0, 2 ** 63, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(90)]
+    n, maps = np.array([len(x) for x in sets]), [ngram_join.parity_map(x) for x in sets]
+    for second in (np.zeros(90, bool), np.arange(90) % 3 == 0):
+        want = sorted(ngram_join.block_links(np.arange(90), np.arange(90) // 2, n, maps, second, 80))
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, "STRIP", 7)
+            assert sorted(ngram_join.block_links(np.arange(90), np.arange(90) // 2, n, maps, second, 80)) == want and len(want) > 100
+
+
+def test_packed_sets():
+    """Gaps byte by byte: whole keys come back, and what a codec leaves of them is less than of the keys."""
+    import zlib
+    import numpy as np
+    from perflog.llm.ngram_join import packed, unpacked
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 2, 900):
+        keys = np.unique(rng.integers(0, 2 ** 56, size).astype(np.uint64) | (rng.integers(0, 40, size).astype(np.uint64) // np.uint64(39) << np.uint64(63)))
+        assert (unpacked(packed(keys)) == keys).all()
+    assert len(zlib.compress(packed(keys), 1)) < 0.88 * len(zlib.compress(keys.tobytes(), 1))
+
+
+def test_both_ends_of_pairs_read_one_shuffle_of_sets(spark, monkeypatch):
+    """Sets are dealt by class once, not stored and dealt again for either end of the pairs."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from perflog.llm import ngram_join
+    from perflog.llm.runtime import ready, stage, text_hash
+    named = []
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name: named.append(name) or stage(df, name))
+    ready(spark)
+    texts = [" ".join(f"d{d // 2}w{i}" for i in range(60)) + f" e{d}" for d in range(40)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "__id long, __text string").withColumn("__th", text_hash(F.col("__text")))
+    docs = stage(docs.select("__id", "__th", "__text"), "docs")
+    level = spark.sparkContext.broadcast(np.zeros(ngram_join.COUNTERS, np.uint8))
+    rows = stage(ngram_join.figures(docs, 5, level, "__id long, __th long", ["__id", "__th"]), "figures")
+    c = [r.c for r in rows.orderBy("__id").collect()]
+    pairs = stage(spark.createDataFrame([(c[i], c[i + 1]) for i in range(39)], "a long, b long"), "pairs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = ngram_join.verify(docs, rows, pairs, 5, 80, level)
+        links = sorted((r.a, r.b) for r in got.collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert links == sorted((c[i], c[i + 1]) for i in range(0, 39, 2))
+    assert "sets" not in named and "ReusedExchange" in plan
+
+
 def test_bundles_of_long_texts_are_bounded(spark):
     """Sets of 20 000 shingles: what a bundle holds goes by their keys, not by their number."""
     from perflog.llm import ngram_join
