@@ -14,7 +14,7 @@ components are filtered by bounds from parity bitmaps of their sets, and verifie
 components is lost, while copies within a component need not meet in pairs.
 
 Frequent shingles go by an aggregate and a split join, all others have bounded lists. Links
-and components stay distributed (rounds of large-star and small-star on stored edges).
+and components stay distributed (bounded shares of the edges, then rounds of large-star and small-star on stored edges).
 
 Null and empty texts have empty sets, no links, and their own id as component. Fewer words
 than a shingle are one shingle. Equal ids are documents of their own; a null id is never a
@@ -41,6 +41,8 @@ PREFIX = 25
 BLOCK, BLOCK_KEYS, BUNDLE_KEYS = 2048, 1 << 20, 1 << 22
 #: Rows of a meeting that are compared with all others at once.
 STRIP = 256
+#: Edges (of 16 bytes) that a task joins into components of their own before any rounds.
+EDGES = 1 << 18
 #: Numbers that a task remembers to emit most groups but once.
 REMEMBERED = 1 << 20
 #: Ranges of counters that the sketch is dealt by, and shingles that a task gathers before it sends a part.
@@ -370,16 +372,44 @@ def verify_families(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int,
     return sent.groupBy("bundle").applyInArrow(go, "a long, b long")
 
 
+def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every different node of the edges, and the least node of its component: roots are hooked to lesser ones, then trees are made flat."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, least = at[:len(u)], at[len(u):], np.arange(len(node))
+    while True:
+        x, y = least[a], least[b]
+        open_ = x != y
+        if not open_.any():
+            return node, node[least]
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least != (up := least[least])).any():
+            least = up
+
+
+def forest(e: DataFrame, parts: int) -> DataFrame:
+    """u, v: for every node of each of ``parts`` even shares of the edges, the least node that the share joins it to."""
+
+    def go(table):
+        node, least = least_nodes(table.column("u").to_numpy(), table.column("v").to_numpy())
+        more = node != least
+        return pa.table({"u": node[more], "v": least[more]})
+
+    return e.groupBy(F.pmod(F.xxhash64("u", "v"), F.lit(parts)).alias("share")).applyInArrow(go, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of every node of ``edges`` (a, b), by rounds of large-star and small-star."""
+    """node, component (its least node) of every node of ``edges`` (a, b): shares of bounded size by themselves, then, where there are
+    several, rounds of large-star and small-star. So few edges need one query, not a dozen plans that the driver keeps."""
     e = stage(few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()), "edges")
-    while True:
+    parts = max(1, -(-e.count() // EDGES))
+    e = stage(forest(e, parts) if parts == 1 else few(forest(e, parts).distinct()), "edges")
+    while parts > 1:
         # done when every node points to one other, which points to none
         ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
             e.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
         if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out + in > 1 and out > 0").isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            break
         # large star: greater neighbours of a node go to the least one around it
         around = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -389,6 +419,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = stage(few(small.select("e.u", "e.v").where("u != v").distinct()), "edges")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,

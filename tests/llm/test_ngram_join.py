@@ -186,3 +186,34 @@ def test_drop_copies(spark):
     assert all(d in docs for d in rest) and len(set(rest)) == len(rest)
     assert all(n == 0 or i == c for i, n, c in brute.components(kept))
     assert len(rest) == len({s[2] for s in sets if s[1]})
+
+
+def test_few_edges_take_few_queries(spark, monkeypatch):
+    """A chain of 300 nodes took a dozen rounds of two stored or asked plans each; edges that a task can hold take none."""
+    from perflog.llm import ngram_join
+    from perflog.llm.runtime import stage
+    named = []
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name: named.append(name) or stage(df, name))
+    edges = stage(spark.createDataFrame([(i * 7919 % 300, (i + 1) * 7919 % 300) for i in range(299)] + [(5, 5), (400, 399), (399, 400)], "a long, b long"), "given")
+    got = {r.node: r.component for r in ngram_join.components(edges).collect()}
+    assert got == dict.fromkeys(range(300), 0) | {399: 399, 400: 399} and len(named) <= 2
+    assert ngram_join.components(edges.where("a < 0")).isEmpty()
+
+
+@pytest.mark.parametrize("share", [1, 40, 1 << 18])
+def test_components_of_shares(spark, monkeypatch, share):
+    """Edges of many shares give the components that one share gives: negative numbers, repeats, stars and chains."""
+    import random
+    from perflog.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "EDGES", share)
+    rng = random.Random(share)
+    many = 12 if share == 1 else 130
+    pairs = [(rng.randrange(-many, many) * 2 ** 55, rng.randrange(-many, many) * 2 ** 55) for _ in range(many)]
+    pairs += [(10 ** 6, i) for i in range(1, many // 2)] + pairs[:5]
+    least = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    rows = ngram_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in rows) == sorted(least.items())
