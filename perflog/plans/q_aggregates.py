@@ -12,6 +12,7 @@ from perflog.plans import training as TR
 from perflog.plans.bindings import BOX, BOX_SQL, ORDERS, box_scores, orders_log
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, W_LI, roll_avg, roll_sum
+from perflog.session import for_wide_rows
 
 _LABEL_SQL = ("concat(cast(case when month(l_shipdate) >= 10 then year(l_shipdate) else year(l_shipdate) - 1 end"
               " as varchar), '-', lpad(cast((case when month(l_shipdate) >= 10 then year(l_shipdate) "
@@ -165,7 +166,7 @@ select l_suppkey, l_orderkey, l_linenumber, l_partkey, {out}, WIN from f where N
 
 @register("team_win_set", "App.A D10 D14 D15 C16 C21 B11-B14", _team_win_sql())
 def team_win_set(spark, sf_dir):
-    df = TR.team_win_set(box_scores(spark, sf_dir), BOX)
+    df = TR.team_win_set(box_scores(for_wide_rows(spark), sf_dir), BOX)
     feats = TR.team_win_features()
     return df.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey",
                      *[F.col(f) if f in _INT_FEATS else
