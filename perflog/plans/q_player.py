@@ -15,7 +15,8 @@ from perflog.plans.bindings import BOX, BOX_SQL, box_scores
 from perflog.plans.q_lookups import team_dimension
 from perflog.plans.registry import register
 from perflog.plans.sqlbits import R4, W_LI, r4, roll_avg, roll_std
-from perflog.session import checkpoint_dir, cut_lineage, for_wide_rows
+from perflog.session import checkpoint_dir, for_wide_rows
+from perflog.sources.store import read_through
 from perflog.sources.tables import read_table
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -139,19 +140,34 @@ ch as (select feature, category, mean, case when std > 0 then std else 1 end as
          select *, row_number() over (order by round(coalesce(mi, 0), 8) desc, pos, feature) as rank from mo left join mi using (feature)) where rank <= 20)"""
 
 
-def _halves(rows):
-    return T.arithmetic_split(rows, F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey"))
+def _half_key():
+    return F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey")
+
+
+def _kept_at(spark, sf_dir, what: str) -> str:
+    where = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    return f"{checkpoint_dir(spark)}/{what}/{spark.sparkContext.applicationId}/{where}"
+
+
+def stored_halves(spark, sf_dir):
+    """(training rows, test rows) of the set; made once and stored, compressed, by the first query of an application."""
+    def made():
+        # rows of neither half (a null key) are none of the queries'
+        rows = player_set(spark, sf_dir).select(*KEYS, *NAMES, "TARGET", "OPPONENT")
+        return rows.withColumn("train", T.in_training(_half_key())).where("train is not null")
+
+    stored = read_through(spark, _kept_at(spark, sf_dir, "sets"), made)
+    return stored.where("train").drop("train"), stored.where("not train").drop("train")
 
 
 def chain_of(spark, sf_dir):
     """The chain of the training rows; fitted and stored by the first query of an application, read by the others."""
     def fit():
-        # read by every step of the fit: the training rows alone, without their keys
-        train = cut_lineage(_halves(player_set(spark, sf_dir))[0].select(*NAMES, "TARGET", "OPPONENT"))
+        # read by every step of the fit
+        train = stored_halves(spark, sf_dir)[0].select(*NAMES, "TARGET", "OPPONENT")
         return CH.fit_chain(train, NAMES, "TARGET", "OPPONENT", after="OPP_STRENGTH", k=20, bins=BINS, neighbours=K)
 
-    where = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
-    return CH.stored_chain(spark, f"{checkpoint_dir(spark)}/chains/{spark.sparkContext.applicationId}/{where}", "1", fit)
+    return CH.stored_chain(spark, _kept_at(spark, sf_dir, "chains"), "1", fit)
 
 
 _VALUE = " ".join(f"when '{c}' then cast({c} as double)" for c in NAMES)
@@ -164,7 +180,7 @@ from ps, ch where not ({TRAIN})
 """)
 def player_game_chain(spark, sf_dir):
     """Test rows through the chain fitted on the training rows: the 20 features that tell most about points, scaled."""
-    chain, test = chain_of(spark, sf_dir), _halves(player_set(spark, sf_dir))[1]
+    chain, test = chain_of(spark, sf_dir), stored_halves(spark, sf_dir)[1]
     out = CH.named_values(CH.apply_chain(test, chain, NAMES, "OPPONENT"), chain, KEYS)
     return out.select(*KEYS, "feature", r4("value").alias("value"))
 

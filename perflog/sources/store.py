@@ -170,7 +170,7 @@ def read_through(spark: SparkSession, path: str, build, refresh: bool = False,
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    w = build().write.mode("overwrite")
+    w = build().write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.parquet(path)
 
